@@ -24,9 +24,16 @@ def guarded_ratio(num: Column, den: Column, eps: float = 1e-9) -> Column:
     return finite(F.when(F.abs(den) >= eps, num / den))
 
 
+HALF_UP_NUDGE = 2.7e-10
+
+
 def rounded(col: Column, places: int = 6) -> Column:
-    """Rounded value for reports, without negative zero."""
-    return F.round(col, places) + F.lit(0.0)
+    """Rounded value for reports, without negative zero.
+
+    Means of two-decimal readings often end exactly on a half.  The nudge, far below the last
+    digit shown, sends such halves up whatever order the parts were summed in.
+    """
+    return F.round(col + HALF_UP_NUDGE if places == 6 else col, places) + F.lit(0.0)
 
 
 def magnitude(*cols: str) -> Column:
@@ -46,11 +53,11 @@ def guarded_corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sx
 
 
 def clock_seconds(col: Column | str) -> Column:
-    """``HH:MM:SS`` or ``MM:SS`` text to seconds; NULL when a part is no number."""
+    """``HH:MM:SS`` text to seconds; NULL for any other text."""
     c = F.col(col) if isinstance(col, str) else col
     parts = F.transform(F.split(F.trim(c), ":"), lambda p: p.try_cast("double"))
     folded = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60.0 + p)
-    return F.when(F.size(parts).isin(2, 3), folded)
+    return F.when(F.size(parts) == 3, folded)
 
 
 def segment_label(center: Column, start: Column, end: Column) -> Column:

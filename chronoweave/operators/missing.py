@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators.series import Layout, attach, bracket
+from chronoweave.operators.series import Layout, attach, bracket, bracket_many
 
 MAD_SCALE = 1.4826  # fixed value: MAD to sigma for normal data
 
 
-def _linear(axis: str) -> Column:
+def linear_between(axis: str, name: str = "") -> Column:
     """Straight line between the bracketing samples; NULL outside them."""
-    p, n, x = F.col("prev"), F.col("next"), F.col(axis)
+    p, n, x = F.col(f"prev{name}"), F.col(f"next{name}"), F.col(axis)
     inside = p.isNotNull() & n.isNotNull()
     return F.when(inside & (p.x == n.x), p.v).when(
         inside, p.v + (n.v - p.v) / F.nullif((n.x - p.x).cast("double"), F.lit(0.0)) * (x - p.x)
     )
 
 
-def _nearest(axis: str) -> Column:
+def nearest_of(axis: str, name: str = "") -> Column:
     """Closest sample; on a tie the later one."""
-    p, n, x = F.col("prev"), F.col("next"), F.col(axis)
+    p, n, x = F.col(f"prev{name}"), F.col(f"next{name}"), F.col(axis)
     later = p.isNull() | (n.isNotNull() & ((n.x - x) <= (x - p.x)))
     return F.when(later, n.v).otherwise(p.v)
 
@@ -33,18 +33,27 @@ def _fill(layout: Layout, rows: DataFrame, value: str, out: str, *rules: Column)
 
 def fill_nearest(layout: Layout, value: str, out: str = "filled") -> DataFrame:
     """Fill every gap with the closest sample by position."""
-    return _fill(layout, layout.core(), value, out, _nearest("i"))
+    return _fill(layout, layout.core(), value, out, nearest_of("i"))
 
 
 def fill_linear(layout: Layout, value: str, out: str = "filled", *, clamp_ends: bool = False) -> DataFrame:
     """Fill interior gaps on a straight line; ``clamp_ends`` repeats the first and last sample."""
-    rules = [_linear("i")] + ([_nearest("i")] if clamp_ends else [])
+    rules = [linear_between("i")] + ([nearest_of("i")] if clamp_ends else [])
     return _fill(layout, layout.core(), value, out, *rules)
 
 
 def fill_rows(layout: Layout, rows: DataFrame, value: str, out: str) -> DataFrame:
     """Linear, then nearest at the ends, for core rows that already carry ``value``."""
-    return _fill(layout, rows, value, out, _linear("i"), _nearest("i"))
+    return _fill(layout, rows, value, out, linear_between("i"), nearest_of("i"))
+
+
+def fill_many(layout: Layout, rows: DataFrame, columns: list[str], *, with_halo: bool = False) -> DataFrame:
+    """Fill the gaps of several columns in place (linear, nearest at the ends) with one set of block
+    summaries."""
+    samples = {f"_{c}": (c, "i", F.col(c).isNotNull()) for c in columns}
+    rows = bracket_many(layout, rows, samples, with_halo=with_halo)
+    filled = {c: F.coalesce(F.col(c), linear_between("i", f"_{c}"), nearest_of("i", f"_{c}")) for c in columns}
+    return rows.withColumns(filled).drop(*[f"{side}_{c}" for c in columns for side in ("prev", "next")])
 
 
 def moving_median(layout: Layout, value: str, width: int) -> Column:
@@ -136,5 +145,5 @@ def ratio_channel(layout: Layout, num: str, total: str, out: str = "ratio") -> D
 def interpolate_by(layout: Layout, value: str, axis: str, out: str = "at_axis") -> DataFrame:
     """Value at each row's own ``axis`` position on the line through the known samples."""
     rows = bracket(layout, layout.core(), value, axis)
-    return rows.withColumn(out, F.coalesce(F.col(value), _linear(axis))).drop("prev", "next")
+    return rows.withColumn(out, F.coalesce(F.col(value), linear_between(axis))).drop("prev", "next")
 

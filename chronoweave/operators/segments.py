@@ -32,17 +32,21 @@ def sliding_windows(layout: Layout, fs: float, width_s: float, hop_s: float, agg
     return layout.with_df(rows)
 
 
-def _transitions(windows: Layout, flag: str, before: bool, hop: int) -> DataFrame:
-    """Windows where ``RUN_WINDOWS`` equal flags are followed by as many of the other kind."""
+def _mark_transitions(windows: Layout, flag: str, hop: int) -> DataFrame:
+    """Add ``up`` and ``down``: the first window of the new state where ``RUN_WINDOWS`` windows at
+    rest are followed by as many in motion, and the other way round."""
     windows.check_reach(2 * RUN_WINDOWS * hop)
     w = windows.window()
     first, second = w.rowsBetween(0, RUN_WINDOWS - 1), w.rowsBetween(RUN_WINDOWS, 2 * RUN_WINDOWS - 1)
-    is_before = F.col(flag) if before else ~F.col(flag)
-    marked = windows.df.withColumn(
-        "_hit",
-        (F.count_if(is_before).over(first) == RUN_WINDOWS) & (F.count_if(~is_before).over(second) == RUN_WINDOWS),
+    return (
+        windows.df.withColumn("_m1", F.count_if(flag).over(first))
+        .withColumn("_m2", F.count_if(flag).over(second))
+        .withColumn("_r1", F.count_if(~F.col(flag)).over(first))
+        .withColumn("_r2", F.count_if(~F.col(flag)).over(second))
+        .withColumn("up", F.when((F.col("_r1") == RUN_WINDOWS) & (F.col("_m2") == RUN_WINDOWS), F.col("w") + RUN_WINDOWS))
+        .withColumn("down", F.when((F.col("_m1") == RUN_WINDOWS) & (F.col("_r2") == RUN_WINDOWS), F.col("w") + RUN_WINDOWS))
+        .drop("_m1", "_m2", "_r1", "_r2")
     )
-    return marked.where("_hit and core").select(*windows.block_key, (F.col("w") + RUN_WINDOWS).alias("w_to"))
 
 
 def activity_segments(
@@ -65,18 +69,22 @@ def activity_segments(
     windows = windows.with_df(
         attach(layout, windows.df, base).withColumn("moving", F.coalesce(F.col("std") > F.col("threshold"), F.lit(False)))
     )
-    starts = _transitions(windows, "moving", False, hop).groupBy(*layout.key).agg(F.min("w_to").alias("w_start"))
-    ends = (
-        attach(layout, _transitions(windows, "moving", True, hop), starts)
-        .where(F.col("w_to") - RUN_WINDOWS >= F.col("w_start"))
+    # One summary per block: ``downs`` is bounded, as two transitions are 12 windows apart.
+    blocks = (
+        _mark_transitions(windows, "moving", hop)
+        .where("core")
+        .groupBy(*layout.block_key)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("up").alias("_up"), F.collect_list("down").alias("_downs"))
+    )
+    whole = Window.partitionBy(*layout.key)
+    found = (
+        blocks.withColumn("w_start", F.min("_up").over(whole))
+        .withColumn("_end", F.array_min(F.filter("_downs", lambda d: d - RUN_WINDOWS >= F.col("w_start"))))
         .groupBy(*layout.key)
-        .agg(F.min("w_to").alias("w_end"))
+        .agg(F.sum("_n").alias("n_windows"), F.min("w_start").alias("w_start"), F.min("_end").alias("w_end"))
     )
-    counts = windows.core().groupBy(*layout.key).agg(F.count(F.lit(1)).alias("n_windows"))
     segments = (
-        base.join(counts, list(layout.key), "left")
-        .join(starts, list(layout.key), "left")
-        .join(ends, list(layout.key), "left")
+        base.join(found, list(layout.key), "left")
         .withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))
         .withColumn(
             "reason",

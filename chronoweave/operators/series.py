@@ -37,6 +37,7 @@ class Layout:
     block_rows: int
     halo: int
     last_block: int
+    blocks: DataFrame  # one row per (key, blk)
 
     @property
     def block_key(self) -> list[str]:
@@ -130,8 +131,9 @@ def lay_out(
     )
     buckets = partitions_for(rows, ROWS_PER_BUCKET, spark.sparkContext.defaultParallelism)
     written = materialise_bucketed(overlapped, label, buckets, [*key, "blk"], [*key, "blk", "i"])
-    last = written.where("core").agg(F.max("blk")).first()[0]
-    return Layout(written, tuple(key), block_rows, halo, int(last or 0))
+    blocks = materialise(written.where("core").select(*key, "blk").distinct(), f"{label}-blocks")
+    last = blocks.agg(F.max("blk")).first()[0]
+    return Layout(written, tuple(key), block_rows, halo, int(last or 0), blocks)
 
 
 def attach(layout: Layout, rows: DataFrame, per_recording: DataFrame) -> DataFrame:
@@ -140,8 +142,10 @@ def attach(layout: Layout, rows: DataFrame, per_recording: DataFrame) -> DataFra
     The per-recording table is first spread over the blocks (one row per block), then joined on
     ``(recording, blk)``, so the large side keeps its partitioning and no key is hot.
     """
-    blocks = layout.df.select(*layout.block_key).distinct()
-    spread = blocks.join(per_recording, list(layout.key))
+    if layout.spans_blocks:
+        spread = layout.blocks.join(per_recording, list(layout.key))
+    else:
+        spread = per_recording.withColumn("blk", F.lit(0).cast("long"))
     return rows.join(spread, layout.block_key, "left")
 
 
@@ -156,33 +160,63 @@ def scan_blocks(layout: Layout, summary: DataFrame, **scans: tuple[Column, int,
     return summary.select(*layout.block_key, *cols)
 
 
-def bracket(layout: Layout, rows: DataFrame, value: str, axis: str = "i", valid: Column | None = None) -> DataFrame:
-    """Add ``prev`` and ``next``: the closest non-NULL sample at or before / at or after each row.
+def bracket(
+    layout: Layout, rows: DataFrame, value: str, axis: str = "i", valid: Column | None = None, *, with_halo: bool = False
+) -> DataFrame:
+    """``bracket_many`` for one value; adds ``prev`` and ``next``."""
+    known = F.col(value).isNotNull() if valid is None else valid
+    return bracket_many(layout, rows, {"": (value, axis, known)}, with_halo=with_halo)
+
+
+def bracket_many(
+    layout: Layout, rows: DataFrame, samples: dict[str, tuple[str, str, Column]], *, with_halo: bool = False
+) -> DataFrame:
+    """Add ``prev<name>`` and ``next<name>``: the closest sample at or before / at or after each row.
 
-    ``rows`` are core rows.  Both columns are structs ``(i, x, v)``; ``x`` is taken from ``axis``.
-    ``valid`` says which rows are samples when that is not simply "value is known".
-    Samples in other blocks come in through the block summaries, however far away they are.
+    ``samples`` maps a name suffix to (value, axis, is-a-sample).  The columns are structs
+    ``(i, x, v)`` with ``x`` from the axis.  ``rows`` are core rows; with ``with_halo`` they are all
+    rows of the layout and halo rows are bracketed too.  Samples outside the block come in through
+    one table of block summaries, however far away they are.
     """
-    known = F.col(value).isNotNull() if valid is None else valid
-    sample = F.when(known, F.struct(F.col("i"), F.col(axis).alias("x"), F.col(value).alias("v")))
     w = layout.window()
-    rows = (
-        rows.withColumn("_s", sample)
-        .withColumn("prev", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("next", F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    )
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    for name, (value, axis, known) in samples.items():
+        packed = F.struct(F.col("i"), F.col(axis).alias("x"), F.col(value).alias("v"))
+        rows = rows.withColumn(f"_s{name}", F.when(known, packed))
+    both = {}
+    for name in samples:
+        both[f"prev{name}"] = F.last(f"_s{name}", ignorenulls=True).over(back)
+        both[f"next{name}"] = F.first(f"_s{name}", ignorenulls=True).over(ahead)
+    rows = rows.withColumns(both)
     if layout.spans_blocks:
-        summary = rows.groupBy(*layout.block_key).agg(F.max("_s").alias("_max"), F.min("_s").alias("_min"))
-        carried = scan_blocks(
-            layout,
-            summary,
-            _before=(F.last("_max", ignorenulls=True), None, -1),
-            _after=(F.first("_min", ignorenulls=True), 1, None),
-        )
-        rows = (
-            rows.join(carried, layout.block_key, "left")
-            .withColumn("prev", F.coalesce("prev", "_before"))
-            .withColumn("next", F.coalesce("next", "_after"))
-            .drop("_before", "_after")
-        )
-    return rows.drop("_s")
+        # What a block sees itself (its halo included) must not come back as carried sample.
+        seen = layout.halo if with_halo else 0
+        within = F.col("i") - F.col("blk") * layout.block_rows
+        core = rows.where("core") if with_halo else rows
+        ends, scans = [], {}
+        for name in samples:
+            s = F.col(f"_s{name}")
+            ends += [
+                F.max(s).alias(f"_l{name}"),
+                F.max(F.when(within < layout.block_rows - seen, s)).alias(f"_lf{name}"),
+                F.min(s).alias(f"_f{name}"),
+                F.min(F.when(within >= seen, s)).alias(f"_ff{name}"),
+            ]
+            scans[f"_b1{name}"] = (F.last(f"_lf{name}"), -1, -1)
+            scans[f"_b2{name}"] = (F.last(f"_l{name}", ignorenulls=True), None, -2)
+            scans[f"_a1{name}"] = (F.first(f"_ff{name}"), 1, 1)
+            scans[f"_a2{name}"] = (F.first(f"_f{name}", ignorenulls=True), 2, None)
+        carried = scan_blocks(layout, core.groupBy(*layout.block_key).agg(*ends), **scans)
+        rows = rows.join(carried, layout.block_key, "left")
+        for name in samples:
+            rows = rows.withColumn(f"prev{name}", F.coalesce(f"prev{name}", f"_b1{name}", f"_b2{name}"))
+            rows = rows.withColumn(f"next{name}", F.coalesce(f"next{name}", f"_a1{name}", f"_a2{name}"))
+        rows = rows.drop(*scans)
+    return rows.drop(*[f"_s{name}" for name in samples])
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: list[str], spread_by: str, salts: int = 32) -> DataFrame:
+    """Inner join with a small per-key table, splitting each key of the large side into ``salts`` parts."""
+    left = rows.withColumn("_salt", F.pmod(F.col(spread_by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*key, "_salt"]).drop("_salt")

@@ -293,7 +293,7 @@ def scope_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "scope_compact_smooth",
     SERIES_SQL + SEGMENT_SQL
     + """, r AS (SELECT *, CASE WHEN in_scope THEN row_number() OVER (PARTITION BY user_id, scope, in_scope ORDER BY w) - 1 END AS rank FROM sc WHERE scope = 'motion_recovery')
-    SELECT user_id, w, rank,
+    SELECT user_id, w, coalesce(rank, -1) AS rank,
       CASE WHEN in_scope THEN quantile_cont(raw_hr, 0.5) OVER (PARTITION BY user_id, in_scope ORDER BY w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
            ELSE baseline_hr END AS adaptive_hr FROM r""".replace("ELSE baseline_hr END", "ELSE round(baseline_hr, 6) END"),
 )
@@ -304,6 +304,6 @@ def scope_compact_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.smooth_in_scope(win.with_df(rows.withColumn("in_scope", flag)), "raw_hr", "in_scope", 7, "smooth").select(
         "user_id",
         "w",
-        "rank",
+        F.coalesce("rank", F.lit(-1)).alias("rank"),
         F.when(F.col("in_scope"), F.col("smooth")).otherwise(rounded(F.col("baseline_hr"))).alias("adaptive_hr"),
     )

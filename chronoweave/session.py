@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", *, app: str = "chronoweave", memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_OPTIONS.items():
