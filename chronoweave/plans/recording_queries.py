@@ -112,7 +112,7 @@ def sensor_csv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_csv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = event_series(spark, sf_dir).core()
     text = F.concat_ws(",", F.lit(""), F.date_format("ts", "HH:mm:ss"), F.coalesce(F.col("reading").cast("string"), F.lit("")), F.lit(""))
-    summary = ["Name,Start time,Average heart rate (bpm)", "x,10:00:00,70", "Sample rate,Time,HR (bpm),Speed (km/h)"]
+    summary = ["Name,Sport,Date,Start time,Average heart rate (bpm)", "x,run,2024-01-01,10:00:00,70", "Sample rate,Time,HR (bpm),Speed (km/h)"]
     return recordings.parse_reference_lines(_with_header(core, summary, text))
 
 
