@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.functions import iir
 from chronoweave.functions.arrays import by_length
@@ -16,6 +17,7 @@ from chronoweave.operators.series import Layout, attach
 from chronoweave.storage import materialise
 
 MIN_SAMPLES = 8
+DOUBLES = T.ArrayType(T.DoubleType())
 
 
 def band_sections(fs: float, low_hz: float, high_hz: float, order: int = 4) -> np.ndarray | None:
@@ -83,7 +85,7 @@ def _carry_states(rows: DataFrame, layout: Layout, sections: np.ndarray, *, reve
         return pdf[[*key, "blk"]].assign(state=before)
 
     small = rows.select(*key, "blk", "m", "end_state")
-    schema = rows.select(*key, "blk").schema.add("state", "array<double>")
+    schema = rows.select(*key, "blk").schema.add("state", DOUBLES)
     return small.groupBy(*key).applyInPandas(scan, schema)
 
 
@@ -147,7 +149,7 @@ def _filter_carried(blocks: DataFrame, layout: Layout, name: str, sections: np.n
             yield pdf[key].assign(**{name: out})
 
     base = blocks.select(*key, "first_i", "_n", f"_mean_{name}", name)
-    schema = blocks.select(*key, "_n", f"_mean_{name}").schema.add("y", "array<double>").add("m", "bigint").add("end_state", "array<double>")
+    schema = blocks.select(*key, "_n", f"_mean_{name}").schema.add("y", DOUBLES).add("m", T.LongType()).add("end_state", DOUBLES)
     first = base.mapInPandas(lambda p: ahead(p, False), schema)
     if sections is None:
         done = first.select(*key, F.col("y").alias(name))
@@ -155,7 +157,7 @@ def _filter_carried(blocks: DataFrame, layout: Layout, name: str, sections: np.n
         forward = _carry_states(first, layout, sections, reverse=False)
         middle = materialise(base.join(forward, key).mapInPandas(lambda p: ahead(p, True), schema), "forward")
         backward = _carry_states(middle, layout, sections, reverse=True)
-        out_schema = blocks.select(*key).schema.add(name, "array<double>")
+        out_schema = blocks.select(*key).schema.add(name, DOUBLES)
         done = middle.join(backward, key).mapInPandas(back, out_schema)
     return done.withColumn("first_i", F.col("blk") * size)
 
@@ -169,12 +171,12 @@ def resample(layout: Layout, value: str, fs_in: int, fs_out: int) -> DataFrame:
     if fs_in == fs_out:
         return layout.core().select(*layout.key, F.col("i").alias("j"), (F.col("i") / fs_out).alias("t"), value)
     up, down, taps = iir.resample_taps(fs_in, fs_out)
-    half, size = len(taps) // 2, layout.block_rows
+    half, size, key = len(taps) // 2, layout.block_rows, layout.block_key
     if layout.spans_blocks:
         layout.check_reach(half // up + 1)
     stats = layout.core().groupBy(*layout.key).agg(F.count(F.lit(1)).alias("_n"))
     blocks = attach(layout, block_arrays(layout, [value], with_halo=True), stats)
-    schema = blocks.select(*layout.block_key).schema.add("j0", "bigint").add(value, "array<double>")
+    schema = blocks.select(*layout.block_key).schema.add("j0", T.LongType()).add(value, DOUBLES)
 
     def one(x: np.ndarray, blk: int, first_i: int, n: int) -> tuple[int, list]:
         begin = -(-blk * size * up // down)
@@ -193,7 +195,7 @@ def resample(layout: Layout, value: str, fs_in: int, fs_out: int) -> DataFrame:
                 one(np.asarray(x, dtype=float), int(b), int(f), int(n))
                 for x, b, f, n in zip(pdf[value], pdf["blk"], pdf["first_i"], pdf["_n"])
             ]
-            yield pdf[layout.block_key].assign(j0=[d[0] for d in done], **{value: [d[1] for d in done]})
+            yield pdf[key].assign(j0=[d[0] for d in done], **{value: [d[1] for d in done]})
 
     done = blocks.select(*layout.block_key, "first_i", "_n", value).mapInPandas(run, schema)
     rows = unpack(done, layout, {value: value}, first="j0")

@@ -14,7 +14,7 @@ def linear_between(axis: str, name: str = "") -> Column:
     """Straight line between the bracketing samples; NULL outside them."""
     p, n, x = F.col(f"prev{name}"), F.col(f"next{name}"), F.col(axis)
     inside = p.isNotNull() & n.isNotNull()
-    return F.when(inside & (p.x == n.x), p.v).when(
+    return F.when(p.x == x, p.v).when(
         inside, p.v + (n.v - p.v) / F.nullif((n.x - p.x).cast("double"), F.lit(0.0)) * (x - p.x)
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import adaptive, arrays
@@ -27,6 +27,7 @@ def register(name: str, sql: str | None = None):
 
 
 FS = 16.0
+SALTS = 64
 ROLES = ["ppg_green", "hf1", "hf2", "cf1", "cf2", "accx", "accy", "accz"]
 BASE_SQL = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)\n"
 POINT_SQL = BASE_SQL + ", p AS (SELECT vec_id, unnest(a) AS x, unnest(generate_series(0, 63)) AS n FROM v)\n"
@@ -119,31 +120,32 @@ def tap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, CAST(day AS INTEGER) AS day, CAST(place AS INTEGER) AS place, round(CASE WHEN place > 0 THEN c[place] ELSE prev END, 6) AS value FROM f""",
 )
 def near_biggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongest candidates of a user's day near the day's mean.
+    """Strongest candidates of a user's day near the day's mean."""
+    day = day_candidates(spark, sf_dir)
+    found = arrays.near_biggest(F.col("ranked"), F.col("prev"), F.lit(10.0))
+    return day.select("user_id", "day", found.alias("f")).select(
+        "user_id", "day", F.col("f.place").alias("place"), rounded(F.col("f.value")).alias("value")
+    )
 
-    Only the five largest values can matter, so each task keeps five candidates per group before
-    the shuffle instead of the whole day.
+
+def day_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest values of each user and day, and the day's mean.
+
+    Ranks are taken per salt first, so a hot day is split over many tasks and each of them hands on
+    five candidates only.
     """
-    events = table(spark, sf_dir, "events").select("user_id", F.dayofmonth("ts").alias("day"), "value", "event_id")
-    salted = events.withColumn("_salt", F.pmod(F.hash("event_id"), F.lit(64)))
-    key = F.struct((-F.col("value")).alias("k"), "event_id", "value")
+    salt = F.pmod(F.hash("event_id"), F.lit(SALTS))
+    events = table(spark, sf_dir, "events").select("user_id", F.dayofmonth("ts").alias("day"), "value", "event_id", salt.alias("_salt"))
+    strongest = Window.partitionBy("user_id", "day", "_salt").orderBy(F.desc("value"), "event_id")
+    item = F.struct((-F.col("value")).alias("k"), "event_id", "value")
     part = (
-        salted.withColumn("_r", F.row_number().over(_window("user_id", "day", "_salt").orderBy(F.desc("value"), "event_id")))
+        events.withColumn("_r", F.row_number().over(strongest))
         .groupBy("user_id", "day", "_salt")
-        .agg(F.collect_list(F.when(F.col("_r") <= 5, key)).alias("top"), F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+        .agg(F.collect_list(F.when(F.col("_r") <= 5, item)).alias("top"), F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     )
     day = part.groupBy("user_id", "day").agg(F.flatten(F.collect_list("top")).alias("top"), (F.sum("s") / F.sum("n")).alias("prev"))
     ranked = F.transform(F.slice(F.array_sort("top"), 1, 5), lambda c: c["value"])
-    found = arrays.near_biggest(ranked, F.col("prev"), F.lit(10.0))
-    return day.select("user_id", "day", found.alias("f")).select(
-        "user_id", "day", F.col("f.place").alias("place"), rounded(F.col("f.value")).alias("value")
-    )
-
-
-def _window(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
+    return day.select("user_id", "day", "prev", ranked.alias("ranked"))
 
 
 # --- adaptive filters ---------------------------------------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 RUNTIME_OPTIONS = {
@@ -12,7 +16,25 @@ RUNTIME_OPTIONS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="run-", dir="/tmp")) / "chronoweave.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     for key, value in RUNTIME_OPTIONS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
