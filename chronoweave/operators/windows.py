@@ -173,7 +173,7 @@ def adaptive_filter(u: str, d: str, kind: str, m: Column | int, k: Column | int,
     return run(F.col(u), F.col(d), lift(m, "int"), lift(k, "int"), lift(mu, "double"))
 
 
-def _by_strength(delays: str, names: list[str]) -> Column:
+def by_strength(delays: str, names: list[str]) -> Column:
     """Delay records of one sensor group, largest absolute correlation first, ties in declared order."""
     keyed = F.transform(
         F.filter(delays, lambda c: c["channel"].isin(names)),
@@ -193,7 +193,7 @@ def cascade(windows: DataFrame, primary: str, scheme: str, kind: str, delays: st
     windows = windows.withColumn("_cur", current)
     for group in SCHEME_GROUPS[scheme]:
         names = GROUPS[group]
-        ranked = _by_strength(delays, names)
+        ranked = by_strength(delays, names)
         for place in range(min(GROUP_LIMIT[group], len(names))):
             tag = f"_{group}{place}"
             windows = windows.withColumn(tag, F.get(ranked, F.lit(place)))
