@@ -130,6 +130,7 @@ def rest_rates(candidates: DataFrame, key: list[str], fs: float, opt: RestOption
 
 def delay_scores(rates: DataFrame, reference: DataFrame, key: list[str], opt: RestOptions) -> DataFrame:
     """Score table per recording and delay.  The reference is read once per window time, not per delay."""
+    rates = materialise(rates, "rates")
     times = rates.groupBy(*key, "j").agg(F.first("time_s").alias("t"))
     ref = interpolate_at(reference, times, key, "t", "hr").select(*key, "j", F.col("hr").alias("ref_hr"))
     joined = rates.join(ref, [*key, "j"]).withColumn("err", F.col("smooth") - F.col("ref_hr"))

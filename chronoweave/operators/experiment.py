@@ -123,7 +123,7 @@ def split_groups(groups: DataFrame, val_groups: int, test_groups: int, seed: int
     motion type may hold any number of groups.  Types with too few groups get split ``failed``.
     """
     key = F.concat_ws("|", F.lit(str(seed)), F.col("motion_type"), F.col("group_id"))
-    shuffled, _ = index_rows(groups.withColumn("_h", stable_hash(key)), ["motion_type"], ["_h", "group_id"])
+    shuffled, _ = index_rows(groups.withColumn("_h", stable_hash(key)), ["motion_type"], ["_h", "group_id"], derived=True)
     sizes = groups.groupBy("motion_type").agg(F.count(F.lit(1)).alias("_n"))
     split = (
         F.when(F.col("_n") - val_groups - test_groups < 1, "failed")
@@ -140,7 +140,7 @@ def leave_one_out_folds(groups: DataFrame) -> DataFrame:
     The training set of a fold is every group of the type but the held-out one; it is kept as that
     rule and as a count, never as the quadratic list of (fold, member) pairs.
     """
-    ordered, _ = index_rows(groups, ["motion_type"], ["motion_index", "group_id"])
+    ordered, _ = index_rows(groups, ["motion_type"], ["motion_index", "group_id"], derived=True)
     sizes = groups.groupBy("motion_type").agg(F.count(F.lit(1)).alias("_n"))
     return ordered.join(sizes, "motion_type").select(
         "motion_type",

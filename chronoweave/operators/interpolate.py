@@ -22,7 +22,7 @@ def interpolate_at(samples: DataFrame, points: DataFrame, key: list[str], x: str
     smp = samples.where(F.col(v).isNotNull() & F.col(x).isNotNull()).select(
         *key, x, F.col(v).alias("_v"), F.lit(0).alias("_kind"), none.alias("_p")
     )
-    lay = lay_out(smp.unionByName(pts), key, [x, "_kind"], label="interp", **layout_options)
+    lay = lay_out(smp.unionByName(pts), key, [x, "_kind"], label="interp", derived=True, **layout_options)
     rows = bracket(lay, lay.core(), "_v", x)
     return rows.where("_kind = 1").select(*key, x, linear_between(x).alias(v), "_p.*")
 

@@ -28,27 +28,23 @@ MOVE_BAND_HZ = (0.2, 5.0)
 PAIR = T.StructType([T.StructField("w", T.LongType()), T.StructField("baseline_hr", T.DoubleType()), T.StructField("adaptive_hr", T.DoubleType())])
 
 
-def band_bins(fs: float, n: int) -> np.ndarray:
-    freq = np.fft.rfftfreq(spectra.fft_length(n), 1.0 / fs)
+def band_bins(fs: float, n: int, nfft: int | None = None) -> np.ndarray:
+    freq = np.fft.rfftfreq(nfft or spectra.fft_length(n), 1.0 / fs)
     return freq[(freq >= RATE_BAND_HZ[0]) & (freq <= RATE_BAND_HZ[1])]
 
 
-def strongest(candidates: list[np.ndarray]) -> np.ndarray:
-    """Row-wise the candidate window with the largest energy, the first of equals."""
-    energy = [np.round(((c - c.mean(axis=1, keepdims=True)) ** 2).sum(axis=1), 9) for c in candidates]
-    return np.stack(candidates)[np.argmax(energy, axis=0), np.arange(len(candidates[0]))]
-
-
-def band_spectrum(signal: str, fs: float, penalty: list[str] | None = None, width_hz: float = 0.2, weight: float = 0.2) -> Column:
+def band_spectrum(
+    signal: str, fs: float, penalty: list[str] | None = None, width_hz: float = 0.2, weight: float = 0.2, nfft: int | None = None
+) -> Column:
     """In-band magnitudes.  With ``penalty`` signals, bins near the main frequency of the strongest
     of them, and near its double, are weighted down."""
 
     def one(x: np.ndarray, refs: list[np.ndarray]) -> list:
-        freq, amp = spectra.magnitude(x, fs)
+        freq, amp = spectra.magnitude(x, fs, nfft)
         band = (freq >= RATE_BAND_HZ[0]) & (freq <= RATE_BAND_HZ[1])
         freq, amp = freq[band], amp[:, band]
         if refs:
-            move = spectra.dominant(strongest(refs), fs, *MOVE_BAND_HZ)[:, None]
+            move = spectra.dominant(spectra.strongest(refs), fs, *MOVE_BAND_HZ, nfft)[:, None]
             near = (np.abs(freq - move) < width_hz) | (np.abs(freq - 2.0 * move) < width_hz)
             amp = np.where(near & (move > 0), amp * weight, amp)
         return list(amp)
@@ -99,8 +95,9 @@ def run_trial(
     extras = {k: params[k] for k in ("alpha_u", "M2", "rff_D", "rff_sigma", "rff_seed", "LMS_Mu_Min") if k in params}
     rows = W.cascade(rows, "ppg_green", scheme, kind, "delays", design, **extras)
     rows, penalty = penalty_columns(rows, scheme)
-    rows = rows.withColumn("_base", band_spectrum("ppg_green", fs)).withColumn(
-        "_adap", band_spectrum("filtered", fs, penalty, params["Spec_Penalty_Width"], params["Spec_Penalty_Weight"])
+    nfft = params.get("nfft")  # default: 8192 points or the next power of two
+    rows = rows.withColumn("_base", band_spectrum("ppg_green", fs, nfft=nfft)).withColumn(
+        "_adap", band_spectrum("filtered", fs, penalty, params["Spec_Penalty_Width"], params["Spec_Penalty_Weight"], nfft)
     )
     narrow = materialise(rows.select(*key, "w", "center_s", "label", "ref_hr", "in_scope", "stages", "_base", "_adap"), "spectra")
     return smooth_results(track_rates(narrow, key, fs, params, round(tw_s * fs)), key, params["smooth_win_len"])
@@ -114,7 +111,7 @@ def track_rates(rows: DataFrame, key: list[str], fs: float, params: dict, win: i
         F.array_sort(F.collect_list(F.struct("w", "in_scope", "_base", "_adap"))).alias("_a")
     )
     packed = packed.select(*key, "blk", *[F.col(f"_a.{c}").alias(c) for c in inputs])
-    freq = band_bins(fs, win)
+    freq = band_bins(fs, win, params.get("nfft"))
     how = {"reach_hz": params["hr_range_hz"], "limit": params["slew_limit_bpm"], "step": params["slew_step_bpm"]}
 
     def fold(block: dict, carry: list | None):

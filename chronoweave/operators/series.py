@@ -74,14 +74,16 @@ def partitions_for(rows: int, per_partition: int, parallelism: int) -> int:
     return max(1, min(MAX_PARTITIONS, max(parallelism, -(-rows // per_partition))))
 
 
-def index_rows(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, int]:
+def index_rows(df: DataFrame, key: list[str], order: list[str], *, derived: bool = False) -> tuple[DataFrame, int]:
     """Add the dense position ``i`` (from 0) of each row in its recording.
 
     A range partitioning on ``(key, order)`` splits hot recordings over many tasks.  Each sorted
     partition numbers its rows; only the run lengths, one row per (recording, partition), are
-    summed up per recording to find where a partition's run starts.
+    summed up per recording to find where a partition's run starts.  Counting, sampling the range
+    bounds and sorting each read the input: ``derived`` writes an input that is costly to compute.
     """
     spark = df.sparkSession
+    df = materialise(df, "derived") if derived else df
     rows = df.count()
     parts = partitions_for(rows, ROWS_PER_SORT_PARTITION, spark.sparkContext.defaultParallelism)
     numbered = (
@@ -113,12 +115,13 @@ def lay_out(
     block_rows: int = BLOCK_ROWS,
     halo: int = HALO_ROWS,
     label: str = "series",
+    derived: bool = False,
 ) -> Layout:
     """Index, block and write the recordings in ``df``.  ``key`` must not be NULL."""
     if halo >= block_rows:
         raise ValueError("the halo must be smaller than a block")
     spark = df.sparkSession
-    indexed, rows = index_rows(df, key, order)
+    indexed, rows = index_rows(df, key, order, derived=derived)
     home = F.expr(f"i div {block_rows}")
     blocks = F.sequence(
         F.expr(f"greatest(i - {halo}, 0) div {block_rows}"), F.expr(f"(i + {halo}) div {block_rows}")

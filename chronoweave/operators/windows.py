@@ -35,19 +35,21 @@ def dominant_frequency(col: str | Column, fs: float, low: float, high: float, nf
     return run(col)
 
 
-def band_maximum(col: str | Column, fs: float, low: float, high: float, nfft: int | None = None) -> Column:
-    """Frequency of the largest bin inside the band (Hamming weighted)."""
+def band_maximum(cols: list[Column], fs: float, low: float, high: float, nfft: int | None = None) -> Column:
+    """Frequency of the largest in-band bin of the candidate window with the most energy."""
+    names = [f"c{n}" for n in range(len(cols))]
 
-    def one(x: np.ndarray) -> np.ndarray:
+    def one(candidates: list[np.ndarray]) -> np.ndarray:
+        x = spectra.strongest(candidates)
         freq, amp = spectra.magnitude(x, fs, nfft)
         band = (freq >= low) & (freq <= high)
         return freq[band][amp[:, band].argmax(axis=1)] if band.any() else np.full(len(x), np.nan)
 
     @pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(x, lambda at: one(matrix(x.iloc[at]))))
+    def run(pdf: pd.DataFrame) -> pd.Series:
+        return pd.Series(by_length(pdf[names[0]], lambda at: one([matrix(pdf[n].iloc[at]) for n in names])))
 
-    return run(col)
+    return run(F.struct(*[c.alias(n) for c, n in zip(cols, names)]))
 
 
 def magnitude_spectrum(col: str | Column, fs: float, nfft: int | None = None) -> Column:

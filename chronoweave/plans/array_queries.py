@@ -254,7 +254,7 @@ def dominant_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select(
         "vec_id",
         windows.dominant_frequency("a", FS, 0.5, 4.0, 64).alias("peak_hz"),
-        windows.band_maximum("a", FS, 0.5, 4.0, 64).alias("max_hz"),
+        windows.band_maximum([F.col("a")], FS, 0.5, 4.0, 64).alias("max_hz"),
     )
 
 
@@ -335,6 +335,5 @@ def window_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def motion_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main frequency of the axis with the most energy, three axes of 16 samples."""
-    axes = [F.struct(F.round(arrays.energy(F.slice("a", 1 + 16 * j, 16)), 9).alias("e"), F.lit(-j).alias("m"), F.slice("a", 1 + 16 * j, 16).alias("s")) for j in range(3)]
-    best = vectors(spark, sf_dir).select("vec_id", F.array_max(F.array(*axes))["s"].alias("s"))
-    return best.select("vec_id", windows.band_maximum("s", FS, 0.2, 5.0, 16).alias("move_hz"))
+    axes = [F.slice("a", 1 + 16 * j, 16) for j in range(3)]
+    return vectors(spark, sf_dir).select("vec_id", windows.band_maximum(axes, FS, 0.2, 5.0, 16).alias("move_hz"))

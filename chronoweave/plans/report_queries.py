@@ -13,6 +13,7 @@ from chronoweave.plans.metric_queries import RESULT_SQL, results, trial_history
 from chronoweave.plans.series_queries import SEGMENT_SQL, SERIES_SQL, motion_layout
 from chronoweave.plans.tables import event_series, table
 from chronoweave.sources import sinks
+from chronoweave.storage import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,7 +144,7 @@ PROTOCOL_FS, PROTOCOL_TW = 4.0, 4.0
 REST = alignment.RestOptions(tw_s=2.0, hop_s=0.25, score_start_s=1.0, delay_step_s=0.25, delay_max_s=1.0, band_bpm=(24.0, 120.0))
 PARAMS = {
     "Kstop": 0.3, "max_order": 8, "M_base": 2, "C_scale": 1.2, "K_max": 4, "LMS_Mu_Base": 0.01, "Spec_Penalty_Width": 0.2,
-    "Spec_Penalty_Weight": 0.2, "smooth_win_len": 7, "hr_range_hz": 25 / 60, "slew_limit_bpm": 10, "slew_step_bpm": 7,
+    "Spec_Penalty_Weight": 0.2, "smooth_win_len": 7, "hr_range_hz": 25 / 60, "slew_limit_bpm": 10, "slew_step_bpm": 7, "nfft": 256,
 }
 
 
@@ -157,6 +158,7 @@ def protocol_inputs(spark: SparkSession, sf_dir: str):
     }
     lay = lay.with_df(lay.df.withColumns(channels))
     _, segs = segments.activity_segments(lay, "mag", PROTOCOL_FS, 1.0, 0.25, 4.0)
+    segs = materialise(segs, "segments")
     ref = lay.core().select("user_id", (F.col("i") / PROTOCOL_FS).alias("t"), (60.0 + k / 2.0).alias("hr"))
     return lay, segs, ref, list(channels)
 
@@ -167,6 +169,7 @@ def rest_delay_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     lay, segs, ref, _ = protocol_inputs(spark, sf_dir)
     candidates = alignment.rest_candidates(lay, segs, PROTOCOL_FS, REST, "ppg_green", "accz")
     scores = alignment.delay_scores(alignment.rest_rates(candidates, ["user_id"], PROTOCOL_FS, REST), ref, ["user_id"], REST)
+    scores = materialise(scores, "scores")
     best = alignment.best_delays(scores, ["user_id"], REST).select("user_id", F.col("delay").alias("best"))
     table = scores.join(best, "user_id", "left").withColumn("selected", F.coalesce(F.col("delay") == F.col("best"), F.lit(False)))
     return table.drop("best").withColumns({n: rounded(F.col(n)) for n in ("aae", "std", "rmse")})
@@ -199,7 +202,7 @@ def protocol_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     lay, segs, ref, channels = protocol_inputs(spark, sf_dir)
     candidates = alignment.rest_candidates(lay, segs, PROTOCOL_FS, REST, "ppg_green", "accz")
     scores = alignment.delay_scores(alignment.rest_rates(candidates, ["user_id"], PROTOCOL_FS, REST), ref, ["user_id"], REST)
-    best = alignment.best_delays(scores, ["user_id"], REST)
+    best = materialise(alignment.best_delays(scores, ["user_id"], REST), "delays")
     wins = alignment.training_windows(lay, segs, best, ref, channels, PROTOCOL_FS, PROTOCOL_TW, 0.25)
     moves = alignment.motion_frequency(lay, segs, ["accx", "accy", "accz"], PROTOCOL_FS)
     wins = wins.join(moves, "user_id", "left").withColumn("move_hz", F.coalesce("move_hz", F.lit(1.0)))

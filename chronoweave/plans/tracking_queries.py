@@ -67,7 +67,7 @@ def rest_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.operators.missing import smooth_short
 
     days = day_candidates(spark, sf_dir).select("user_id", "day", F.transform("ranked", lambda c: c / 60.0).alias("freqs"))
-    lay = lay_out(days, ["user_id"], ["day"], label="days")
+    lay = lay_out(days, ["user_id"], ["day"], label="days", derived=True)
 
     def fold(block: dict, carry: list | None):
         return tracking.track_rest(block["freqs"], carry, band=30.0, limit=6.0, step=4.0)
