@@ -61,6 +61,11 @@ def band_spectrum(
     return run(F.struct(F.col(signal).alias("x"), *refs))
 
 
+def plain_rate(signal: str, fs: float) -> Column:
+    """Frequency of the largest bin between 0.5 and 2 Hz."""
+    return W.band_maximum([F.col(signal)], fs, 0.5, 2.0)
+
+
 def penalty_columns(rows: DataFrame, scheme: str) -> tuple[DataFrame, list[str]]:
     """Signals of the spectral penalty: the axes for ACC schemes, else the primary bridge channel."""
     if "ACC" in W.SCHEME_GROUPS[scheme]:

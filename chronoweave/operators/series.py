@@ -118,16 +118,22 @@ def lay_out(
     derived: bool = False,
 ) -> Layout:
     """Index, block and write the recordings in ``df``.  ``key`` must not be NULL."""
+    indexed, rows = index_rows(df, key, order, derived=derived)
+    return block_rows_of(indexed, key, rows, block_rows=block_rows, halo=halo, label=label)
+
+
+def block_rows_of(
+    indexed: DataFrame, key: list[str], rows: int, *, block_rows: int = BLOCK_ROWS, halo: int = HALO_ROWS, label: str = "series"
+) -> Layout:
+    """Block and write rows that carry their position ``i``; about ``rows`` rows are expected."""
     if halo >= block_rows:
         raise ValueError("the halo must be smaller than a block")
-    spark = df.sparkSession
-    indexed, rows = index_rows(df, key, order, derived=derived)
-    home = F.expr(f"i div {block_rows}")
+    spark = indexed.sparkSession
     blocks = F.sequence(
         F.expr(f"greatest(i - {halo}, 0) div {block_rows}"), F.expr(f"(i + {halo}) div {block_rows}")
     )
     overlapped = (
-        indexed.withColumn("_home", home)
+        indexed.withColumn("_home", F.expr(f"i div {block_rows}"))
         .withColumn("blk", F.explode(blocks))
         .withColumn("core", F.col("blk") == F.col("_home"))
         .drop("_home")

@@ -59,6 +59,15 @@ def read_sensor_csv(spark: SparkSession, paths: str | list[str], fs: float = 100
     return parse_sensor_lines(number_lines(_lines(spark, paths)), fs)
 
 
+def missing_columns(lines: DataFrame) -> DataFrame:
+    """Files whose header lacks required columns, with the reason."""
+    header = lines.where("i = 0").select("sample_id", _fields(F.col("value")).alias("_names"))
+    lacking = F.array_except(F.array(*[F.lit(c) for c in SENSOR_COLUMNS]), F.col("_names"))
+    return header.where(F.size(lacking) > 0).select(
+        "sample_id", F.concat(F.lit("missing required columns: "), F.array_join(F.array_sort(lacking), ", ")).alias("reason")
+    )
+
+
 def parse_sensor_lines(lines: DataFrame, fs: float = 100.0) -> DataFrame:
     """Lines ``(sample_id, i, value)`` with a header at ``i = 0`` to rows ``sample_id, i, t, channels``.
 
