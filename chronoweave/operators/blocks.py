@@ -29,11 +29,15 @@ def block_arrays(layout: Layout, columns: list[str], *, with_halo: bool = False)
     return packed.select(*layout.block_key, F.element_at("_a", 1)["i"].alias("first_i"), *arrays)
 
 
-def unpack(blocks: DataFrame, layout: Layout, arrays: dict[str, str], first: str = "first_i") -> DataFrame:
-    """Back to one row per sample: ``arrays`` maps array columns to output names."""
+def unpack(blocks: DataFrame, layout: Layout, arrays: dict[str, str], first: str | None = None) -> DataFrame:
+    """Back to one row per sample: ``arrays`` maps array columns to output names.
+
+    Arrays of core rows start at the first row of their block unless ``first`` names a column.
+    """
+    start = F.col("blk") * layout.block_rows if first is None else F.col(first)
     zipped = F.arrays_zip(*[F.col(a).alias(out) for a, out in arrays.items()])
     names = list(arrays.values())
-    return blocks.select(*layout.block_key, F.col(first).alias("_f"), F.posexplode(zipped).alias("_p", "_z")).select(
+    return blocks.select(*layout.block_key, start.alias("_f"), F.posexplode(zipped).alias("_p", "_z")).select(
         *layout.block_key, (F.col("_f") + F.col("_p")).alias("i"), *[F.col("_z")[n].alias(n) for n in names]
     )
 
@@ -42,19 +46,29 @@ Step = Callable[[dict, list | None], tuple[list, list | None]]
 
 
 def stateful_scan(
-    blocks: DataFrame, key: list[str], inputs: list[str], step: Step, out_type: T.DataType, *, spans_blocks: bool
+    blocks: DataFrame,
+    key: list[str],
+    inputs: list[str],
+    step: Step,
+    out_type: T.DataType,
+    *,
+    spans_blocks: bool,
+    keep: list[str] = (),
 ) -> DataFrame:
     """Ordered fold over the blocks of each recording; adds the array column ``out``.
 
+    ``keep`` names further array columns that are passed through.
+
     ``step(arrays of one block, carry)`` returns the outputs of the block and the next carry (a short
     list of doubles, ``None`` before the first sample).  The fold runs block by block in parallel:
     every block first starts without a carry, then blocks whose true carry differs are repeated
     until no carry changes.  Trackers forget their start within a few samples, so a second round
     usually settles it; the result is that of the sequential fold in any case.
     """
-    schema = blocks.select(*key, "blk").schema.add("out", T.ArrayType(out_type)).add("carry_out", T.ArrayType(T.DoubleType()))
+    def schema(passed: list[str]) -> T.StructType:
+        return blocks.select(*key, "blk", *passed).schema.add("out", T.ArrayType(out_type)).add("carry_out", T.ArrayType(T.DoubleType()))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(passed: list[str], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             outs, carries = [], []
             for row in pdf.to_dict("records"):
@@ -62,14 +76,15 @@ def stateful_scan(
                 out, carry = step({c: row[c] for c in inputs}, None if carry is None else list(carry))
                 outs.append(out)
                 carries.append(carry)
-            yield pdf[[*key, "blk"]].assign(out=outs, carry_out=carries)
+            yield pdf[[*key, "blk", *passed]].assign(out=outs, carry_out=carries)
 
-    def fold(rows: DataFrame) -> DataFrame:
-        return rows.select(*key, "blk", "carry_in", *inputs).mapInPandas(run, schema)
+    def fold(rows: DataFrame, passed: list[str] = ()) -> DataFrame:
+        needed = list(dict.fromkeys([*inputs, *passed]))
+        return rows.select(*key, "blk", "carry_in", *needed).mapInPandas(lambda p: run(list(passed), p), schema(passed))
 
     nothing = F.lit(None).cast("array<double>")
     if not spans_blocks:
-        return fold(blocks.withColumn("carry_in", nothing)).drop("carry_out")
+        return fold(blocks.withColumn("carry_in", nothing), keep).drop("carry_out")
 
     block_key = [*key, "blk"]
     order = Window.partitionBy(*key).orderBy("blk")
@@ -91,4 +106,4 @@ def stateful_scan(
             ),
             "carry",
         )
-    return fold(blocks.join(state.select(*block_key, "carry_in"), block_key)).drop("carry_out")
+    return fold(blocks.join(state.select(*block_key, "carry_in"), block_key), keep).drop("carry_out")

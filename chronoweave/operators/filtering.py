@@ -41,7 +41,7 @@ def bandpass(layout: Layout, channels: dict[str, tuple[float, float]], fs: float
     blocks = attach(layout, block_arrays(layout, list(channels), with_halo=True), stats)
     if not layout.spans_blocks:
         done = _filter_whole(blocks, layout, channels, fs)
-        return unpack(done, layout, {c: c for c in channels})
+        return unpack(done, layout, {c: c for c in channels}, "first_i")
     result = None
     for name, band in channels.items():
         rows = unpack(_filter_carried(blocks, layout, name, band_sections(fs, *band)), layout, {name: name})
@@ -159,7 +159,7 @@ def _filter_carried(blocks: DataFrame, layout: Layout, name: str, sections: np.n
         backward = _carry_states(middle, layout, sections, reverse=True)
         out_schema = blocks.select(*key).schema.add(name, DOUBLES)
         done = middle.join(backward, key).mapInPandas(back, out_schema)
-    return done.withColumn("first_i", F.col("blk") * size)
+    return done
 
 
 def resample(layout: Layout, value: str, fs_in: int, fs_out: int) -> DataFrame:

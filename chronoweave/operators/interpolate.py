@@ -10,11 +10,12 @@ from chronoweave.operators.missing import linear_between
 from chronoweave.operators.series import bracket, lay_out
 
 
-def interpolate_at(samples: DataFrame, points: DataFrame, key: list[str], x: str, v: str, **layout_options) -> DataFrame:
+def interpolate_at(samples: DataFrame, points: DataFrame, key: list[str], x: str, v: str, *, derived: bool = True, **layout_options) -> DataFrame:
     """Linear interpolation of ``samples(key, x, v)`` at ``points(key, x, ...)``; NULL outside.
 
     Samples and points form one ordered series that is laid out in blocks; each point then sees the
     sample before and after it.  Neither a range join nor a hot recording can grow a task.
+    ``derived=False`` says that both inputs are cheap to read again (plain table scans).
     """
     payload = [c for c in points.columns if c not in (*key, x)]
     pts = points.select(*key, x, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_kind"), F.struct(*payload).alias("_p"))
@@ -22,7 +23,7 @@ def interpolate_at(samples: DataFrame, points: DataFrame, key: list[str], x: str
     smp = samples.where(F.col(v).isNotNull() & F.col(x).isNotNull()).select(
         *key, x, F.col(v).alias("_v"), F.lit(0).alias("_kind"), none.alias("_p")
     )
-    lay = lay_out(smp.unionByName(pts), key, [x, "_kind"], label="interp", derived=True, **layout_options)
+    lay = lay_out(smp.unionByName(pts), key, [x, "_kind"], label="interp", derived=derived, **layout_options)
     rows = bracket(lay, lay.core(), "_v", x)
     return rows.where("_kind = 1").select(*key, x, linear_between(x).alias(v), "_p.*")
 

@@ -78,21 +78,20 @@ def smooth_short(layout: Layout, value: str, width: int, out: str = "smooth") ->
     return rows.withColumn(out, result).where("core").drop("core", "_n")
 
 
-def flag_local_outliers(layout: Layout, value: str, width: int, threshold: float = 3.0) -> Layout:
-    """Add ``outlier``: further from the moving median than ``threshold`` scaled moving MADs."""
+def flag_local_outliers(layout: Layout, flags: dict[str, str], width: int, threshold: float = 3.0) -> Layout:
+    """Add a flag per value (``flags`` maps value to flag name): further from the moving median than
+    ``threshold`` scaled moving MADs."""
     layout.check_reach(2 * (width // 2) + 1)
-    frame = layout.centred(width)
-    half = F.lit(0.5)
-    return layout.with_df(
-        layout.df.withColumn("_med", F.percentile(F.col(value), half).over(frame))
-        .withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-        .withColumn("_mad", F.percentile(F.col("_dev"), half).over(frame) * MAD_SCALE)
-        .withColumn(
-            "outlier",
-            F.coalesce((F.col("_mad") > 0) & (F.col("_dev") > threshold * F.col("_mad")), F.lit(False)),
-        )
-        .drop("_med", "_dev", "_mad")
-    )
+    frame, half = layout.centred(width), F.lit(0.5)
+    median = {f"_med_{v}": F.percentile(v, half).over(frame) for v in flags}
+    deviation = {f"_dev_{v}": F.abs(F.col(v) - F.col(f"_med_{v}")) for v in flags}
+    scale = {f"_mad_{v}": F.percentile(f"_dev_{v}", half).over(frame) * MAD_SCALE for v in flags}
+    flag = {
+        out: F.coalesce((F.col(f"_mad_{v}") > 0) & (F.col(f"_dev_{v}") > threshold * F.col(f"_mad_{v}")), F.lit(False))
+        for v, out in flags.items()
+    }
+    df = layout.df.withColumns(median).withColumns(deviation).withColumns(scale).withColumns(flag)
+    return layout.with_df(df.drop(*median, *deviation, *scale))
 
 
 def replace_local_outliers(layout: Layout, value: str, width: int, out: str = "clean") -> DataFrame:
@@ -102,7 +101,7 @@ def replace_local_outliers(layout: Layout, value: str, width: int, out: str = "c
     """
     if width <= 1:
         return layout.core().withColumn(out, F.col(value)).withColumn("outlier", F.lit(False))
-    flagged = flag_local_outliers(layout, value, width)
+    flagged = flag_local_outliers(layout, {value: "outlier"}, width)
     rows = flagged.core().withColumn("_kept", F.when(~F.col("outlier"), F.col(value)))
     any_outlier = rows.groupBy(*layout.key).agg(F.bool_or("outlier").alias("_any"))
     filled = fill_rows(flagged, rows, "_kept", "_filled")

@@ -27,10 +27,7 @@ def clean_recording(layout: Layout, width: int) -> DataFrame:
     ``width`` rows; the ratio channels divide the bridge voltages and fill undefined points.
     """
     flagged = layout.with_df(fill_many(layout, layout.df, [*PPG, *BRIDGE, "uc1", "uc2", *INERTIAL], with_halo=True))
-    for name in PPG:
-        flagged = flag_local_outliers(flagged, name, width)
-        flagged = flagged.with_df(flagged.df.withColumnRenamed("outlier", f"_out_{name}"))
-    rows = flagged.core()
+    rows = flag_local_outliers(flagged, {n: f"_out_{n}" for n in PPG}, width).core()
     any_out = rows.groupBy(*layout.key).agg(*[F.bool_or(f"_out_{n}").alias(f"_any_{n}") for n in PPG])
     gaps = {f"_fix_{n}": F.when(~F.col(f"_out_{n}"), F.col(n)) for n in PPG}
     for n in ("1", "2"):

@@ -140,8 +140,8 @@ def block_rows_of(
     )
     buckets = partitions_for(rows, ROWS_PER_BUCKET, spark.sparkContext.defaultParallelism)
     written = materialise_bucketed(overlapped, label, buckets, [*key, "blk"], [*key, "blk", "i"])
-    blocks = materialise(written.where("core").select(*key, "blk").distinct(), f"{label}-blocks")
-    last = blocks.agg(F.max("blk")).first()[0]
+    blocks = written.where("core").select(*key, "blk").distinct()  # bucketed: no exchange
+    last = written.where("core").agg(F.max("blk")).first()[0]
     return Layout(written, tuple(key), block_rows, halo, int(last or 0), blocks)
 
 
@@ -189,9 +189,11 @@ def bracket_many(
     """
     w = layout.window()
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    for name, (value, axis, known) in samples.items():
-        packed = F.struct(F.col("i"), F.col(axis).alias("x"), F.col(value).alias("v"))
-        rows = rows.withColumn(f"_s{name}", F.when(known, packed))
+    packed = {
+        f"_s{name}": F.when(known, F.struct(F.col("i"), F.col(axis).alias("x"), F.col(value).alias("v")))
+        for name, (value, axis, known) in samples.items()
+    }
+    rows = rows.withColumns(packed)
     both = {}
     for name in samples:
         both[f"prev{name}"] = F.last(f"_s{name}", ignorenulls=True).over(back)
@@ -217,10 +219,9 @@ def bracket_many(
             scans[f"_a2{name}"] = (F.first(f"_f{name}", ignorenulls=True), 2, None)
         carried = scan_blocks(layout, core.groupBy(*layout.block_key).agg(*ends), **scans)
         rows = rows.join(carried, layout.block_key, "left")
-        for name in samples:
-            rows = rows.withColumn(f"prev{name}", F.coalesce(f"prev{name}", f"_b1{name}", f"_b2{name}"))
-            rows = rows.withColumn(f"next{name}", F.coalesce(f"next{name}", f"_a1{name}", f"_a2{name}"))
-        rows = rows.drop(*scans)
+        whole = {f"prev{name}": F.coalesce(f"prev{name}", f"_b1{name}", f"_b2{name}") for name in samples}
+        whole |= {f"next{name}": F.coalesce(f"next{name}", f"_a1{name}", f"_a2{name}") for name in samples}
+        rows = rows.withColumns(whole).drop(*scans)
     return rows.drop(*[f"_s{name}" for name in samples])
 
 

@@ -131,21 +131,22 @@ def near_biggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five largest values of each user and day, and the day's mean.
 
-    Ranks are taken per salt first, so a hot day is split over many tasks and each of them hands on
-    five candidates only.
+    Ranks are taken per salt first and only five rows per salt pass, before and after the shuffle,
+    so a hot day is split over many tasks and its final group holds a few hundred rows at most.
     """
-    salt = F.pmod(F.hash("event_id"), F.lit(SALTS))
-    events = table(spark, sf_dir, "events").select("user_id", F.dayofmonth("ts").alias("day"), "value", "event_id", salt.alias("_salt"))
+    events = table(spark, sf_dir, "events").select("user_id", F.dayofmonth("ts").alias("day"), "value", "event_id")
+    mean = events.groupBy("user_id", "day").agg(F.avg("value").alias("prev"))
+    salted = events.withColumn("_salt", F.pmod(F.hash("event_id"), F.lit(SALTS)))
     strongest = Window.partitionBy("user_id", "day", "_salt").orderBy(F.desc("value"), "event_id")
     item = F.struct((-F.col("value")).alias("k"), "event_id", "value")
-    part = (
-        events.withColumn("_r", F.row_number().over(strongest))
-        .groupBy("user_id", "day", "_salt")
-        .agg(F.collect_list(F.when(F.col("_r") <= 5, item)).alias("top"), F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    top = (
+        salted.withColumn("_r", F.row_number().over(strongest))
+        .where("_r <= 5")
+        .groupBy("user_id", "day")
+        .agg(F.array_sort(F.collect_list(item)).alias("top"))
     )
-    day = part.groupBy("user_id", "day").agg(F.flatten(F.collect_list("top")).alias("top"), (F.sum("s") / F.sum("n")).alias("prev"))
-    ranked = F.transform(F.slice(F.array_sort("top"), 1, 5), lambda c: c["value"])
-    return day.select("user_id", "day", "prev", ranked.alias("ranked"))
+    ranked = F.transform(F.slice("top", 1, 5), lambda c: c["value"])
+    return top.join(mean, ["user_id", "day"]).select("user_id", "day", "prev", ranked.alias("ranked"))
 
 
 # --- adaptive filters ---------------------------------------------------------------------------

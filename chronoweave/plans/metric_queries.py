@@ -472,7 +472,7 @@ def interpolated_points(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> D
     )
     points = points.withColumn("t", F.col("t") + F.col("bias_h") * 3600.0)
     samples = rows.where("reading IS NOT NULL").select("user_id", "t", "reading")
-    return interpolate.interpolate_at(samples, points, ["user_id"], "t", "reading").withColumnRenamed("reading", "ref")
+    return interpolate.interpolate_at(samples, points, ["user_id"], "t", "reading", derived=False).withColumnRenamed("reading", "ref")
 
 
 @register(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.functions.columns import as_number, clock_seconds, guarded_ratio, magnitude, rounded, window_label
+from chronoweave.functions.columns import as_number, clock_seconds, magnitude, rounded, truthy, window_label
 from chronoweave.operators import missing, segments
-from chronoweave.plans.tables import event_rows, event_series, table
+from chronoweave.plans.tables import event_series, table
 
 FS = 1.0  # one sample per second: the position in the recording is the time axis
 WIDTH_S, HOP_S, CALIBRATION_S = 8.0, 1.0, 30.0
+FLAG_TEXT = ["click", " Yes ", "view", "TRUE", "error", "0", "signup", "no", "purchase", "2"]
 
 SERIES_SQL = """
 WITH e AS (
@@ -139,10 +140,8 @@ def moving_median_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ratio_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lay = event_series(spark, sf_dir)
-    lay = lay.with_df(lay.df.withColumn("total", F.col("value") + (F.col("k") - 50.0)).withColumn("den", F.col("k") - 50.0))
-    rows = lay.core().withColumn("_raw", guarded_ratio(F.col("value"), F.col("den")))
-    filled = missing.fill_rows(lay, rows, "_raw", "_filled")
-    return filled.select("user_id", "event_id", rounded(F.coalesce("_filled", F.lit(0.0)), 9).alias("ratio"))
+    lay = lay.with_df(lay.df.withColumn("total", F.col("value") + (F.col("k") - 50.0)))
+    return missing.ratio_channel(lay, "value", "total").select("user_id", "event_id", rounded(F.col("ratio"), 9).alias("ratio"))
 
 
 @register(
@@ -165,7 +164,7 @@ def scalar_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_number(text).alias("number"),
         clock_seconds(clock).alias("seconds"),
         F.when(half, window_label(F.col("value"))).otherwise("TWx").alias("tw"),
-        F.col("event_type").isin("click", "view").alias("flag"),
+        truthy(F.create_map(*[F.lit(x) for x in FLAG_TEXT])[F.col("event_type")]).alias("flag"),
     )
 
 

@@ -43,9 +43,8 @@ def register(name: str, sql: str | None = None):
 )
 def slew_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     lay = event_series(spark, sf_dir)
-    done = tracking.slew_limited(lay, "reading")
-    ids = lay.core().select(*lay.block_key, "i", "event_id")
-    return done.join(ids, [*lay.block_key, "i"]).select("user_id", "event_id", rounded(F.col("limited")).alias("limited"))
+    done = tracking.slew_limited(lay, "reading", keep=["event_id"])
+    return done.select("user_id", "event_id", rounded(F.col("limited")).alias("limited"))
 
 
 @register(
@@ -72,9 +71,9 @@ def rest_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fold(block: dict, carry: list | None):
         return tracking.track_rest(block["freqs"], carry, band=30.0, limit=6.0, step=4.0)
 
-    blocks = block_arrays(lay, ["freqs", "day"])
+    blocks = block_arrays(lay, ["freqs"])
     done = stateful_scan(blocks, ["user_id"], ["freqs"], fold, T.DoubleType(), spans_blocks=lay.spans_blocks)
-    rows = unpack(done.join(blocks.select("user_id", "blk", "first_i", "day"), ["user_id", "blk"]), lay, {"out": "tracked", "day": "day"})
+    rows = unpack(done, lay, {"out": "tracked"})
     tracked = lay.with_df(lay.df.join(rows.select("user_id", "i", "tracked"), ["user_id", "i"]))
     return smooth_short(tracked, "tracked", 3).select(
         "user_id", "day", rounded(F.col("tracked")).alias("tracked"), rounded(F.col("smooth")).alias("smooth")

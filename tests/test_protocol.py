@@ -64,6 +64,14 @@ def test_global_delay_is_found(delays):
     assert found["a"].aae < 3.0 and found["a"].n_valid > 40
 
 
+def test_rest_curve_at_the_best_delay(world, delays):
+    layout, segs, ref = world
+    opt = RestOptions(delay_step_s=0.5)
+    rates = alignment.rest_rates(alignment.rest_candidates(layout, segs, FS, opt, "ppg_green", "accz"), ["rec"], FS, opt)
+    curve = alignment.rest_curve(rates, delays, ref, ["rec"]).toPandas()
+    assert curve.groupby("rec").size().min() > 40 and (curve.ppg_hr - curve.ref_hr).abs().mean() < 3.0
+
+
 def test_motion_frequency_of_whole_segment(world):
     layout, segs, _ = world
     hz = {r.rec: r.move_hz for r in alignment.motion_frequency(layout, segs, ["accx", "accy", "accz"], FS).collect()}
