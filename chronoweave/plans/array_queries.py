@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions import adaptive, arrays
+from chronoweave.functions import adaptive, arrays, iir
 from chronoweave.functions.columns import rounded
 from chronoweave.operators import windows
 from chronoweave.operators.delay import filter_design
+from chronoweave.plans.filter_sql import zero_phase_sql
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -318,7 +319,19 @@ def cascade_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("win", F.posexplode(F.from_json("stages_json", schema)).alias("stage", "s")).select("win", "stage", "s.*")
 
 
-@register("window_envelope")
+ENVELOPE_SQL = (
+    POINT_SQL.replace("WITH v", "WITH RECURSIVE v")
+    + """, c AS (SELECT vec_id, n, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM p)
+    , hb AS (SELECT a.vec_id, a.n, a.x, sum(CASE WHEN (a.n - b.n) % 2 <> 0 THEN b.x * 2 / 64.0::DOUBLE / tan(pi() * (a.n - b.n) / 64) ELSE 0 END) AS h
+             FROM c a JOIN c b ON b.vec_id = a.vec_id GROUP BY ALL)
+    , ev AS (SELECT vec_id, n AS i, sqrt(x * x + h * h) AS v FROM hb)"""
+    + zero_phase_sql("ev", "vec_id", iir.butter_lowpass(2, 0.3 / (FS / 2.0)), "q")
+    + """SELECT o.vec_id, CAST(o.i AS INTEGER) AS n, round((o.v - mu) / sd, 6) + 0.0 AS envelope
+    FROM q_out o JOIN (SELECT vec_id, avg(v) AS mu, stddev_pop(v) AS sd FROM q_out GROUP BY vec_id) s ON s.vec_id = o.vec_id"""
+)
+
+
+@register("window_envelope", ENVELOPE_SQL)
 def window_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = vectors(spark, sf_dir).select("vec_id", windows.envelope("a", FS).alias("env"))
     return per_sample(done, "vec_id", "env", "envelope")

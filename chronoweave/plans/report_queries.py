@@ -175,8 +175,8 @@ def rest_delay_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.drop("best").withColumns({n: rounded(F.col(n)) for n in ("aae", "std", "rmse")})
 
 
-MOVE_SQL = """, m0 AS (SELECT mag.user_id, i, value * burst AS ax, k * burst AS ay, start_s, end_s FROM mag JOIN seg USING (user_id) WHERE status = 'ok' AND i >= start_s AND i < end_s)
-, st AS MATERIALIZED (SELECT user_id, count(*) AS n, min(i) AS i0, avg(ax) AS mx, avg(ay) AS my, var_pop(ax) AS ex, var_pop(ay) AS ey FROM m0 GROUP BY user_id)
+MOVE_SQL = """, m0 AS (SELECT mag.user_id, i, value * burst AS ax, k * burst AS ay, start_s, end_s FROM mag JOIN (SELECT user_id, start_s, end_s FROM seg WHERE end_s IS NOT NULL) b USING (user_id) WHERE i >= start_s AND i < end_s)
+, st AS (SELECT user_id, count(*) AS n, min(i) AS i0, avg(ax) AS mx, avg(ay) AS my, var_pop(ax) AS ex, var_pop(ay) AS ey FROM m0 GROUP BY user_id)
 , y AS (SELECT m0.user_id, n, i - i0 AS j, (CASE WHEN round(ex * n, 9) >= round(ey * n, 9) THEN ax - mx ELSE ay - my END) * (0.54 - 0.46 * cos(2 * pi() * (i - i0) / n)) AS y
         FROM m0 JOIN st USING (user_id) WHERE n >= 8)
 , sp AS (SELECT user_id, b * 1.0::DOUBLE / n AS hz, sqrt(pow(sum(y * cos(2 * pi() * b * j / n)), 2) + pow(sum(y * sin(2 * pi() * b * j / n)), 2)) AS amp

@@ -12,6 +12,7 @@ from chronoweave.operators import filtering, tracking
 from chronoweave.operators.blocks import block_arrays, stateful_scan, unpack
 from chronoweave.operators.series import lay_out
 from chronoweave.plans.array_queries import day_candidates
+from chronoweave.plans.filter_sql import zero_phase_sql
 from chronoweave.plans.series_queries import SERIES_SQL
 from chronoweave.plans.tables import event_series
 
@@ -80,12 +81,19 @@ def rest_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("bandpass_series")
+@register(
+    "bandpass_series",
+    SERIES_SQL.replace("WITH e", "WITH RECURSIVE e")
+    + ", sv AS (SELECT user_id, i, value AS v FROM e), sk AS (SELECT user_id, i, k AS v FROM e)"
+    + zero_phase_sql("sv", "user_id", filtering.band_sections(10.0, 0.5, 5.0), "v")
+    + zero_phase_sql("sk", "user_id", filtering.band_sections(10.0, 0.1, 5.0), "k")
+    + "SELECT a.user_id, a.i, round(a.v, 4) + 0.0 AS value, round(b.v, 4) + 0.0 AS k FROM v_out a JOIN k_out b ON b.user_id = a.user_id AND b.i = a.i",
+)
 def bandpass_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero-phase band-pass of two channels at 10 Hz (unit-tested against a plain recursion)."""
     lay = event_series(spark, sf_dir)
     done = filtering.bandpass(lay, {"value": (0.5, 5.0), "k": (0.1, 5.0)}, 10.0)
-    return done.select("user_id", "i", rounded(F.col("value")).alias("value"), rounded(F.col("k")).alias("k"))
+    return done.select("user_id", "i", rounded(F.col("value"), 4).alias("value"), rounded(F.col("k"), 4).alias("k"))
 
 
 def _taps_sql(fs_in: int, fs_out: int) -> str:
