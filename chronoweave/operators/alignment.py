@@ -216,25 +216,33 @@ def partial_fourier(y: np.ndarray, start: int, n: int, bins: np.ndarray) -> np.n
 
 
 def training_windows(
-    layout: Layout, segments: DataFrame, delays: DataFrame, reference: DataFrame, channels: list[str], fs: float, tw_s: float, hop_s: float = 1.0
+    layout: Layout,
+    segments: DataFrame,
+    delays: DataFrame,
+    reference: DataFrame,
+    channels: list[str],
+    fs: float,
+    tw_s: float,
+    hop_s: float = 1.0,
+    motion: DataFrame | None = None,
 ) -> DataFrame:
     """Delay-corrected, labelled, normalised windows: one row per window, one array per channel.
 
     The window list with label and reference is small and is joined to the blocks; each block then
     cuts its own windows, so samples are never shuffled.  A negative delay repeats the first sample
-    in front of the recording.
+    in front of the recording.  ``motion(key, move_hz)`` gives the motion frequency, 1 Hz where it
+    is unknown.
     """
     win, hop = round(tw_s * fs), max(1, round(hop_s * fs))
     key = list(layout.key)
     layout.check_reach(win - 1)
     sizes = layout.core().groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     shift = F.rint(F.col("delay") * fs).cast("long")
+    known = segments.where("status = 'ok'").join(delays.select(*key, "delay"), key).join(sizes, key)
+    known = known.withColumn("move_hz", F.lit(None).cast("double")) if motion is None else known.join(motion, key, "left")
     per_recording = (
-        segments.where("status = 'ok'")
-        .join(delays.select(*key, "delay"), key)
-        .join(sizes, key)
-        .select(
-            *key, shift.alias("_shift"), "_n",
+        known.select(
+            *key, F.coalesce("move_hz", F.lit(1.0)).alias("move_hz"), shift.alias("_shift"), "_n",
             F.greatest(F.lit(0.0), F.col("start_s") - F.col("delay")).alias("_ms"),
             F.greatest(F.lit(0.0), F.col("start_s") - F.col("delay"), F.col("end_s") - F.col("delay")).alias("motion_end"),
         )
@@ -245,18 +253,19 @@ def training_windows(
     last = F.least((F.col("blk") + 1) * layout.block_rows - 1, F.col("_n") + F.least(F.col("_shift"), F.lit(0)) - win)
     first_s = _round_up(low - F.col("_shift"), hop)
     starts = spread.select(
-        *key, "blk", "_shift", "_ms", "motion_end", F.explode(_grid(first_s, last - F.col("_shift"), hop)).alias("s")
+        *key, "blk", "_shift", "_ms", "motion_end", "move_hz", F.explode(_grid(first_s, last - F.col("_shift"), hop)).alias("s")
     )
     center = F.col("s") / fs + tw_s / 2.0
     plan = starts.select(
-        *key, "blk", "_shift", F.col("s"), F.expr(f"s div {hop}").alias("w"), center.alias("center_s"),
+        *key, "blk", "_shift", "move_hz", F.col("s"), F.expr(f"s div {hop}").alias("w"), center.alias("center_s"),
         segment_label(center, F.col("_ms"), F.col("motion_end")).alias("label"), "motion_end", (center + tw_s / 2.0).alias("t"),
     )
     with_ref = interpolate_at(reference, plan, key, "t", "hr").where("hr IS NOT NULL")
     lists = with_ref.groupBy(*key, "blk").agg(
         F.first("_shift").alias("_shift"),
-        F.array_sort(F.collect_list(F.struct("w", "s", "center_s", "label", "motion_end", F.col("hr").alias("ref_hr")))).alias("_plan"),
+        F.array_sort(F.collect_list(F.struct("w", "s", "center_s", "label", "motion_end", "move_hz", F.col("hr").alias("ref_hr")))).alias("_plan"),
     )
+    lists = lists.repartition(layout.buckets, *layout.block_key)  # meets the bucketed blocks where they are
     blocks = block_arrays(layout, channels, with_halo=True).join(lists, [*key, "blk"])
     pad = F.when(F.col("blk") == 0, F.greatest(-F.col("_shift"), F.lit(0))).otherwise(F.lit(0)).cast("int")
     padded = [F.concat(F.array_repeat(F.get(c, F.lit(0)), pad), F.col(c)).alias(c) for c in channels]

@@ -25,6 +25,7 @@ BLOCK_ROWS = 65_536
 HALO_ROWS = 64
 ROWS_PER_SORT_PARTITION = 4_000_000
 ROWS_PER_BUCKET = 4_000_000
+MIN_ROWS = 5_000
 MAX_PARTITIONS = 50_000
 
 
@@ -38,6 +39,7 @@ class Layout:
     halo: int
     last_block: int
     blocks: DataFrame  # one row per (key, blk)
+    buckets: int = 1
 
     @property
     def block_key(self) -> list[str]:
@@ -71,7 +73,9 @@ class Layout:
 
 
 def partitions_for(rows: int, per_partition: int, parallelism: int) -> int:
-    return max(1, min(MAX_PARTITIONS, max(parallelism, -(-rows // per_partition))))
+    """Enough partitions for the size; at least one per core unless the parts would become tiny."""
+    by_size, by_core = -(-rows // per_partition), min(parallelism, -(-rows // MIN_ROWS))
+    return max(1, min(MAX_PARTITIONS, max(by_size, by_core)))
 
 
 def index_rows(df: DataFrame, key: list[str], order: list[str], *, derived: bool = False) -> tuple[DataFrame, int]:
@@ -142,7 +146,7 @@ def block_rows_of(
     written = materialise_bucketed(overlapped, label, buckets, [*key, "blk"], [*key, "blk", "i"])
     blocks = written.where("core").select(*key, "blk").distinct()  # bucketed: no exchange
     last = written.where("core").agg(F.max("blk")).first()[0]
-    return Layout(written, tuple(key), block_rows, halo, int(last or 0), blocks)
+    return Layout(written, tuple(key), block_rows, halo, int(last or 0), blocks, buckets)
 
 
 def attach(layout: Layout, rows: DataFrame, per_recording: DataFrame) -> DataFrame:

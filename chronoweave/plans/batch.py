@@ -40,12 +40,22 @@ class BatchOptions:
     test_groups: int = 1
     delay_mode: str = "envelope"
     overrides: dict = field(default_factory=dict)
+    budgets: dict[str, tuple[int, int]] = field(default_factory=dict)  # scheme -> (trials, repeats)
     rest: RestOptions = RestOptions()
     calibration_s: float = segments.CALIBRATION_S
     block_rows: int = 16_384
     halo: int = 4_096
 
 
+    def budget(self, scheme: str) -> tuple[int, int]:
+        return self.budgets.get(scheme, (self.n_trials, self.n_repeats))
+
+    def most(self) -> tuple[int, int]:
+        """Largest budget of any scheme: the trials that have to be drawn."""
+        each = [self.budget(s) for s in self.schemes]
+        return max(t for t, _ in each), max(r for _, r in each)
+
+
 @dataclass(frozen=True)
 class Recordings:
     """Prepared inputs: band-passed channels by position, references, pairs and quality verdicts."""
@@ -109,14 +119,14 @@ def aligned_base(rec: Recordings, opt: BatchOptions, fs: int) -> tuple[Layout, D
 def windows_of(rec: Recordings, base: tuple, fs: int, tw_s: float) -> DataFrame:
     """Normalised windows of one (rate, length); shared by all trials with that pair."""
     layout, segs, delays, _ = base
-    wins = alignment.training_windows(layout, segs, delays, rec.reference, CHANNELS, float(fs), tw_s)
     moved = segs.join(delays.select(*KEY, "delay"), KEY).select(
         *KEY, "status",
         F.greatest(F.lit(0.0), F.col("start_s") - F.col("delay")).alias("start_s"),
         F.greatest(F.lit(0.0), F.col("start_s") - F.col("delay"), F.col("end_s") - F.col("delay")).alias("end_s"),
     )
     hz = alignment.motion_frequency(layout, moved, ["accx", "accy", "accz"], float(fs))
-    return materialise(wins.join(hz, KEY, "left").withColumn("move_hz", F.coalesce("move_hz", F.lit(1.0))), "windows")
+    wins = alignment.training_windows(layout, segs, delays, rec.reference, CHANNELS, float(fs), tw_s, motion=hz)
+    return materialise(wins, "windows")
 
 
 def evaluate(rec: Recordings, opt: BatchOptions) -> DataFrame:
@@ -126,7 +136,7 @@ def evaluate(rec: Recordings, opt: BatchOptions) -> DataFrame:
     groups = rec.pairs.select(F.col("stem").alias("sample_id"), "motion_type", "motion_index", F.col("motion_id").alias("group_id"))
     parts = []
     for kind in opt.filters:
-        for trial in experiment.sample_trials(kind, opt.n_trials, opt.n_repeats, opt.random_state, opt.overrides):
+        for trial in experiment.sample_trials(kind, *opt.most(), opt.random_state, opt.overrides):
             fs, tw = int(trial["Fs_Target"]), float(trial["TW"])
             if fs not in bases:
                 bases[fs] = aligned_base(rec, opt, fs)
@@ -134,6 +144,9 @@ def evaluate(rec: Recordings, opt: BatchOptions) -> DataFrame:
                 cached[fs, tw] = windows_of(rec, bases[fs], fs, tw)
             for scope in opt.scopes:
                 for scheme in opt.schemes:
+                    trials, repeats = opt.budget(scheme)
+                    if trial["trial_idx"] >= trials or trial["repeat_idx"] >= repeats:
+                        continue
                     mode_key = f"{scope}__{scheme}__{kind}"
                     seed = experiment.stable_hash_of({**trial, "mode": mode_key, "random_state": opt.random_state})
                     params = {**trial, "rff_seed": seed, "delay_estimation_mode": opt.delay_mode}
@@ -228,7 +241,7 @@ def run_batch(spark: SparkSession, folder: str, output: str, root: str, opt: Bat
     target = sinks.safe_output(output, root, [folder])
     rec = prepare(spark, folder, opt)
     tables = summarise(evaluate(rec, opt), opt)
-    trials = [{"adaptive_filter": k, **t} for k in opt.filters for t in experiment.sample_trials(k, opt.n_trials, opt.n_repeats, opt.random_state, opt.overrides)]
+    trials = [{"adaptive_filter": k, **t} for k in opt.filters for t in experiment.sample_trials(k, *opt.most(), opt.random_state, opt.overrides)]
     params = spark.createDataFrame(
         [(t["adaptive_filter"], t["repeat_idx"], t["trial_idx"], {k: float(v) for k, v in t.items() if k not in ("adaptive_filter", "repeat_idx", "trial_idx")}) for t in trials],
         "adaptive_filter string, repeat_idx int, trial_idx int, params map<string,double>",

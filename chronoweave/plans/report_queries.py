@@ -203,9 +203,8 @@ def protocol_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = alignment.rest_candidates(lay, segs, PROTOCOL_FS, REST, "ppg_green", "accz")
     scores = alignment.delay_scores(alignment.rest_rates(candidates, ["user_id"], PROTOCOL_FS, REST), ref, ["user_id"], REST)
     best = materialise(alignment.best_delays(scores, ["user_id"], REST), "delays")
-    wins = alignment.training_windows(lay, segs, best, ref, channels, PROTOCOL_FS, PROTOCOL_TW, 0.25)
     moves = alignment.motion_frequency(lay, segs, ["accx", "accy", "accz"], PROTOCOL_FS)
-    wins = wins.join(moves, "user_id", "left").withColumn("move_hz", F.coalesce("move_hz", F.lit(1.0)))
+    wins = alignment.training_windows(lay, segs, best, ref, channels, PROTOCOL_FS, PROTOCOL_TW, 0.25, moves)
     done = protocol.run_trial(wins, ["user_id"], PROTOCOL_FS, PARAMS, "HF2_ACC3", "motion_recovery", "lms", tw_s=PROTOCOL_TW)
     return done.select(
         "user_id", "w", "label", "in_scope", rounded(F.col("ref_hr")).alias("ref_hr"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,3 +88,12 @@ def pick_params(requests: DataFrame, params: DataFrame, mode: list[str], score:
     return joined.withColumn("_b", F.coalesce("_b", "_first")).select(
         *requests.columns, F.coalesce("matched", F.lit(False)).alias("matched"), *[F.col("_b")[c].alias(c) for c in rest]
     )
+
+
+def read_params(spark: SparkSession, path: str) -> DataFrame:
+    """Written parameter rows: scores as numbers, ``params`` as map, ``row_id`` in file order."""
+    rows = spark.read.option("header", True).csv(path)
+    numbers = [c for c in rows.columns if c.endswith(("_aae", "_acc", "_idx", "_value")) or c.startswith(("train_", "test_"))]
+    typed = {c: F.col(c).try_cast("double") for c in numbers}
+    typed["params"] = F.from_json("params", "map<string,double>")
+    return rows.withColumns(typed).withColumn("row_id", F.monotonically_increasing_id())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators.alignment import RestOptions
 from chronoweave.operators import experiment
 from chronoweave.plans.batch import BatchOptions, evaluate, prepare, redraw_best, run_batch, summarise
-from chronoweave.sources import recordings
+from chronoweave.sources import recordings, sinks
 
 FS = 20
 OPT = BatchOptions(
@@ -54,6 +54,13 @@ def sums(rec):
     return evaluate(rec, OPT)
 
 
+def test_budgets():
+    from dataclasses import replace
+
+    opt = replace(OPT, schemes=("HF2", "CF2"), budgets={"CF2": (1, 3)})
+    assert opt.budget("HF2") == (2, 1) and opt.budget("CF2") == (1, 3) and opt.most() == (2, 3)
+
+
 def test_prepare(rec):
     verdicts = {r.sample_id: (r.status, r.reason) for r in rec.verdicts.collect()}
     assert verdicts["multi_kaihe1"][0] == "bad" and verdicts["multi_kaihe1"][1].startswith("missing required columns")
@@ -97,6 +104,11 @@ def test_output_tables(spark, folder, tmp_path, monkeypatch, rec, sums):
     assert spark.read.csv(f"{out}/final_summary", header=True).count() == 10
     assert spark.read.csv(f"{out}/qc/bad_samples", header=True).count() == 1
     assert spark.read.csv(f"{out}/best_params", header=True).where("params LIKE '%Kstop%'").count() == 2
+    rows = sinks.read_params(spark, f"{out}/best_params")
+    asked = spark.createDataFrame([("motion_recovery", "HF2", "lms"), ("motion_only", "CF2", "lms")], "target_scope string, cascade_scheme string, adaptive_filter string")
+    got = {r.cascade_scheme: r for r in sinks.pick_params(asked, rows, ["target_scope", "cascade_scheme", "adaptive_filter"], "test_aae").collect()}
+    assert got["HF2"].matched and got["HF2"].params["TW"] == 8.0 and not got["CF2"].matched and got["CF2"].params["TW"] == 8.0
+    assert got["HF2"].test_aae == min(r.test_aae for r in rows.collect())
     with pytest.raises(ValueError):
         run_batch(spark, str(folder), str(folder), str(folder), OPT)
 

@@ -88,9 +88,8 @@ def test_partial_fourier_adds_up():
 @pytest.fixture(scope="module")
 def windows(world, delays):
     layout, segs, ref = world
-    wins = alignment.training_windows(layout, segs, delays, ref, CHANNELS, FS, 8.0)
     moves = alignment.motion_frequency(layout, segs, ["accx", "accy", "accz"], FS)
-    return wins.join(moves, "rec", "left").withColumn("move_hz", F.coalesce("move_hz", F.lit(1.0)))
+    return alignment.training_windows(layout, segs, delays, ref, CHANNELS, FS, 8.0, motion=moves)
 
 
 def test_training_windows_equal_plain_slices(world, delays, windows):
