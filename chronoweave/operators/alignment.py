@@ -138,10 +138,10 @@ def delay_scores(rates: DataFrame, reference: DataFrame, key: list[str], opt: Re
 
 
 def rest_curve(rates: DataFrame, best: DataFrame, reference: DataFrame, key: list[str]) -> DataFrame:
-    """Diagnostic curve at the best delay: ``key, time_s, ppg_hr, ref_hr`` where both are known."""
-    chosen = rates.join(best.select(*key, "delay"), [*key, "delay"]).select(*key, "time_s", F.col("time_s").alias("t"), F.col("smooth").alias("ppg_hr"))
+    """Diagnostic curve at the best delay: ``key, time_s, rate, ref_hr`` where both are known."""
+    chosen = rates.join(best.select(*key, "delay"), [*key, "delay"]).select(*key, "time_s", F.col("time_s").alias("t"), F.col("smooth").alias("rate"))
     rows = interpolate_at(reference, chosen, key, "t", "hr")
-    return rows.where("ppg_hr IS NOT NULL AND hr IS NOT NULL").select(*key, "time_s", "ppg_hr", F.col("hr").alias("ref_hr"))
+    return rows.where("rate IS NOT NULL AND hr IS NOT NULL").select(*key, "time_s", "rate", F.col("hr").alias("ref_hr"))
 
 
 def best_delays(scores: DataFrame, key: list[str], opt: RestOptions) -> DataFrame:

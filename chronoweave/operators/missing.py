@@ -47,12 +47,15 @@ def fill_rows(layout: Layout, rows: DataFrame, value: str, out: str) -> DataFram
     return _fill(layout, rows, value, out, linear_between("i"), nearest_of("i"))
 
 
-def fill_many(layout: Layout, rows: DataFrame, columns: list[str], *, with_halo: bool = False) -> DataFrame:
-    """Fill the gaps of several columns in place (linear, nearest at the ends) with one set of block
-    summaries."""
+def fill_many(
+    layout: Layout, rows: DataFrame, columns: list[str], *, with_halo: bool = False, linear: bool = True
+) -> DataFrame:
+    """Fill the gaps of several columns in place (linear, nearest at the ends; or nearest only) with
+    one set of block summaries."""
     samples = {f"_{c}": (c, "i", F.col(c).isNotNull()) for c in columns}
     rows = bracket_many(layout, rows, samples, with_halo=with_halo)
-    filled = {c: F.coalesce(F.col(c), linear_between("i", f"_{c}"), nearest_of("i", f"_{c}")) for c in columns}
+    line = lambda c: [linear_between("i", f"_{c}")] if linear else []
+    filled = {c: F.coalesce(F.col(c), *line(c), nearest_of("i", f"_{c}")) for c in columns}
     return rows.withColumns(filled).drop(*[f"{side}_{c}" for c in columns for side in ("prev", "next")])
 
 

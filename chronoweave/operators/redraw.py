@@ -52,14 +52,14 @@ def global_rates(results: DataFrame, biases: DataFrame, reference: DataFrame, ke
         F.col("center_s").alias("time_s"),
         F.col("label").alias("segment_label"),
         F.col("in_scope").alias("is_filtered_segment"),
-        rate.alias("ppg_hr_bpm"),
+        rate.alias("rate_bpm"),
         "time_bias_after_s",
         "time_bias_after_source",
         (F.col("center_s") + F.col("time_bias_after_s")).alias("t"),
     )
     rows = interpolate_at(reference, points, key, "t", "hr").withColumnRenamed("hr", "ref_hr_after_bpm").drop("t")
     return (
-        rows.where(F.col("ppg_hr_bpm").isNotNull() & F.col("ref_hr_after_bpm").isNotNull())
-        .withColumn("abs_err_after_bpm", F.abs(F.col("ppg_hr_bpm") - F.col("ref_hr_after_bpm")))
+        rows.where(F.col("rate_bpm").isNotNull() & F.col("ref_hr_after_bpm").isNotNull())
+        .withColumn("abs_err_after_bpm", F.abs(F.col("rate_bpm") - F.col("ref_hr_after_bpm")))
         .withColumn("time_bias_after_mode", F.lit("posthoc_oracle_alignment"))
     )

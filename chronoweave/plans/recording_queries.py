@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.columns import rounded
 from chronoweave.operators import qc
-from chronoweave.operators.recording import clean_recording
+from chronoweave.operators.recording import clean_legacy, clean_recording, raw_recording
 from chronoweave.plans.series_queries import LINEAR, NEAREST, OUTLIER_SQL, SERIES_SQL, _bracket
 from chronoweave.plans.tables import event_series, table
 from chronoweave.sources import pairing, recordings
@@ -143,6 +143,40 @@ def clean_recording_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "i", rounded(F.col("ppg_green"), 9).alias("ppg_green"), rounded(F.col("cf1"), 8).alias("cf1"), "accy", "gyrox")
 
 
+LEGACY_SQL = (
+    SERIES_SQL
+    + ", e1 AS (SELECT user_id, event_id, event_type, value, k, t, i, reading - 5 AS reading FROM e)"
+    + _bracket("reading", "e1").replace(", b AS (", ", b0 AS (")
+    + f", n0 AS (SELECT user_id, event_id, event_type, value, k, t, i, coalesce(reading, {NEAREST}) AS y FROM b0)"
+    + ", n1 AS (SELECT user_id, event_id, event_type, value, k, t, i, CASE WHEN y >= 0 THEN y END AS pos FROM n0)"
+    + _bracket("pos", "n1").replace(", b AS (", ", b1 AS (")
+    + f", fl AS (SELECT user_id, event_id, event_type, value, k, t, i, coalesce(pos, {LINEAR}, {NEAREST}) AS reading FROM b1)"
+    + OUTLIER_SQL.replace("FROM e)", "FROM fl)")
+    + _bracket("kept", "kept")
+)
+
+
+@register(
+    "clean_legacy",
+    LEGACY_SQL + f"SELECT user_id, i, round(CASE WHEN any_out THEN coalesce(kept, {LINEAR}, {NEAREST}) ELSE reading END, 9) + 0.0 AS ppg_green FROM b",
+)
+def clean_legacy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lay = event_series(spark, sf_dir)
+    rows = clean_legacy(lay.with_df(lay.df.withColumn("ppg_green", F.col("reading") - 5.0)), ["ppg_green"], 10)
+    return rows.select("user_id", "i", rounded(F.col("ppg_green"), 9).alias("ppg_green"))
+
+
+@register(
+    "raw_recording",
+    SERIES_SQL
+    + "SELECT user_id, i, reading AS ppg_green, CASE WHEN (value + (k - 50)) - value <> 0 THEN round(value / ((value + (k - 50)) - value), 8) + 0.0 END AS cf1, value AS accy FROM e",
+)
+def raw_recording_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lay = event_series(spark, sf_dir)
+    rows = raw_recording(lay.with_df(_as_sensor(lay.df)))
+    return rows.select("user_id", "i", "ppg_green", rounded(F.col("cf1"), 8).alias("cf1"), "accy")
+
+
 def _as_sensor(df: DataFrame) -> DataFrame:
     """Events as sensor rows with all required channels."""
     v, k = F.col("value"), F.col("k")

@@ -120,7 +120,7 @@ REDRAW_SQL = RESULT_SQL + """
 @register(
     "redraw_global_rate",
     REDRAW_SQL
-    + """SELECT user_id, w, center_s AS time_s, label AS segment_label, in_scope AS is_filtered_segment, round(rate, 6) AS ppg_hr_bpm,
+    + """SELECT user_id, w, center_s AS time_s, label AS segment_label, in_scope AS is_filtered_segment, round(rate, 6) AS rate_bpm,
       round(ref, 6) AS ref_hr_after_bpm, bias::DOUBLE AS time_bias_after_s, round(abs(rate - ref), 6) AS abs_err_after_bpm, src AS time_bias_after_source
     FROM g WHERE ref IS NOT NULL""",
 )
@@ -134,7 +134,7 @@ def redraw_global_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     reference = event_series(spark, sf_dir).core().select("user_id", F.col("i").cast("double").alias("t"), F.col("k").alias("hr"))
     got = redraw.global_rates(rows, biases, reference, ["user_id"])
-    names = ["ppg_hr_bpm", "ref_hr_after_bpm", "abs_err_after_bpm"]
+    names = ["rate_bpm", "ref_hr_after_bpm", "abs_err_after_bpm"]
     return got.withColumns({n: rounded(F.col(n)) for n in names}).drop("time_bias_after_mode")
 
 

@@ -97,3 +97,9 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     typed = {c: F.col(c).try_cast("double") for c in numbers}
     typed["params"] = F.from_json("params", "map<string,double>")
     return rows.withColumns(typed).withColumn("row_id", F.monotonically_increasing_id())
+
+
+def write_global_rates(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Full-length curves of ``redraw.global_rates`` with their fixed columns, partitioned by recording."""
+    named = rows.withColumnRenamed("rate_bpm", GLOBAL_HR_COLUMNS[3])
+    write_csv(named.select(*by, *GLOBAL_HR_COLUMNS), path, by=by)

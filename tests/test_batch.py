@@ -113,10 +113,13 @@ def test_output_tables(spark, folder, tmp_path, monkeypatch, rec, sums):
         run_batch(spark, str(folder), str(folder), str(folder), OPT)
 
 
-def test_redraw(spark, rec):
+def test_redraw(spark, rec, tmp_path):
     params = experiment.sample_trials("lms", 1, 1, 42, OPT.overrides)[0]
     saved = spark.createDataFrame([("multi_bobi1", 2.0)], "sample_id string, saved_bias double")
     got = redraw_best(rec, OPT, params, "motion_recovery", "HF2", "lms", saved)
     pdf = got.groupBy("sample_id", "time_bias_after_source").agg(F.min("time_bias_after_s").alias("b"), F.count("w").alias("n"), F.avg("abs_err_after_bpm").alias("e")).toPandas().set_index("sample_id")
     assert pdf.loc["multi_bobi1"].tolist()[:2] == ["saved_best_params", 2.0]
     assert pdf.loc["multi_fuwo1", "time_bias_after_source"] == "computed_during_redraw" and (pdf.n > 100).all() and pdf.e["multi_bobi2"] < 12
+    sinks.write_global_rates(got, f"{tmp_path}/curves", ["sample_id"])
+    back = spark.read.csv(f"{tmp_path}/curves", header=True)
+    assert back.columns == [*sinks.GLOBAL_HR_COLUMNS, "sample_id"] and back.count() == pdf.n.sum()

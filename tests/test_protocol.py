@@ -69,7 +69,7 @@ def test_rest_curve_at_the_best_delay(world, delays):
     opt = RestOptions(delay_step_s=0.5)
     rates = alignment.rest_rates(alignment.rest_candidates(layout, segs, FS, opt, "ppg_green", "accz"), ["rec"], FS, opt)
     curve = alignment.rest_curve(rates, delays, ref, ["rec"]).toPandas()
-    assert curve.groupby("rec").size().min() > 40 and (curve.ppg_hr - curve.ref_hr).abs().mean() < 3.0
+    assert curve.groupby("rec").size().min() > 40 and (curve.rate - curve.ref_hr).abs().mean() < 3.0
 
 
 def test_motion_frequency_of_whole_segment(world):
