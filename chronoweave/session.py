@@ -13,7 +13,6 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -53,6 +52,7 @@ def local_session(cores: int | str = "*", *, app: str = "chronoweave", memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # static; halves planning time
     )
     for key, value in RUNTIME_OPTIONS.items():
         builder = builder.config(key, value)
