@@ -1,11 +1,11 @@
 """Quality rules: rule statistics of every document and an isolation forest over them.
 
-``statistics`` reads the texts once.  ``fit`` grows the forest from at most ``FIT_ROWS`` labelled good
-rows, taken by a seeded hash; its size is fixed.  ``threshold`` looks at the scores of all labelled rows
+``statistics`` reads the texts once.  ``fit`` grows the forest from at most ``FIT_ROWS`` labelled rows,
+taken by a seeded hash; its size is fixed.  ``threshold`` looks at the scores of all labelled rows
 through a histogram of fixed size.  ``judge`` gives every document its verdict.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows get equal
-verdicts; without labelled good rows only the base rules reject; labels of unknown documents are ignored;
+verdicts; without labelled rows only the base rules reject; labels of unknown documents are ignored;
 columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
@@ -27,8 +27,9 @@ REPEAT_PERCENT = 30
 FIT_ROWS = 20_000  # bound of the sample that the forest is grown from
 TREES, TREE_ROWS, DEPTH = 100, 256, 8
 FALSE_REJECTS = 0.002  # share of labelled good rows that the threshold may reject
+GOOD_WEIGHT = 20.0  # a share of good rows lost counts so many times a share of bad rows found
 BINS = 2000
-FEATURES = ["log_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "distinct_rate"]
+FEATURES = ["word_length", "symbol_rate", "log_symbols", "variety"]
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long"
 
 SYMBOL = np.zeros(256, bool)
@@ -107,12 +108,10 @@ def features(stats: DataFrame) -> DataFrame:
     per = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return stats.withColumns(
         {
-            "log_words": F.log1p(F.col("n_words").cast("double")),
             "word_length": per("word_chars", "n_words"),
             "symbol_rate": per("n_symbols", "n_words"),
-            "dup_line_rate": per("n_dup_lines", "n_lines"),
-            "repeat_rate": per("n_repeat_words", "n_words"),
-            "distinct_rate": per("n_distinct", "n_words"),
+            "log_symbols": F.log1p("n_symbols"),
+            "variety": F.log1p("n_distinct") / F.log(F.lit(2.0) + F.col("n_words")),
         }
     )
 
@@ -186,9 +185,9 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
 
 
 def fit(stats: DataFrame, labels: DataFrame, seed: int = 7) -> Forest | None:
-    """Forest grown from at most ``FIT_ROWS`` labelled good documents that pass the base rules."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = features(stats.where(~base_failed()).join(good, "doc_id"))
+    """Forest grown from at most ``FIT_ROWS`` labelled documents that pass the base rules."""
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = features(stats.where(~base_failed()).join(known, "doc_id"))
     order = F.xxhash64(F.lit(seed), "doc_id")
     sample = rows.select(*FEATURES, order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(FIT_ROWS).toPandas()
     return grow(sample[FEATURES].to_numpy(float), seed) if len(sample) > 1 else None
@@ -206,7 +205,7 @@ def threshold(stats: DataFrame, labels: DataFrame, forest: Forest) -> float:
     above = np.concatenate([sides[:, ::-1].cumsum(1)[:, ::-1], np.zeros((2, 1))], 1)  # rows in bin b or later
     shares = above / np.maximum(sides.sum(1, keepdims=True), 1)
     allowed = shares[1] <= FALSE_REJECTS
-    gain = np.where(allowed, shares[0] - shares[1], -1.0)
+    gain = np.where(allowed, shares[0] - GOOD_WEIGHT * shares[1], -1.0)
     return float(np.argmax(gain)) / BINS if gain.max() > 0 else 1.0
 
 
