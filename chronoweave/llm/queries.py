@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, mixing, pii, quality
+from chronoweave.llm import chat, mixing, packing, pii, quality, rans
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -44,6 +45,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
+@register("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to coded files and read back."""
+    path = rans.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return rans.read_digests(spark, path)
+
+
 @register("op3_mix_sources")
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: weights 3, 1, 2 repeating, 150 % of all words."""
@@ -51,6 +59,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@register("op5_pack_sequences")
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids; one row per piece."""
+    sequences, width = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pieces(sequences, width)
+
+
 @register("op8_personal_data")
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans and revealing terms."""
