@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, mixing, packing, pii, quality, rans
+from chronoweave.llm import ann, chat, mixing, packing, pii, quality, rans
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -73,6 +73,20 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+@register(
+    "op9_nearest_vectors",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE len(e) > 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(c.e, q.e) / (c.size * q.size) AS score
+      FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id WHERE q.size > 0 AND c.size > 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @register("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and the verdict of the isolation forest."""
