@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, chat, mixing, packing, pii, quality, rans
+from chronoweave.llm import ann, chat, jaccard, mixing, packing, pii, quality, rans
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -66,6 +66,12 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(sequences, width)
 
 
+@register("op6_shingle_join")
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by 85 % of common 4-word shingles, and their components."""
+    return jaccard.join(table(spark, sf_dir, "documents"), size=4, share=(85, 100))
+
+
 @register("op8_personal_data")
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans and revealing terms."""
