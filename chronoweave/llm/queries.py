@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, chat, jaccard, mixing, packing, pii, quality, rans
+from chronoweave.llm import ann, chat, jaccard, mixing, packing, pii, quality, rans, substrings
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -72,6 +72,12 @@ def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), size=4, share=(85, 100))
 
 
+@register("op7_repeated_strings")
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte covered by a 100-byte string that also starts earlier is removed."""
+    return substrings.remove(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 @register("op8_personal_data")
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans and revealing terms."""
