@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, chat, jaccard, mixing, packing, pii, quality, rans, substrings
+from chronoweave.llm import ann, chat, jaccard, mixing, packing, paragraphs, pii, quality, rans, substrings
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -59,6 +59,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@register("op4_paragraph_dedup")
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat or nearly repeat others, with their class and whether they are removed."""
+    return paragraphs.classes(table(spark, sf_dir, "documents"))
+
+
 @register("op5_pack_sequences")
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids; one row per piece."""
