@@ -23,7 +23,6 @@ has no component; an empty table gives an empty result; further columns are not
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +33,10 @@ from chronoweave.storage import materialise
 
 SLOTS = 1 << 16  # of the shingle counts over all documents
 MEMBERS = 1 << 20  # of the filter that says whose sets are needed
-GROUPS = 256  # coordinates of a point
+GROUPS = 128  # coordinates of a point
 PAGE = 1024  # points of a tree
 LEAF, FAN = 16, 8
-SPARE = 4  # pairs a page may emit per point in the first round; four times as many in each later one
+SPARE = 4  # a large page may emit SPARE ** (2 * round) pairs per point besides a spanning forest
 FULL = 65535  # a count that no longer fits
 
 
@@ -74,7 +73,10 @@ def _frequency_batches(size: int):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, offsets in tx.slices(batch.column("text")):
-                total += np.bincount(_slot(np.concatenate(shingles(data, offsets, size))), minlength=SLOTS)
+                starts, ends = tx.word_spans(data, offsets)
+                row = tx.rows_of(starts, offsets)
+                grams = tx.gram_hash(tx.span_hash(tx.prefix_hash(tx.LOWER[data]), starts, ends), size)
+                total += np.bincount(_slot(grams[row[: len(grams)] == row[size - 1 :]] if len(grams) else grams), minlength=SLOTS)
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
@@ -116,52 +118,42 @@ def _point_batches(size: int, share: tuple[int, int], frequency: np.ndarray):
 
 
 def _bucket_batches(batches):
-    """Runs of equal keys: documents that share one; equal document lists get one number."""
-
-    def out(docs: list[np.ndarray], key: int):
-        found = np.unique(np.concatenate(docs))
-        if len(found) < 2:
-            return None
-        name = int(tx.mix(tx.mix(found.view(np.uint64)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
-        return np.full(len(found), name), np.zeros(len(found), np.int64), found
-
-    def run():
-        key, held, page, n = None, [], 0, 0
-        for batch in batches:
-            keys, docs = np.asarray(batch.column("key")), np.asarray(batch.column("doc_id"))
-            edges = np.append(np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)) if len(keys) else np.zeros(0, int)
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if key is None or keys[lo] != key:
-                    if held and page == 0:
-                        yield out(held, key)
-                    elif held:
-                        part = np.concatenate(held)
-                        yield np.full(len(part), key), np.full(len(part), page), part
-                    key, held, page, n = keys[lo], [], 0, 0
-                held.append(docs[lo:hi])
-                n += hi - lo
-                if n > PAGE:  # a hot key: whole pages go on, the rest waits
-                    part = np.concatenate(held)
-                    for at in range(0, n - n % PAGE, PAGE):
-                        yield np.full(PAGE, key), np.full(PAGE, page), part[at : at + PAGE]
-                        page += 1
-                    held, n = [part[n - n % PAGE :]], n % PAGE
-        if held and page == 0:
-            yield out(held, key)
-        elif held:
-            part = np.concatenate(held)
-            yield np.full(len(part), key), np.full(len(part), page), part
-
-    parts, n = [], 0
-    for part in run():
-        if part is not None:
-            parts.append(part)
-            n += len(part[0])
-            if n > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["bucket", "page", "doc_id"])
-                parts, n = [], 0
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["bucket", "page", "doc_id"])
+    """Runs of equal keys: documents that share one; equal document lists of a batch get one number.
+
+    A key of more than ``PAGE`` documents is cut into pages; its number is the key.  A key met once ends here.
+    """
+
+    def runs(keys, docs, page):
+        """Rows of complete runs; the first run's pages start at ``page``."""
+        edges = np.append(np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys))
+        lengths = np.diff(edges)
+        base = np.zeros(len(lengths), np.int64)
+        base[0] = page
+        hot = (lengths > PAGE) | (base > 0)
+        lists = np.add.reduceat(tx.mix(docs.view(np.uint64)), edges[:-1])
+        names = np.where(hot, keys[edges[:-1]], tx.mix(lists + lengths.astype(np.uint64)).view(np.int64))
+        keep = np.flatnonzero((lengths > 1) | hot)
+        keep = keep[np.unique(names[keep], return_index=True)[1]]
+        at = np.repeat(edges[:-1][keep] - np.cumsum(lengths[keep]) + lengths[keep], lengths[keep]) + np.arange(lengths[keep].sum())
+        place = at - np.repeat(edges[:-1][keep], lengths[keep])
+        pages = np.repeat(base[keep], lengths[keep]) + place // PAGE
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names[keep], lengths[keep])), pa.array(pages), pa.array(docs[at])], ["bucket", "page", "doc_id"])
+
+    none = np.zeros(0, np.int64)
+    keys, docs, page = none, none, 0
+    for batch in batches:
+        keys, docs = np.append(keys, np.asarray(batch.column("key"))), np.append(docs, np.asarray(batch.column("doc_id")))
+        other = np.flatnonzero(keys != keys[-1]) if len(keys) else none
+        last = int(other[-1]) + 1 if len(other) else 0  # the last run may go on
+        if last:
+            yield runs(keys[:last], docs[:last], page)
+            keys, docs, page = keys[last:], docs[last:], 0
+        if len(keys) > PAGE:  # a hot key that goes on: whole pages leave, the rest waits
+            whole = len(keys) - len(keys) % PAGE
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:whole]), pa.array(page + np.arange(whole) // PAGE), pa.array(docs[:whole])], ["bucket", "page", "doc_id"])
+            keys, docs, page = keys[whole:], docs[whole:], page + whole // PAGE
+    if len(keys):
+        yield runs(keys, docs, page)
 
 
 class Tree:
@@ -211,40 +203,126 @@ class Tree:
         return np.repeat(q, fan)[ok], child[ok]
 
 
-def candidates(docs: np.ndarray, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, share: tuple[int, int], limit: int) -> tuple[list, bool]:
-    """Pairs of a page in different components: all, or a spanning forest of them and the first ``limit``."""
+def _forest(q: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what is not yet connected by earlier ones."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    out = []
+    for a, b in zip(q.tolist(), c.tolist()):
+        x, y = top(a), top(b)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def candidates(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, share: tuple[int, int], limit: int) -> tuple[list, bool]:
+    """Pairs of a large page in different components: a spanning forest, and further ones up to ``limit``;
+    and whether pairs were left out."""
     tree, label = Tree(points, sizes), comps.copy()
     forest, others, n = [], [], 0
-    for lo in range(0, len(docs), 64):
-        q, c, bound = tree.pairs(points[lo : lo + 64], sizes[lo : lo + 64], share)
+    for lo in range(0, len(points), 64):
+        q, c, _ = tree.pairs(points[lo : lo + 64], sizes[lo : lo + 64], share)
         q = q + lo
         ok = (c > q) & (comps[q] != comps[c])
-        q, c, bound = q[ok], c[ok], bound[ok]
+        q, c = q[ok], c[ok]
+        if n < limit:
+            others.append(np.stack([q, c], 1)[: limit - n])
         n += len(q)
-        if n <= limit or sum(map(len, others)) < limit:
-            others.append(np.stack([q, c], 1)[:limit])
         for one in np.unique(q):
-            at = np.flatnonzero((q == one) & (label[c] != label[one]))
-            if not len(at):
-                continue
-            at = at[np.lexsort((-bound[at], label[c[at]]))]
-            first = at[np.append(True, label[c[at]][1:] != label[c[at]][:-1])]
-            forest += [(one, x) for x in c[first]]
-            label[np.isin(label, label[c[first]])] = label[one]
-    taken = np.concatenate(others)[:limit].tolist() if others else []
-    chosen = {(int(a), int(b)) for a, b in [*forest, *taken]}
-    return [(docs[a], docs[b]) for a, b in chosen], n > limit
-
-
-def _page_pairs(share: tuple[int, int], per_point: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id")
-        points = np.stack([np.frombuffer(p, "<u2") for p in group["point"]]).astype(np.int64)
-        points[points == FULL] = 1 << 40
-        docs, comps = group["doc_id"].to_numpy(), group["component"].to_numpy()
-        found, more = candidates(docs, points, group["n_shingles"].to_numpy(), comps, share, per_point * len(docs))
-        rows = [(min(a, b), max(a, b), more) for a, b in found]
-        return pd.DataFrame(rows, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
+            at = c[(q == one) & (label[c] != label[one])]
+            if len(at):
+                at = at[np.unique(label[at], return_index=True)[1]]
+                forest += [(int(one), int(x)) for x in at]
+                label[np.isin(label, label[at])] = label[one]
+    chosen = {*forest, *(tuple(x) for part in others for x in part.tolist())}
+    return list(chosen), n > len(chosen)
+
+
+def _small_pairs(points, sizes, comps, edges, share):
+    """Passing pairs (by smaller entry) in different components of all small groups of a chunk."""
+    lengths = np.diff(edges)
+    left, right = [], []
+    for m in np.unique(lengths[lengths > 1]):
+        a, b = np.triu_indices(m, 1)
+        at = edges[:-1][lengths == m][:, None]
+        left.append((at + a).ravel())
+        right.append((at + b).ravel())
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    q, c = np.concatenate(left), np.concatenate(right)
+    ok = comps[q] != comps[c]
+    # The smaller size bounds the overlap, too.
+    ok &= np.minimum(sizes[q], sizes[c]) * (share[0] + share[1]) >= share[0] * (sizes[q] + sizes[c])
+    q, c = q[ok], c[ok]
+    keep = []
+    for lo in range(0, len(q), 4096):
+        a, b = q[lo : lo + 4096], c[lo : lo + 4096]
+        bound = np.minimum(points[a], points[b]).sum(1, dtype=np.int64)
+        keep.append(bound * (share[0] + share[1]) >= share[0] * (sizes[a] + sizes[b]))
+    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+    order = np.lexsort((c[keep], q[keep]))
+    return q[keep][order], c[keep][order]
+
+
+SMALL = 24  # up to so many points of a group all pairs are bounded at once
+CHUNK = 8192
+PAIRS = "a long, b long, bucket long"
+
+
+def _page_batches(share: tuple[int, int], round_: int):
+    """Candidate pairs of sorted pages; a row with a bucket alone says that pairs of it are left for later."""
+
+    def settle(bucket, group, docs, sizes, comps, points):
+        points = np.frombuffer(b"".join(points), "<u2").reshape(len(docs), GROUPS)
+        points = np.where(points == FULL, 1 << 30, points.astype(np.int32)) if (points == FULL).any() else points.astype(np.int32)
+        same = (group[1:] == group[:-1]).all(1)
+        keep = np.append(True, ~(same & (docs[1:] == docs[:-1])))
+        bucket, group, docs, sizes, comps, points = (x[keep] for x in (bucket, group, docs, sizes, comps, points))
+        edges = np.append(np.append(0, np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1), len(docs))
+        lengths = np.diff(edges)
+        found, again = [], []
+        small = np.flatnonzero(lengths <= SMALL)
+        if len(small):
+            at = np.concatenate([np.arange(edges[g], edges[g + 1]) for g in small])
+            bounds = np.append(0, np.cumsum(lengths[small]))
+            q, c = _small_pairs(points[at], sizes[at], comps[at], bounds, share)
+            chosen = _forest(q, c) if round_ == 0 else list(zip(q.tolist(), c.tolist()))
+            found += [(docs[at[a]], docs[at[b]]) for a, b in chosen]
+            if round_ == 0 and len(chosen) < len(q):
+                owner = np.searchsorted(bounds, q, "right")
+                held = np.bincount(owner, minlength=len(bounds) + 1) - np.bincount(np.searchsorted(bounds, [a for a, _ in chosen], "right"), minlength=len(bounds) + 1)
+                again += bucket[at[bounds[np.flatnonzero(held > 0) - 1]]].tolist()
+        for g in np.flatnonzero(lengths > SMALL):
+            part = slice(edges[g], edges[g + 1])
+            chosen, more = candidates(points[part], sizes[part], comps[part], share, SPARE ** (2 * round_) * int(lengths[g]) if round_ else 0)
+            found += [(docs[edges[g] + a], docs[edges[g] + b]) for a, b in chosen]
+            if more:
+                again.append(int(bucket[edges[g]]))
+        again = sorted(set(again))
+        a = [min(x, y) for x, y in found] + [None] * len(again)
+        b = [max(x, y) for x, y in found] + [None] * len(again)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, [None] * len(found) + again)], ["a", "b", "bucket"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = [np.asarray(batch.column(c)) for c in ("bucket", "page", "side", "doc_id", "n_shingles", "component")]
+            cols = [cols[0], np.stack(cols[:3], 1), *cols[3:], batch.column("point").to_pylist()]
+            held = cols if held is None else [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, cols)]
+            if len(held[0]) >= CHUNK:
+                cut = np.flatnonzero((held[1] != held[1][-1]).any(1))
+                if len(cut):
+                    end = int(cut[-1]) + 1
+                    yield settle(*(x[:end] for x in held))
+                    held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield settle(*held)
 
     return run
 
@@ -290,27 +368,27 @@ def _verify_batches(share: tuple[int, int]):
     return run
 
 
-def _search(members: DataFrame, points: DataFrame, labels: DataFrame | None, share: tuple[int, int], round_: int) -> DataFrame:
-    """Candidate pairs of a round, from pages that hold several components."""
-    members = members.join(points, "doc_id")
+def _search(members: DataFrame, points: DataFrame, labels: DataFrame | None, again: DataFrame | None, share: tuple[int, int], round_: int) -> DataFrame:
+    """Candidate pairs of a round; after the first only from buckets left open that hold several components."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if again is not None:
+        members = members.join(again, "bucket", "left_semi")
     if labels is None:
-        rows = members.withColumn("component", F.col("doc_id")).withColumn("side", F.lit(0))
+        rows = members.join(points, "doc_id").withColumn("component", F.col("doc_id")).withColumn("side", F.lit(0))
     else:
         labels = labels.withColumnRenamed("node", "doc_id")
-        rows = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rows = materialise(rows, "members")
+        rows = materialise(members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "members")
         held = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("last"))
         held = held.groupBy("bucket").agg(F.max_by("component", "n").alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max("last").alias("last"))
-        held = materialise(held.where("n > most"), "open_buckets")
-        rows = rows.join(held, "bucket")
+        rows = rows.join(materialise(held.where("n > most"), "open_buckets"), "bucket")
         minors = F.ceil((F.col("n") - F.col("most")) / PAGE)
         everyone = rows.withColumn("side", F.explode(F.sequence(F.lit(0), minors.cast("int") - 1)))
         minor = rows.where("component <> major").withColumn("side", F.pmod(F.xxhash64("doc_id"), minors).cast("int"))
         minor = minor.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-        rows = everyone.unionByName(minor)
-    rows = rows.select("bucket", "page", "side", "doc_id", "n_shingles", "component", "point")
-    pages = rows.groupBy("bucket", "page", "side")
-    return pages.applyInPandas(_page_pairs(share, SPARE * 4**round_), "a long, b long, more boolean")
+        rows = everyone.unionByName(minor).join(points, "doc_id")
+    rows = rows.select("bucket", "page", F.col("side").cast("long").alias("side"), "doc_id", "n_shingles", "component", "point")
+    pages = rows.repartition(n, "bucket", "page", "side").sortWithinPartitions("bucket", "page", "side", "doc_id")
+    return pages.mapInArrow(_page_batches(share, round_), PAIRS)
 
 
 def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -349,21 +427,25 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
 
 def _link_rounds(members: DataFrame, points: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame | None:
     """Search, verify and connect until every candidate pair in different components is verified."""
-    tested, labels, round_ = None, None, 0
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    wide = materialise(members.where("page > 0").select("bucket").distinct(), "wide_buckets")
+    tested = labels = again = None
+    round_ = 0
     while True:
-        found = materialise(_search(members, points, labels, share, round_), "pairs")
-        pairs = found.select("a", "b").distinct()
+        found = materialise(_search(members, points, labels, again, share, round_), "pairs")
+        pairs = found.where("bucket is null").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "new_pairs")
-        more = found.where("more").limit(1).count() > 0
-        if pairs.isEmpty():
-            if not more:
-                return labels
-        else:
-            left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-            right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+        again = found.where("bucket is not null").select("bucket").distinct()
+        again = materialise(again.unionByName(wide).distinct() if round_ == 0 else again, "again")
+        if not pairs.isEmpty():
             checked = materialise(pairs.join(left, "a").join(right, "b").mapInArrow(_verify_batches(share), "a long, b long, linked boolean"), "links")
             tested = checked if tested is None else tested.unionByName(checked)
             labels = materialise(components(tested.where("linked").select("a", "b")), "labels")
+        if again.isEmpty():
+            return labels
+        if labels is None:
+            labels = members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).distinct()
         round_ += 1
