@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm import text as tx
 from chronoweave.storage import materialise
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 PAGE, SHARDS = 512, 4
 END = 0xFF  # ends a text in a transform; never a byte of UTF-8
 MEMBERS = 1 << 20
@@ -246,9 +246,13 @@ def _page_batches(batches):
         texts = [np.frombuffer(b, np.uint8) for b in body]
         doc, start, n, hot = np.array(doc), np.array(start), np.array(n), np.array(hot)
         owner, offset, at, first, gone = settle_page(texts, doc, start, n)
-        lone = pa.nulls(int(gone.sum()), pa.int64())
+        order = np.lexsort((offset[gone], owner[gone]))
+        o, k = owner[gone][order], offset[gone][order]
+        lead = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (k[1:] != k[:-1] + 1))[: len(o)])
+        size = np.diff(np.append(lead, len(o)))
+        lone = pa.nulls(len(lead), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [lone, lone, pa.array(doc[owner[gone]]), pa.array(at[gone]), pa.array(np.ones(gone.sum(), np.int64))], [c.split()[0] for c in STRINGS.split(", ")]
+            [lone, lone, pa.array(doc[o[lead]]), pa.array(start[o[lead]] + k[lead]), pa.array(size.astype(np.int64))], [c.split()[0] for c in STRINGS.split(", ")]
         )
         across = np.flatnonzero(first & hot[owner])
         if len(across):
