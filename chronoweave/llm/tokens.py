@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from chronoweave.llm import text as tx
 
-CACHE_PIECES = 700_000  # a worker forgets its pieces beyond this number
+CACHE_PIECES = 1_200_000  # a worker forgets its pieces beyond this number
 RUN_BYTES = 8 << 20
 LOOK_BYTES = 1 << 18
 
