@@ -33,6 +33,7 @@ SUPPORT = 3  # different surroundings in which a pair must be seen
 GENERALISE, REMOVE = 0.8, 1.0
 SLOTS = 1 << 20
 MIN_TERM = 3
+SALTS = 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -207,7 +208,10 @@ def find(docs: DataFrame) -> DataFrame:
         return rows.withColumn("spans", F.col("base"))
     terms, hits = reveal
     kind = F.when(F.col("ratio") >= REMOVE, "gone").otherwise("term")
-    spans = hits.join(terms, "term").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", kind.alias("kind"))).alias("added"))
+    # A common term has very many hits: they are dealt over SALTS parts, each with a copy of the term's row.
+    terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    spans = hits.join(terms, ["term", "part"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", kind.alias("kind"))).alias("added"))
     parts = F.split("base", ",")
     inside = lambda x: F.exists(  # noqa: E731 - a term inside a base span adds nothing
         parts, lambda b: (F.split(b, ":")[1].cast("long") < x["end"]) & (F.split(b, ":")[2].cast("long") > x["start"])
