@@ -72,14 +72,17 @@ def rest_candidates(layout: Layout, segments: DataFrame, fs: float, opt: RestOpt
     A delayed recording only moves the windows, so each window position is transformed once and
     shared by all delays: about ten times less work than one pass per delay.
     """
-    win, grid = round(opt.tw_s * fs), max(1, round(opt.delay_step_s * fs))
+    win, hop, begin = round(opt.tw_s * fs), round(opt.hop_s * fs), round(opt.score_start_s * fs)
+    # Windows of a delay lie one hop apart; delays whose shift is equal modulo the hop share theirs.
+    residues = F.array(*[F.lit(r).cast("long") for r in sorted({(begin + round(d * fs)) % hop for d in opt.delays()})])
     layout.check_reach(win - 1)
     blocks = attach(layout, block_arrays(layout, [ppg, penalty], with_halo=True), segments.where("status = 'ok'").select(*layout.key, "start_s"))
     rows_in = F.col("first_i") + F.size(ppg)
-    first = _round_up(F.greatest(F.col("blk") * layout.block_rows, F.lit(0)), grid, round(opt.score_start_s * fs))
+    low_p = F.greatest(F.col("blk") * layout.block_rows, F.lit(0)).cast("long")
     rest_end = F.rint((F.col("start_s") - opt.tw_s) * fs).cast("long")
     last = F.least((F.col("blk") + 1) * layout.block_rows - 1, rest_end, rows_in - win)
-    starts = blocks.where(F.col("start_s").isNotNull()).withColumn("_p", _grid(first, last, grid))
+    starts = blocks.where(F.col("start_s").isNotNull()).withColumns({"_low": low_p, "_last": last})
+    starts = starts.withColumn("_p", F.flatten(F.transform(residues, lambda r: _grid(F.col("_low") + F.pmod(r - F.col("_low"), F.lit(hop)), F.col("_last"), hop))))
     cut = F.transform("_p", lambda p: F.struct(p.alias("p"), *_cut([ppg, penalty], p, win)))
     rows = starts.select(*layout.key, F.inline(cut))
     low, high = opt.band_bpm[0] / 60.0, opt.band_bpm[1] / 60.0
@@ -117,13 +120,16 @@ def rest_rates(candidates: DataFrame, key: list[str], fs: float, opt: RestOption
 
     done = stateful_scan(packed, full_key, ["js", "freqs"], fold, TRACKED, spans_blocks=furthest >= SCAN_ROWS)
     rows = done.select(*full_key, F.inline("out"))
-    half = opt.smooth_win // 2
-    near = re_block(rows, full_key, "j", SCAN_ROWS, opt.smooth_win)
+    near = re_block(rows, full_key, "j", SCAN_ROWS, opt.smooth_win + 1)
     order = Window.partitionBy(*full_key, "_rb").orderBy("j")
     n_here = F.count(F.lit(1)).over(Window.partitionBy(*full_key, "_rb"))
-    median = F.percentile("tracked", F.lit(0.5)).over(order.rowsBetween(-half, half))
-    keep_raw = (F.col("_rb") == 0) & (n_here < 3)
-    smooth = near.withColumn("smooth", F.when(keep_raw, F.col("tracked")).otherwise(median)).where("core")
+    # An even width grows by one; a width above the length of the recording shrinks to its largest odd part.
+    odd, smoothed = opt.smooth_win + 1 - opt.smooth_win % 2, F.col("tracked")
+    for w in range(3, odd + 1, 2) if opt.smooth_win > 1 else ():
+        whole = F.col("_rb") == 0
+        fits = ~whole | (n_here >= w) if w == odd else whole & n_here.isin(w, w + 1)
+        smoothed = F.when(fits, F.percentile("tracked", F.lit(0.5)).over(order.rowsBetween(-(w // 2), w // 2))).otherwise(smoothed)
+    smooth = near.withColumn("smooth", smoothed).where("core")
     time_s = opt.score_start_s + F.col("j") * (hop / fs) + opt.tw_s / 2.0
     return smooth.select(*full_key, "j", time_s.alias("time_s"), "tracked", "smooth")
 

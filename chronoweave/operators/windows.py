@@ -87,24 +87,19 @@ def penalised(peaks: Column, motion_hz: Column, weight: float = 0.2, width_hz: f
     return F.transform(F.array_sort(by_amp), lambda s: s["p"])
 
 
-def _envelope(x: np.ndarray, fs: float, cut_hz: float) -> np.ndarray:
-    x = x - np.nanmean(x, axis=1, keepdims=True)
-    x = np.where(np.isfinite(x), x, 0.0)
-    env = iir.analytic_magnitude(x) if x.shape[1] >= 4 else np.abs(x)
-    cut = min(max(cut_hz, 1e-3), 0.95 * fs / 2.0)
-    sections = iir.butter_lowpass(2, cut / (fs / 2.0))
-    if x.shape[1] > iir.pad_length(sections):
-        env = iir.zero_phase(sections, env)
-    return adaptive.zscore(env, 0)
-
-
 def shape_for_delay(x: np.ndarray, fs: float, k_stop: float, move_hz: float, mode: str) -> np.ndarray:
-    """Signal compared in the delay search: the smoothed envelope, or the z-scored window itself."""
+    """Signal compared in the delay search: the z-scored window itself (``direct``), or the z-scored
+    magnitude of its analytic signal, low-passed below ``k_stop`` times the motion frequency (``envelope``)."""
     if mode == "direct":
         return adaptive.zscore(x, 0)
     if mode != "envelope":
         raise ValueError("delay mode must be 'envelope' or 'direct'")
-    return _envelope(x, fs, float(np.clip(k_stop * move_hz, 0.05, 0.45 * fs)))
+    known = np.isfinite(x)
+    level = np.where(known, x, 0.0).sum(1, keepdims=True) / np.maximum(known.sum(1, keepdims=True), 1)
+    swing = np.where(known, x - level, 0.0)
+    size = np.abs(swing) if x.shape[1] < 4 else iir.analytic_magnitude(swing)
+    lowpass = iir.butter_lowpass(2, float(np.clip(k_stop * move_hz, 0.05, 0.45 * fs)) / (fs / 2.0))
+    return adaptive.zscore(iir.zero_phase(lowpass, size) if x.shape[1] > iir.pad_length(lowpass) else size, 0)
 
 
 def envelope(col: str | Column, fs: float, k_stop: float = 0.3, move_hz: float = 1.0) -> Column:

@@ -340,7 +340,7 @@ def window_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "motion_frequency",
     POINT_SQL
-    + """, ax AS (SELECT vec_id, n // 16 AS axis, n % 16 AS j, x FROM p WHERE n < 48),
+    + """, ax AS (SELECT vec_id, n // 16 AS axis, n % 16 AS j, x FROM p),
     en AS (SELECT vec_id, axis, count(*) * var_pop(x) AS energy FROM ax GROUP BY ALL),
     b AS (SELECT vec_id, axis FROM en QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(energy, 9) DESC, axis) = 1),
     h AS (SELECT vec_id, j, (x - avg(x) OVER (PARTITION BY vec_id)) * (0.54 - 0.46 * cos(2 * pi() * j / 16)) AS y FROM ax JOIN b USING (vec_id, axis)),
@@ -348,6 +348,6 @@ def window_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT vec_id, arg_max(k, amp)::DOUBLE AS move_hz FROM f GROUP BY vec_id""",
 )
 def motion_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main frequency of the axis with the most energy, three axes of 16 samples."""
-    axes = [F.slice("a", 1 + 16 * j, 16) for j in range(3)]
+    """Main frequency of the axis with the most energy, four axes of 16 samples."""
+    axes = [F.slice("a", 1 + 16 * j, 16) for j in range(4)]
     return vectors(spark, sf_dir).select("vec_id", windows.band_maximum(axes, FS, 0.2, 5.0, 16).alias("move_hz"))

@@ -198,20 +198,23 @@ MODE_SQL = RESULT_SQL + """
            CROSS JOIN (SELECT unnest(['ACC3', 'HF2', 'CF2', 'HF2_CF2', 'CF2_HF2', 'ACC3_HF2', 'HF2_ACC3']) AS cascade_scheme)
            CROSS JOIN (SELECT unnest(['lms', 'volterra', 'rff_lms']) AS adaptive_filter))
 , sm AS (SELECT motion_type, scope, avg(abs(ae)) AS aae, avg(CASE WHEN abs(ae) <= 5 THEN 100.0::DOUBLE ELSE 0 END) AS acc, count(*) AS n
-         FROM res WHERE in_scope AND motion_type <> 'wanju' GROUP BY ALL)
+         FROM res WHERE in_scope GROUP BY ALL)
 """
 
 
 def scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = results(spark, sf_dir).where("in_scope AND motion_type <> 'wanju'")
+    inside = results(spark, sf_dir).where("in_scope")
     return inside.groupBy("motion_type", "scope").agg(
         metrics.aae(F.col("err")).alias("aae"), metrics.accuracy(F.col("err")).alias("acc"), F.count("err").alias("n")
     )
 
 
 def complete_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every motion type x mode, also those without any evaluated window (they get a reason)."""
-    types = F.explode(F.array(*[F.lit(m) for m in experiment.MOTION_TYPES])).alias("motion_type")
+    """Every motion type x mode, also those without any evaluated window (they get a reason).
+
+    The type ``absent`` has no recordings at all.
+    """
+    types = F.explode(F.array(*[F.lit(m) for m in [*experiment.MOTION_TYPES, "absent"]])).alias("motion_type")
     dim = experiment.modes(spark).select(types, "*")
     found = scope_summary(spark, sf_dir).withColumnRenamed("scope", "target_scope")
     return dim.join(found, ["motion_type", "target_scope"], "left")
@@ -224,7 +227,7 @@ def complete_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
        target_scope || '__' || cascade_scheme || '__' || adaptive_filter || '__aae__leave_one_group_out' AS run_name,
        round(aae, 6) AS adaptive_aae, round(acc, 6) AS adaptive_acc, coalesce(n, 0) AS n_valid, n IS NOT NULL AS success,
        CASE WHEN n IS NULL THEN 'no evaluated windows' ELSE '' END AS reason
-     FROM mode CROSS JOIN ty LEFT JOIN sm ON sm.motion_type = ty.motion_type AND sm.scope = target_scope""",
+     FROM mode CROSS JOIN (SELECT motion_type FROM ty UNION ALL SELECT 'absent') ty LEFT JOIN sm ON sm.motion_type = ty.motion_type AND sm.scope = target_scope""",
 )
 def mode_cross_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = experiment.run_name(
@@ -249,7 +252,7 @@ def mode_cross_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     MODE_SQL
     + """SELECT target_scope, metric, ty.motion_type, cascade_scheme, adaptive_filter, 'aggregate' AS result_level,
        'logo_window_concat' AS aggregation, round(CASE metric WHEN 'aae' THEN aae ELSE acc END, 6) AS metric_value, n IS NOT NULL AS success
-     FROM mode CROSS JOIN ty CROSS JOIN (VALUES ('aae'), ('accuracy')) m(metric)
+     FROM mode CROSS JOIN (SELECT motion_type FROM ty UNION ALL SELECT 'absent') ty CROSS JOIN (VALUES ('aae'), ('accuracy')) m(metric)
      LEFT JOIN sm ON sm.motion_type = ty.motion_type AND sm.scope = target_scope""",
 )
 def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,14 +506,16 @@ def time_bias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "posthoc_aggregate",
     RESULT_SQL
-    + """, run AS (SELECT *, CASE WHEN motion_type = 'bobi' THEN 2.0 WHEN motion_type = 'fuwo' THEN CAST(user_id % 3 AS DOUBLE) END AS bias FROM res WHERE scope = 'motion_recovery')
+    + """, run AS (SELECT *, CASE WHEN motion_type = 'bobi' THEN 2.0 WHEN motion_type = 'kaihe' THEN -1.0 WHEN motion_type = 'tiaosheng' THEN CAST(user_id % 2 AS DOUBLE) ELSE CAST(user_id % 3 AS DOUBLE) END AS bias FROM res WHERE scope = 'motion_recovery')
     SELECT motion_type, CASE WHEN count(DISTINCT bias) = 1 THEN min(bias) END AS time_bias_s,
       CASE WHEN count(DISTINCT bias) = 0 THEN '' WHEN count(DISTINCT bias) = 1 THEN 'posthoc_oracle_alignment' ELSE 'per_run_posthoc_oracle_alignment' END AS mode,
       round(avg(abs(ae - coalesce(bias, 0))) FILTER (WHERE in_scope AND bias IS NOT NULL), 6) AS posthoc_aae,
       CAST(count(*) FILTER (WHERE in_scope AND bias IS NOT NULL) AS BIGINT) AS n_valid FROM run GROUP BY motion_type""",
 )
 def posthoc_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bias = F.when(F.col("motion_type") == "bobi", 2.0).when(F.col("motion_type") == "fuwo", (F.col("user_id") % 3).cast("double"))
+    kind = F.col("motion_type")
+    bias = F.when(kind == "bobi", 2.0).when(kind == "kaihe", -1.0).when(kind == "tiaosheng", (F.col("user_id") % 2).cast("double"))
+    bias = bias.otherwise((F.col("user_id") % 3).cast("double"))
     rows = results(spark, sf_dir).where("scope = 'motion_recovery'").withColumn("bias", bias)
     rows = rows.withColumn("err_after", F.when(F.col("bias").isNotNull() & F.col("in_scope"), F.col("err") - F.col("bias")))
     return experiment.posthoc_summary(rows, ["motion_type"])

@@ -126,3 +126,24 @@ def test_trial(windows, kind, scheme):
         assert (motion.adaptive_hr - motion.ref_hr).abs().mean() < 12.0
         table = metrics.scope_metrics(done, ["rec"]).toPandas()
         assert (table.n_valid == pdf[pdf.in_scope].groupby("rec").size().reindex(table.rec).to_numpy()).all()
+
+
+@pytest.mark.parametrize("fs", [25.0, 50.0, 100.0])
+def test_every_delay_has_every_window(spark, fs):
+    """Positions of all delays, also where the delay step is no whole number of rows."""
+    n, opt = int(60 * fs), RestOptions()
+    rng = np.random.default_rng(8)
+    rows = [("a", i, float(np.sin(2 * np.pi * 1.2 * i / fs)) + float(rng.normal(0, 0.01)), 0.0) for i in range(n)]
+    layout = lay_out(spark.createDataFrame(rows, "rec string, i0 long, ppg double, move double"), ["rec"], ["i0"], block_rows=int(20 * fs), halo=int(10 * fs))
+    segs = spark.createDataFrame([("a", "ok", 50.0)], "rec string, status string, start_s double")
+    rates = alignment.rest_rates(alignment.rest_candidates(layout, segs, fs, opt, "ppg", "move"), ["rec"], fs, opt)
+    got = {(r.delay, r.j) for r in rates.select("delay", "j").collect()}
+    hop, begin, end = round(opt.hop_s * fs), round(opt.score_start_s * fs), round((50.0 - opt.tw_s) * fs)
+    want = set()
+    for d in opt.delays():
+        j = 0
+        while (p := begin + round(d * fs) + hop * j) <= end:
+            if p >= 0:
+                want.add((float(d), j))
+            j += 1
+    assert got == want
