@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm import tokens
-from chronoweave.storage import new_path
+from chronoweave.storage import materialise, new_path
 
 CAPACITY = 2048
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128)
@@ -91,6 +91,7 @@ def _fill_batches(tokenizer: str, end_id: int, capacity: int):
         left = [(k, None, task, j, [piece], raw) for k, held in open_bins.items() for j, (piece, raw) in enumerate(held)]
         if left:
             yield _batch(left)
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return run
 
@@ -138,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     whole = whole.select(number.alias("sequence_id"), F.flatten(F.transform("held", lambda x: x["pieces"])).alias("pieces"), joined.alias("ids"))
     tail = ranked.where("bin >= bins").select("class", "task", "place", "pieces", "ids")
     tail = tail.groupBy(F.lit(0).alias("g")).applyInPandas(_fill_tail(capacity, width), f"sequence_id long, pieces array<{PIECE}>, ids binary")
+    tail = materialise(tail, "packed_tail")  # else its tasks would hold two Python workers each
     return full.unionByName(whole).unionByName(tail), width
 
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from chronoweave.llm import text as tx
 
-CACHE_PIECES = 1_200_000  # a worker forgets its pieces beyond this number
-RUN_BYTES = 8 << 20
+CACHE_PIECES = 800_000  # beyond this number a worker keeps the pieces of its last run alone
+RUN_BYTES = 4 << 20
 LOOK_BYTES = 1 << 18
 
 _BLANK = np.zeros(256, bool)
@@ -63,6 +63,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.recent: list[str] = []
         self.ids, self.starts, self.n, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
 
     def _key(self, piece: str) -> str:
@@ -78,14 +79,25 @@ class Encoder:
         if need > len(self.starts):
             self.starts = np.resize(self.starts, max(need, 2 * len(self.starts)))
         self.ids[self.used : need_ids] = np.fromiter((i for e in found for i in e), np.uint32, int(counts.sum()))
-        self.starts[self.n] = self.used
         self.starts[self.n + 1 : need] = self.used + np.cumsum(counts)
         self.n, self.used = self.n + len(found), need_ids
 
+    def _keep(self, pieces: list[str]) -> None:
+        """Forget all pieces but these."""
+        known, ids, starts = self.known, self.ids, self.starts
+        held = {key: known[key] for key in map(self._key, pieces)}
+        at = np.fromiter(held.values(), np.int64, len(held))
+        counts = starts[at + 1] - starts[at]
+        ends = np.cumsum(counts)
+        self.ids = ids[np.arange(counts.sum()) + np.repeat(starts[at] - ends + counts, counts)]
+        self.starts = np.append(0, ends)
+        self.n, self.used = len(held), len(self.ids)
+        self.known = {key: i for i, key in enumerate(held)}
+
     def places(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_PIECES:
-            self.forget()
-        known, new = self.known, []
+            self._keep(self.recent)
+        known, new, self.recent = self.known, [], pieces
         out = np.empty(len(pieces), np.int64)
         for i, piece in enumerate(pieces):
             key = self._key(piece) if self.plain else piece
