@@ -56,12 +56,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
-def _each(column: pa.Array, size: int):
-    row = 0
-    for _, _, data, offsets in tx.slices(column):
-        for found in shingles(data, offsets, size):
-            yield row, found
-            row += 1
+def _runs(batch: pa.RecordBatch, size: int):
+    """doc_id and shingles of short runs of rows, so that a task never holds the sets of a whole batch."""
+    for lo, hi, data, offsets in tx.slices(batch.column("text")):
+        yield batch.column("doc_id").slice(lo, hi - lo), shingles(data, offsets, size)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -100,9 +98,9 @@ def prefix_length(n: int, share: tuple[int, int]) -> int:
 def _point_batches(size: int, share: tuple[int, int], frequency: np.ndarray):
     def run(batches):
         names = [c.split()[0] for c in POINTS.split(", ")]
-        for batch in batches:
+        for ids, sets in (r for batch in batches for r in _runs(batch, size)):
             rows, keys, lengths, points = [], [], [], []
-            for _, found in _each(batch.column("text"), size):
+            for found in sets:
                 n = len(found)
                 rows.append((n, *identity(found)))
                 rare = np.argsort(frequency[_slot(found)], kind="stable")[: prefix_length(n, share)] if n else []
@@ -112,7 +110,7 @@ def _point_batches(size: int, share: tuple[int, int], frequency: np.ndarray):
                 points.append(np.minimum(counts, FULL).astype("<u2").tobytes() if n else None)
             cols = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, lists, pa.array(points, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, *cols, lists, pa.array(points, pa.binary())], names)
 
     return run
 
@@ -338,11 +336,10 @@ def _set_batches(size: int, slots: np.ndarray):
         for batch in batches:
             known = np.asarray(batch.column("doc_id").fill_null(0)).view(np.uint64)
             mine = np.flatnonzero(wanted[tx.mix(known) & np.uint64(MEMBERS - 1)])
-            part = batch.take(pa.array(mine))
-            found = [f for _, f in _each(part.column("text"), size)]
-            names = [identity(f) for f in found]
-            cols = [pa.array([len(f) for f in found], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)), pa.array([f.tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_shingles", "s1", "s2", "shingles"])
+            for ids, found in _runs(batch.take(pa.array(mine)), size):
+                names = [identity(f) for f in found]
+                cols = [pa.array([len(f) for f in found], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)), pa.array([f.tobytes() for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "n_shingles", "s1", "s2", "shingles"])
 
     return run
 
