@@ -13,6 +13,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows may be long texts or arrays: 10,000 of them can be more than a worker should hold.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
