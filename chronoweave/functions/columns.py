@@ -19,11 +19,6 @@ def as_number(col: Column | str) -> Column:
     return finite(F.trim(c).try_cast("double"))
 
 
-def guarded_ratio(num: Column, den: Column, eps: float = 1e-9) -> Column:
-    """``num / den``; NULL where the denominator is (nearly) zero."""
-    return finite(F.when(F.abs(den) >= eps, num / den))
-
-
 HALF_UP_NUDGE = 2.7e-10
 
 

@@ -142,10 +142,3 @@ def ratio_channel(layout: Layout, num: str, total: str, out: str = "ratio") -> D
     return (
         fill_rows(layout, rows, "_raw", "_filled").withColumn(out, F.coalesce("_filled", F.lit(0.0))).drop("_raw", "_filled")
     )
-
-
-def interpolate_by(layout: Layout, value: str, axis: str, out: str = "at_axis") -> DataFrame:
-    """Value at each row's own ``axis`` position on the line through the known samples."""
-    rows = bracket(layout, layout.core(), value, axis)
-    return rows.withColumn(out, F.coalesce(F.col(value), linear_between(axis))).drop("prev", "next")
-

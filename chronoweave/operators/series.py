@@ -26,7 +26,6 @@ HALO_ROWS = 64
 ROWS_PER_SORT_PARTITION = 4_000_000
 ROWS_PER_BUCKET = 4_000_000
 MIN_ROWS = 5_000
-MAX_PARTITIONS = 50_000
 
 
 @dataclass(frozen=True)
@@ -75,7 +74,7 @@ class Layout:
 def partitions_for(rows: int, per_partition: int, parallelism: int) -> int:
     """Enough partitions for the size; at least one per core unless the parts would become tiny."""
     by_size, by_core = -(-rows // per_partition), min(parallelism, -(-rows // MIN_ROWS))
-    return max(1, min(MAX_PARTITIONS, max(by_size, by_core)))
+    return max(1, by_size, by_core)
 
 
 def index_rows(df: DataFrame, key: list[str], order: list[str], *, derived: bool = False) -> tuple[DataFrame, int]:

@@ -210,12 +210,13 @@ def summarise(sums: DataFrame, opt: BatchOptions) -> dict[str, DataFrame]:
     by = ["motion_type", *MODE, "heldout_group_id"]
     history = experiment.best_so_far(folds, by)
     best = experiment.winning_trial(folds.where("objective_value IS NOT NULL"), by)
+    tested = metrics.objective(F.col("test_aae"), F.col("test_acc"), F.lit(opt.objective))
     done = best.groupBy("motion_type", *MODE).agg(
         (F.sum("test_abs_sum") / F.nullif(F.sum("test_n"), F.lit(0))).alias("adaptive_aae"),
         (F.sum("test_hits") * 100.0 / F.nullif(F.sum("test_n"), F.lit(0))).alias("adaptive_acc"),
         (F.sum("test_base_sum") / F.nullif(F.sum("test_n"), F.lit(0))).alias("baseline_aae"),
         F.sum("test_n").alias("n_valid"),
-        F.min_by("heldout_group_id", F.struct(F.round("test_aae", 9), "heldout_group_id")).alias("representative_group"),
+        F.min_by("heldout_group_id", F.struct(F.round(tested, 9), "heldout_group_id")).alias("representative_group"),
     )
     types = F.explode(F.array(*[F.lit(m) for m in experiment.MOTION_TYPES])).alias("motion_type")
     dim = experiment.modes(spark, opt.scopes, opt.schemes, opt.filters).select(types, "*")

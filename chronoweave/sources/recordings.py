@@ -44,9 +44,12 @@ def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _fields(line: Column) -> Column:
-    """Comma-separated fields without a byte-order mark or quotes."""
+    """Comma-separated fields without a byte-order mark; a quoted field may hold commas and doubled quotes."""
     clean = F.regexp_replace(line, "^﻿", "")
-    return F.transform(F.split(clean, ",", -1), lambda f: F.trim(F.regexp_replace(F.trim(f), '^"|"$', "")))
+    outside = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    quoted = F.transform(F.split(clean, outside, -1), lambda f: F.trim(F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"'))))
+    plain = F.transform(F.split(clean, ",", -1), lambda f: F.trim(f))
+    return F.when(F.contains(clean, F.lit('"')), quoted).otherwise(plain)
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

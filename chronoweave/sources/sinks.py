@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column orders of the result tables.
-QC_COLUMNS = ["group_id", "motion_type", "status", "reason", "std1", "std2", "outliers1", "outliers2"]
-SPLIT_COLUMNS = ["fold_id", "heldout_group_id", "split", "group_id", "motion_type", "reason"]
-SUMMARY_COLUMNS = [
-    "motion_type", "target_scope", "cascade_scheme", "adaptive_filter", "result_level", "aggregation", "metric_value",
-    "objective_mode", "data_split_mode", "n_trials", "n_repeats", "success", "reason",
-]
 GLOBAL_HR_COLUMNS = [
     "time_s", "segment_label", "is_filtered_segment", "ppg_hr_bpm", "ref_hr_after_bpm", "time_bias_after_s",
     "abs_err_after_bpm", "time_bias_after_source", "time_bias_after_mode",
@@ -58,7 +52,8 @@ def write_csv(df: DataFrame, path: str, *, columns: list[str] | None = None, by:
     out = _flat(json_safe(df if columns is None else with_columns(df, columns)))
     out = out.coalesce(1) if one_file else out
     writer = out.write.mode("overwrite").option("header", True)
-    (writer.partitionBy(*by) if by else writer).csv(path)
+    # A partitioned write of no rows makes no file, and then there is no header.
+    (writer.partitionBy(*by) if by and not out.isEmpty() else writer).csv(path)
 
 
 def with_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,11 +61,6 @@ def with_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
-def wide_matrix(df: DataFrame, row: str, column: str, values: list[str], metric: Column) -> DataFrame:
-    """Metric matrix with one column per value of ``column``."""
-    return df.groupBy(row).pivot(column, values).agg(metric)
-
-
 def pick_params(requests: DataFrame, params: DataFrame, mode: list[str], score: str, maximise: bool = False) -> DataFrame:
     """Best parameter row for every requested mode; a mode without rows gets the first row of the table.
 
@@ -91,12 +81,13 @@ def pick_params(requests: DataFrame, params: DataFrame, mode: list[str], score:
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    """Written parameter rows: scores as numbers, ``params`` as map, ``row_id`` in file order."""
-    rows = spark.read.option("header", True).csv(path)
+    """Written parameter rows: scores as numbers, ``params`` as map, ``row_id`` sorts by file and place, whatever the listing."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.option("header", True).csv(path).withColumn("row_id", place)
     numbers = [c for c in rows.columns if c.endswith(("_aae", "_acc", "_idx", "_value")) or c.startswith(("train_", "test_"))]
     typed = {c: F.col(c).try_cast("double") for c in numbers}
     typed["params"] = F.from_json("params", "map<string,double>")
-    return rows.withColumns(typed).withColumn("row_id", F.monotonically_increasing_id())
+    return rows.withColumns(typed)
 
 
 def write_global_rates(rows: DataFrame, path: str, by: list[str]) -> None:

@@ -124,3 +124,22 @@ def test_experiment_parts(spark):
     folds = experiment.leave_one_out_folds(groups).toPandas()
     assert sorted(folds[folds.motion_type == "bobi"].fold_id) == list(range(12))
     assert folds[folds.motion_type == "fuwo"].status.tolist() == ["failed"]
+
+
+def test_quoted_fields(spark):
+    rows = [(0, 'a,"b,c",d'), (1, '" x ""y"" ",,3'), (2, "1, 2 ,")]
+    got = spark.createDataFrame(rows, "i int, value string").select("i", recordings._fields(F.col("value")).alias("f")).orderBy("i").collect()
+    assert [r.f for r in got] == [["a", "b,c", "d"], ['x "y"', "", "3"], ["1", "2", ""]]
+
+
+def test_empty_partitioned_csv_has_a_header(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([], "kind string, value double"), str(tmp_path / "out"), by=["kind"])
+    texts = [p.read_text() for p in (tmp_path / "out").glob("*.csv")]
+    assert texts == ["kind,value\n"]
+
+
+def test_params_keep_file_order(spark, tmp_path):
+    for name, n in (("a.csv", 1), ("b.csv", 400)):  # the longer file is listed first
+        (tmp_path / name).write_text("mode,test_aae,params\n" + "".join(f"{name}{i:03d},,{{}}\n" for i in range(n)))
+    rows = [r.mode for r in sinks.read_params(spark, str(tmp_path)).orderBy("row_id").collect()]
+    assert rows == ["a.csv000"] + [f"b.csv{i:03d}" for i in range(400)]
