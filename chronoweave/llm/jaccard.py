@@ -10,7 +10,9 @@ At the top the tree is split by rare shingles: documents that can link share one
 hash).  A pure box tree over all documents would not separate long documents: their counts are too alike.
 Documents with one shingle set are one point.  A rare shingle of very many documents is cut into pages;
 rounds of search, verification and components follow, in which only points of different components meet,
-until no unverified pair is left, so no link is lost and a dense group never emits all its pairs.
+until no unverified pair is left, so no link is lost and a dense group never emits all its pairs.  The sets
+themselves never move as a whole: a round makes those of its new pairs again from the texts, chosen by
+a filter of ``MEMBERS`` bits that only saves work, as the pairs are joined with them exactly.
 
 A shingle is a run of ``size`` words, lower-cased A-Z; a shorter text is one shingle.  Shingles are
 compared by 64-bit hash.
@@ -22,6 +24,8 @@ has no component; an empty table gives an empty result; further columns are not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,7 +36,7 @@ from chronoweave.llm.graph import components
 from chronoweave.storage import materialise
 
 SLOTS = 1 << 16  # of the shingle counts over all documents
-MEMBERS = 1 << 20  # of the filter that says whose sets are needed
+MEMBERS = 1 << 23  # bits of the filter that says whose sets a round needs
 GROUPS = 128  # coordinates of a point
 PAGE = 1024  # points of a tree
 LEAF, FAN = 16, 8
@@ -328,14 +332,25 @@ def _page_batches(share: tuple[int, int], round_: int):
 SETS = "doc_id long, n_shingles long, s1 long, s2 long, shingles binary"
 
 
-def _set_batches(size: int, slots: np.ndarray):
-    wanted = np.zeros(MEMBERS, bool)
-    wanted[slots] = True
+def _member(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(MEMBERS))
+
+
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """Bits of the documents in pairs, ``MEMBERS`` of them at most."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(_member("doc_id").alias("m"))
+    words = ids.groupBy(F.shiftright("m", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("bits"))
+    bits = np.zeros((MEMBERS >> 15, 4096), np.uint8)
+    for k, part in words.collect():
+        bits[k] = np.frombuffer(part, np.uint8)
+    return bits.ravel()
 
+
+def _set_batches(size: int, bits: np.ndarray):
     def run(batches):
         for batch in batches:
-            known = np.asarray(batch.column("doc_id").fill_null(0)).view(np.uint64)
-            mine = np.flatnonzero(wanted[tx.mix(known) & np.uint64(MEMBERS - 1)])
+            member = np.asarray(batch.column("member"))
+            mine = np.flatnonzero(bits[member >> 3] >> (member & 7).astype(np.uint8) & 1)
             for ids, found in _runs(batch.take(pa.array(mine)), size):
                 names = [identity(f) for f in found]
                 cols = [pa.array([len(f) for f in found], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)), pa.array([f.tobytes() for f in found], pa.binary())]
@@ -344,12 +359,6 @@ def _set_batches(size: int, slots: np.ndarray):
     return run
 
 
-def _slots_of(batches):
-    for batch in batches:
-        slot = np.unique(tx.mix(np.asarray(batch.column("doc_id")).view(np.uint64)) & np.uint64(MEMBERS - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64))], ["slot"])
-
-
 def _verify_batches(share: tuple[int, int]):
     def run(batches):
         for batch in batches:
@@ -400,7 +409,8 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
     classes = materialise(classes.where("rep is not null"), "classes")
     reps = made.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "s1", "s2"), ["doc_id", "n_shingles", "s1", "s2"])
     repeated = reps.groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
+    several = not repeated.isEmpty()
+    if several:
         first = Window.partitionBy("doc_id").orderBy("s1", "s2")
         reps = reps.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
@@ -408,12 +418,17 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = lean.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bucket_batches, "bucket long, page long, doc_id long")
     members = materialise(runs.distinct(), "buckets")
-    slots = np.array([r[0] for r in members.select("doc_id").mapInArrow(_slots_of, "slot long").distinct().collect()], np.int64)  # at most MEMBERS
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Sets of the documents in pairs, and of few others, read from the texts again."""
+        sets = materialise(body.withColumn("member", _member("doc_id")).mapInArrow(_set_batches(size, _wanted(pairs)), SETS), "sets")
+        if several:
+            return sets.join(reps.select("doc_id", "n_shingles", "s1", "s2"), ["doc_id", "n_shingles", "s1", "s2"], "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"])
+        return sets.select("doc_id", "shingles")
+
     links = None
-    if len(slots):
-        sets = materialise(body.mapInArrow(_set_batches(size, slots), SETS), "sets")
-        sets = sets.join(classes, ["n_shingles", "s1", "s2"], "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"]) if not repeated.isEmpty() else sets.select("doc_id", "shingles")
-        links = _link_rounds(members, reps.select("doc_id", "n_shingles", "point"), sets, share)
+    if not members.isEmpty():
+        links = _link_rounds(members, reps.select("doc_id", "n_shingles", "point"), sets_of, share)
     if links is None:
         joined = narrow.join(classes, ["n_shingles", "s1", "s2"], "left")
         return joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
@@ -422,10 +437,8 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def _link_rounds(members: DataFrame, points: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame | None:
+def _link_rounds(members: DataFrame, points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: tuple[int, int]) -> DataFrame | None:
     """Search, verify and connect until every candidate pair in different components is verified."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     wide = materialise(members.where("page > 0").select("bucket").distinct(), "wide_buckets")
     tested = labels = again = None
     round_ = 0
@@ -438,6 +451,9 @@ def _link_rounds(members: DataFrame, points: DataFrame, sets: DataFrame, share:
         again = found.where("bucket is not null").select("bucket").distinct()
         again = materialise(again.unionByName(wide).distinct() if round_ == 0 else again, "again")
         if not pairs.isEmpty():
+            sets = sets_of(pairs)
+            left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+            right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
             checked = materialise(pairs.join(left, "a").join(right, "b").mapInArrow(_verify_batches(share), "a long, b long, linked boolean"), "links")
             tested = checked if tested is None else tested.unionByName(checked)
             labels = materialise(components(tested.where("linked").select("a", "b")), "labels")
