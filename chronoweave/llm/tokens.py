@@ -9,6 +9,9 @@ whole text.
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 
@@ -54,6 +57,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.plain = self.tokenizer.normalizer is not None and self.tokenizer.encode("The a", add_special_tokens=False).ids == self.tokenizer.encode(
@@ -78,7 +82,7 @@ class Encoder:
             self.ids = np.resize(self.ids, max(need_ids, 2 * len(self.ids)))
         if need > len(self.starts):
             self.starts = np.resize(self.starts, max(need, 2 * len(self.starts)))
-        self.ids[self.used : need_ids] = np.fromiter((i for e in found for i in e), np.uint32, int(counts.sum()))
+        self.ids[self.used : need_ids] = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
         self.starts[self.n + 1 : need] = self.used + np.cumsum(counts)
         self.n, self.used = self.n + len(found), need_ids
 
@@ -98,17 +102,18 @@ class Encoder:
         if len(self.known) > CACHE_PIECES:
             self._keep(self.recent)
         known, new, self.recent = self.known, [], pieces
-        out = np.empty(len(pieces), np.int64)
-        for i, piece in enumerate(pieces):
-            key = self._key(piece) if self.plain else piece
-            at = known.get(key)
+        keys = list(map(self._key, pieces)) if self.plain else pieces
+        found = list(map(known.get, keys))
+        for i, at in enumerate(found):
             if at is None:
-                at = known[key] = self.n + len(new)
-                new.append(piece)
-            out[i] = at
+                at = known.get(keys[i])  # another piece with this key may have come before
+                if at is None:
+                    at = known[keys[i]] = self.n + len(new)
+                    new.append(pieces[i])
+                found[i] = at
         if new:
             self._learn(new)
-        return out
+        return np.array(found, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a run, and the place where each text's ids begin."""
