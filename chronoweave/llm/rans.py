@@ -38,7 +38,9 @@ SECTIONS = (
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, their frequencies (at least 1, summing to 2**bits), and bits."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    held = np.bincount(ids)  # as long as the vocabulary at most
+    symbols = np.flatnonzero(held)
+    counts = held[symbols]
     bits = min(24, max(12, int(len(symbols) - 1).bit_length() + 3))
     share = np.maximum(1, np.floor(counts * (2**bits / counts.sum())).astype(np.int64))
     gap = 2**bits - int(share.sum())
@@ -65,7 +67,9 @@ def encode(ids: np.ndarray) -> dict[str, object]:
     """A section's table, checkpoints, checksums and words."""
     symbols, share, bits = frequencies(ids)
     f_of, c_of = _tables(symbols, share)
-    place = np.searchsorted(symbols, ids)
+    place_of = np.zeros(int(symbols[-1]) + 1, np.int32)
+    place_of[symbols] = np.arange(len(symbols))
+    place = place_of[ids]
     blocks = -(-len(ids) // BLOCK)
     padded = np.full(blocks * BLOCK, int(np.argmax(share)), np.int64)
     padded[: len(ids)] = place
