@@ -336,16 +336,20 @@ def _member(doc_id: str):
     return F.pmod(F.xxhash64(doc_id), F.lit(MEMBERS))
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """Bits of the documents in pairs, ``MEMBERS`` of them at most."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(_member("doc_id").alias("m"))
-    words = ids.groupBy(F.shiftright("m", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("bits"))
+def _bits(members: DataFrame) -> np.ndarray:
+    """The numbers of the column m as bits, ``MEMBERS`` of them at most."""
+    words = members.groupBy(F.shiftright("m", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("bits"))
     bits = np.zeros((MEMBERS >> 15, 4096), np.uint8)
     for k, part in words.collect():
         bits[k] = np.frombuffer(part, np.uint8)
     return bits.ravel()
 
 
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """Bits of the documents in pairs."""
+    return _bits(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(_member("doc_id").alias("m")))
+
+
 def _set_batches(size: int, bits: np.ndarray):
     def run(batches):
         for batch in batches:

@@ -159,3 +159,13 @@ def test_words_and_lines_of_texts():
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == [w for t in texts for w in words(t)]
     starts, ends = tx.line_spans(data, offsets)
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == [line for t in texts for line in t.split("\n")]
+
+
+def test_paragraph_links_over_several_rounds(spark):
+    """A page of near copies larger than what the first round settles: each round asks for sets of its own pairs."""
+    base = prose(88, 80).replace("\n", "")
+    rows = [(i, edited(base, i, i % 3)) for i in range(2 * jaccard.SMALL)] + [(500, prose(5, 80).replace("\n", ""))]
+    got = {r.doc_id: r.class_doc_id for r in paragraphs.classes(frame(spark, rows)).collect()}
+    sets = {i: grams(t, paragraphs.SIZE) for i, t in rows}
+    want = components(sets, linked(sets, *paragraphs.SHARE))
+    assert got == {i: top for i, top in want.items() if list(want.values()).count(top) > 1}
