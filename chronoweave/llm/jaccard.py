@@ -95,6 +95,12 @@ def identity(found: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
+def identities(flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``identity`` of many sets that lie one after the other from ``edges`` on."""
+    a, b = tx.mix(flat ^ np.uint64(0x5851F42D4C957F2D)), tx.mix(flat + np.uint64(0x14057B7EF767814F))
+    return np.add.reduceat(a, edges).view(np.int64), np.add.reduceat(b, edges).view(np.int64)
+
+
 def prefix_length(n: int, share: tuple[int, int]) -> int:
     return n - -(-share[0] * n // share[1]) + 1
 

@@ -165,7 +165,32 @@ def test_paragraph_links_over_several_rounds(spark):
     """A page of near copies larger than what the first round settles: each round asks for sets of its own pairs."""
     base = prose(88, 80).replace("\n", "")
     rows = [(i, edited(base, i, i % 3)) for i in range(2 * jaccard.SMALL)] + [(500, prose(5, 80).replace("\n", ""))]
-    got = {r.doc_id: r.class_doc_id for r in paragraphs.classes(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.class_doc_id for r in paragraphs.classes(frame(spark, rows)).where("place = 0").collect()}  # place 0 is the whole line
     sets = {i: grams(t, paragraphs.SIZE) for i, t in rows}
     want = components(sets, linked(sets, *paragraphs.SHARE))
     assert got == {i: top for i, top in want.items() if list(want.values()).count(top) > 1}
+
+
+def test_passages_in_mid_line_and_in_short_lines(spark):
+    """A passage of PASSAGE words is found wherever it stands; a text alone is no repeat of itself."""
+    def fresh(seed, n):
+        return prose(seed, n).replace("\n", "")
+
+    rows, planted = [], {}
+    for k in range(12):
+        w = fresh(9000 + k, paragraphs.PASSAGE).split(" ")
+        short = "\n".join(" ".join(w[i : i + 7]) for i in range(0, len(w), 7))
+        for j, passage in enumerate((" ".join(w), " ".join(w), short)):
+            head = fresh(9100 + 3 * k + j, 30 + 3 * k) + " "
+            rows.append((3 * k + j, head + passage + " " + fresh(9200 + 3 * k + j, 40)))
+            planted[3 * k + j] = (len(head), len(head) + len(passage))
+    rows += [(100 + i, fresh(9300 + i, 400)) for i in range(4)] + [(200, "one two three " * 200)]
+    got = paragraphs.classes(frame(spark, rows)).collect()
+    for k in range(12):
+        inside = [{r.class_id for r in got if r.doc_id == d and planted[d][0] - 12 <= r.start and r.end <= planted[d][1] + 12} for d in range(3 * k, 3 * k + 3)]
+        assert inside[0] & inside[1] & inside[2]
+    assert all(r.doc_id < 100 for r in got)
+    left = {r.doc_id: r.text for r in paragraphs.remove(frame(spark, rows)).collect()}
+    text = dict(rows)
+    assert all(left[i] == t for i, t in rows if i >= 100) and all(len(left[i]) < len(text[i]) for i in range(36) if i % 3)
+    assert all(left[i].startswith(text[i][: planted[i][0] - 12]) for i in range(36))
