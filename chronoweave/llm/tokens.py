@@ -1,8 +1,8 @@
 """Token ids of whole texts, computed once per distinct piece.
 
 A text is cut where both public vocabularies (byte-level and word-end BPE) start a new pre-token whatever
-follows: before a white space after a visible character, between a line feed and a visible character, and before ``.,;:!?`` after an
-ASCII letter.  The pieces of a run of texts are dictionary-encoded, only pieces not met before go through
+follows: before a white space after a visible character, between a single line feed after
+a visible ASCII character and a visible character, and before ``.,;:!?`` after an ASCII letter.  The pieces of a run of texts are dictionary-encoded, only pieces not met before go through
 the ``tokenizers`` library, and the ids are gathered for all pieces at once.  The ids equal those of the
 whole text.
 """
@@ -26,6 +26,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _PLAIN = np.zeros(256, bool)  # first bytes of characters that surely are no white space
 _PLAIN[:128] = ~_BLANK[:128]
 _PLAIN[0xC3] = True
+_SEEN = _PLAIN & (np.arange(256) < 128)  # last bytes of characters that surely are no white space
 _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?")] = True
 _LETTER = np.zeros(256, bool)
@@ -44,7 +45,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         # After a character of several bytes only where it surely is no white space.
         sure = (part[at - 1] < 128) | (part[np.maximum(at - 2, 0)] == 0xC3)
         here[at[sure]] = True
-        here[1:] |= (part[:-1] == 10) & _PLAIN[part[1:]]
+        here[2:] |= _SEEN[part[:-2]] & (part[1:-1] == 10) & _PLAIN[part[2:]]
         here[1:] |= _STOP[part[1:]] & _LETTER[part[:-1]]
         mark[lo : lo + LOOK_BYTES] = here[skip:]
     mark[offsets[:-1][offsets[:-1] < len(data)]] = True

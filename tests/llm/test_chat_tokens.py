@@ -53,6 +53,17 @@ def test_pieces_have_the_ids_of_the_whole(path, texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_blank_lines_have_the_ids_of_the_whole(path):
+    gaps = ["\n", "\n\n", "\n\n\n", " \n", "\n ", " \n\n", "\r\n", "\r\n\r\n", "\t\n", "\u00a0\n", "\u3000\n"]
+    texts = [f"{a}{gap}{b}" for gap in gaps for a in ("a", "One.", "é", "", "\n") for b in ("b", "Two", "é", "1", "")]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    ids, at = tokens.encoder(path).encode(data, offsets)
+    encode = whole(path)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encode(t) for t in texts]
+
+
 @settings(max_examples=30, deadline=None)
 @given(ids=st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=300), times=st.integers(1, 40))
 def test_coder_round_trip(ids, times):
