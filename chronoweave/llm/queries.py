@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, chat, jaccard, mixing, packing, paragraphs, pii, quality, rans, substrings
+from chronoweave.llm import ann, chat, jaccard, mixing, packing, paragraphs, pii, quality, ranked, rans, substrings
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -110,3 +110,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and the verdict of the isolation forest."""
     rows = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@register(
+    "op13_ranked_search",
+    r"""WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, big, small), term) AS t FROM documents, letters),
+    n AS (SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0),
+    s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, big, small), term)) AS t FROM benchmark, letters),
+    v AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+    w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM v, s GROUP BY t),
+    m AS (SELECT r, doc_id, 10 + ((90 * n * docs) // length) AS m FROM n, s),
+    p AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN v USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, r),
+    b AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score
+      FROM p JOIN m USING (r) WHERE score > 0)
+    SELECT * FROM b WHERE rank <= 10""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
