@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, chat, jaccard, mixing, packing, paragraphs, pii, quality, ranked, rans, substrings
+from chronoweave.llm import ann, chat, jaccard, licences, mixing, packing, paragraphs, pii, quality, ranked, rans, substrings
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -112,6 +112,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@register("op11_licence_scan", licences.oracle_sql())
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases of every document and the licences whose passages it holds."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @register(
     "op13_ranked_search",
     r"""WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
