@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, chat, jaccard, licences, mixing, packing, paragraphs, pii, quality, ranked, rans, substrings
+from chronoweave.llm import ann, chat, jaccard, licences, mixing, packing, paragraphs, pii, quality, ranked, rans, repair, substrings
 from chronoweave.plans.tables import table
 
 QUERIES: dict = {}
@@ -118,6 +118,12 @@ def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+@register("op12_conversation_repair", repair.oracle_sql())
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest edits of every conversation after some damage."""
+    return repair.audit(table(spark, sf_dir, "conversations"))
+
+
 @register(
     "op13_ranked_search",
     r"""WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
