@@ -228,25 +228,25 @@ def illegal(a: int, b: int) -> bool:
     return (int(a), int(b)) not in {(0, 1), (1, 2), (2, 1)}
 
 
-def _join_up(group: pd.DataFrame) -> pd.DataFrame:
-    """Vector behind and state before each segment of one conversation, from its segments' compositions."""
-    group = group.sort_values("seg")
-    behind, vector, cost = [], 0, min(AT_END)
-    for step, added in zip(group["vector"][::-1], group["cost"][::-1]):
-        behind.append(vector)
-        cost += added[vector]
-        vector = step[vector]
-    behind.reverse()
-    states, state = [], 0
-    for leaves, v in zip(group["leaves"], behind):
-        states.append(state)
-        state = leaves[4 * v + state]
-    met = sum(illegal(a, b) for a, b in zip(group["last"][:-1], group["first"][1:]))
-    out = group[[*KEY, "seg"]].assign(behind=behind, state=states, tail="", cost=0, illegal=group["illegal"])
-    out.iloc[-1, out.columns.get_loc("tail")] = TAIL[state]
-    out.iloc[0, out.columns.get_loc("cost")] = cost + TABLES.vectors[vector][0]
-    out.iloc[0, out.columns.get_loc("illegal")] += met
-    return out
+def _join_up(parts):
+    """Vector behind and state before each segment of a conversation, from its segments' compositions."""
+    names = [*KEY, "seg", "behind", "state", "tail", "cost", "illegal"]
+    for pdf in parts:
+        out = []
+        for void, conv, segments in zip(pdf["void"], pdf["conv"], pdf["segments"]):
+            behind, vector, cost = [], 0, min(AT_END)
+            for s in segments[::-1]:
+                behind.append(vector)
+                cost += int(s["cost"][vector])
+                vector = int(s["vector"][vector])
+            cost, state = cost + TABLES.vectors[vector][0], 0
+            met = sum(illegal(a["last"], b["first"]) for a, b in zip(segments[:-1], segments[1:]))
+            for s, v in zip(segments, reversed(behind)):
+                leaves = int(s["leaves"][4 * v + state])
+                out.append((void, conv, s["seg"], v, state, "", cost, s["illegal"] + met))
+                state, cost, met = leaves, 0, 0  # the first segment carries what belongs to the whole
+            out[-1] = (*out[-1][:5], TAIL[state], *out[-1][6:])
+        yield pd.DataFrame(out, columns=names)
 
 
 def _traces(parts):
@@ -299,8 +299,9 @@ def edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     segments = materialise(segments.select(*KEY, "seg", F.col("a.symbol").alias("symbols"), F.col("a.initial").alias("initials")), "segments")
     key = "void boolean, conv long, seg long"
     parts = segments.mapInPandas(_summaries, f"{key}, vector array<int>, cost array<long>, leaves array<int>, illegal long, first int, last int")
-    joined = parts.groupBy(*KEY).applyInPandas(_join_up, f"{key}, behind int, state int, tail string, cost long, illegal long")
-    joined = materialise(joined, "joined")
+    fields = F.struct("seg", "vector", "cost", "leaves", "illegal", "first", "last")
+    whole = parts.groupBy(*KEY).agg(F.array_sort(F.collect_list(fields)).alias("segments"))  # a row per 65,536 turns
+    joined = materialise(whole.mapInPandas(_join_up, f"{key}, behind int, state int, tail string, cost long, illegal long"), "joined")
     traced = segments.join(joined.select(*KEY, "seg", "behind", "state", "tail"), [*KEY, "seg"])
     traced = traced.select(*KEY, "seg", "symbols", "behind", "state", "tail").mapInPandas(
         _traces, f"{key}, tail string, inserted array<string>, letter array<string>, become array<string>"
