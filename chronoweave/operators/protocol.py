@@ -33,29 +33,29 @@ def band_bins(fs: float, n: int, nfft: int | None = None) -> np.ndarray:
     return freq[(freq >= RATE_BAND_HZ[0]) & (freq <= RATE_BAND_HZ[1])]
 
 
+def in_band(x: np.ndarray, fs: float, refs: list[np.ndarray] = (), width_hz: float = 0.2, weight: float = 0.2, nfft: int | None = None) -> np.ndarray:
+    """In-band magnitudes of a batch of windows.  Bins near the main frequency of the strongest of
+    ``refs``, and near its double, are weighted down."""
+    freq, amp = spectra.magnitude(x, fs, nfft)
+    band = (freq >= RATE_BAND_HZ[0]) & (freq <= RATE_BAND_HZ[1])
+    freq, amp = freq[band], amp[:, band]
+    if refs:
+        move = spectra.dominant(spectra.strongest(refs), fs, *MOVE_BAND_HZ, nfft)[:, None]
+        near = (np.abs(freq - move) < width_hz) | (np.abs(freq - 2.0 * move) < width_hz)
+        amp = np.where(near & (move > 0), amp * weight, amp)
+    return amp
+
+
 def band_spectrum(
     signal: str, fs: float, penalty: list[str] | None = None, width_hz: float = 0.2, weight: float = 0.2, nfft: int | None = None
 ) -> Column:
-    """In-band magnitudes.  With ``penalty`` signals, bins near the main frequency of the strongest
-    of them, and near its double, are weighted down."""
-
-    def one(x: np.ndarray, refs: list[np.ndarray]) -> list:
-        freq, amp = spectra.magnitude(x, fs, nfft)
-        band = (freq >= RATE_BAND_HZ[0]) & (freq <= RATE_BAND_HZ[1])
-        freq, amp = freq[band], amp[:, band]
-        if refs:
-            move = spectra.dominant(spectra.strongest(refs), fs, *MOVE_BAND_HZ, nfft)[:, None]
-            near = (np.abs(freq - move) < width_hz) | (np.abs(freq - 2.0 * move) < width_hz)
-            amp = np.where(near & (move > 0), amp * weight, amp)
-        return list(amp)
-
+    """In-band magnitudes of a column of windows, with ``penalty`` signals as ``refs``."""
     names = [f"r{n}" for n in range(len(penalty or []))]
 
     @pandas_udf("array<double>")
     def run(cols: pd.DataFrame) -> pd.Series:
-        return pd.Series(
-            by_length(cols["x"], lambda at: one(matrix(cols["x"].iloc[at]), [matrix(cols[n].iloc[at]) for n in names]))
-        )
+        one = lambda at: list(in_band(matrix(cols["x"].iloc[at]), fs, [matrix(cols[n].iloc[at]) for n in names], width_hz, weight, nfft))
+        return pd.Series(by_length(cols["x"], one))
 
     refs = [F.col(c).alias(n) for c, n in zip(penalty or [], names)]
     return run(F.struct(F.col(signal).alias("x"), *refs))
@@ -108,6 +108,19 @@ def run_trial(
     return smooth_results(track_rates(narrow, key, fs, params, round(tw_s * fs)), key, params["smooth_win_len"])
 
 
+def two_rates(freq: np.ndarray, ws, inside, base_spectra, adap_spectra, how: dict, carry: list | None) -> tuple[list[dict], list[float]]:
+    """Baseline and adaptive rate of the windows of one block, and the state that the next block needs."""
+    base, adap = (None if math.isnan(c) else c for c in carry) if carry else (None, None)
+    out = []
+    for w, within, b, a in zip(ws, inside, base_spectra, adap_spectra):
+        now = pick_rate(freq, np.asarray(b), base, **how)
+        base = now if math.isfinite(now) else base
+        rate = pick_rate(freq, np.asarray(a), adap, **how) if within else now
+        adap = rate if math.isfinite(rate) else adap
+        out.append({"w": int(w), "baseline_hr": float(now), "adaptive_hr": float(rate)})
+    return out, [math.nan if c is None else float(c) for c in (base, adap)]
+
+
 def track_rates(rows: DataFrame, key: list[str], fs: float, params: dict, win: int) -> DataFrame:
     """Baseline and adaptive rate in window order.  Windows out of scope feed the baseline rate into
     the adaptive state."""
@@ -120,15 +133,7 @@ def track_rates(rows: DataFrame, key: list[str], fs: float, params: dict, win: i
     how = {"reach_hz": params["hr_range_hz"], "limit": params["slew_limit_bpm"], "step": params["slew_step_bpm"]}
 
     def fold(block: dict, carry: list | None):
-        base, adap = (None if math.isnan(c) else c for c in carry) if carry else (None, None)
-        out = []
-        for w, inside, b, a in zip(*(block[c] for c in inputs)):
-            now = pick_rate(freq, np.asarray(b), base, **how)
-            base = now if math.isfinite(now) else base
-            rate = pick_rate(freq, np.asarray(a), adap, **how) if inside else now
-            adap = rate if math.isfinite(rate) else adap
-            out.append({"w": int(w), "baseline_hr": float(now), "adaptive_hr": float(rate)})
-        return out, [math.nan if c is None else float(c) for c in (base, adap)]
+        return two_rates(freq, *(block[c] for c in inputs), how, carry)
 
     last_w = rows.agg(F.max("w")).first()[0]
     spans = last_w is not None and last_w >= SCAN_ROWS

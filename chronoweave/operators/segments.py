@@ -140,20 +140,21 @@ def smooth_in_scope(windows: Layout, value: str, flag: str, width: int, out: str
     The flagged windows are laid out by their rank, so a gap of any length between two flagged
     windows costs nothing and the frame is exact across blocks.
     """
+    return smooth_many(windows, value, flag, {out: width})
+
+
+def smooth_many(windows: Layout, value: str, flag: str, widths: dict[str, int]) -> DataFrame:
+    """``smooth_in_scope`` for several widths in one pass: output column -> width."""
     core = windows.core()
     ranked = compact_rank(windows, core, flag)
+    median = lambda frame, w: F.percentile(F.col(value), F.lit(0.5)).over(frame.rowsBetween(-(w // 2), w - 1 - w // 2))
     if not windows.spans_blocks:
-        frame = (
-            Window.partitionBy(*windows.block_key, flag)
-            .orderBy("i")
-            .rowsBetween(-(width // 2), width - 1 - width // 2)
-        )
-        smooth = F.percentile(F.col(value), F.lit(0.5)).over(frame)
-        return ranked.withColumn(out, F.when(F.col(flag), smooth))
-    near = re_block(ranked.where(flag).select(*windows.key, "rank", value, "i"), list(windows.key), "rank", windows.block_rows, width)
-    frame = Window.partitionBy(*windows.key, "_rb").orderBy("rank").rowsBetween(-(width // 2), width - 1 - width // 2)
-    smooth = near.withColumn(out, F.percentile(F.col(value), F.lit(0.5)).over(frame)).where("core")
-    smooth = smooth.withColumn("blk", F.expr(f"i div {windows.block_rows}")).select(*windows.block_key, "i", out)
+        frame = Window.partitionBy(*windows.block_key, flag).orderBy("i")
+        return ranked.withColumns({out: F.when(F.col(flag), median(frame, w)) for out, w in widths.items()})
+    near = re_block(ranked.where(flag).select(*windows.key, "rank", value, "i"), list(windows.key), "rank", windows.block_rows, max(widths.values()))
+    frame = Window.partitionBy(*windows.key, "_rb").orderBy("rank")
+    smooth = near.withColumns({out: median(frame, w) for out, w in widths.items()}).where("core")
+    smooth = smooth.withColumn("blk", F.expr(f"i div {windows.block_rows}")).select(*windows.block_key, "i", *widths)
     return ranked.join(smooth, [*windows.block_key, "i"], "left")
 
 

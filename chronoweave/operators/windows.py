@@ -126,6 +126,20 @@ def lag_search(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[np.ndarray,
     return lag, best
 
 
+def batch_delays(
+    signals: dict[str, np.ndarray], primary: str, others: list[str], move_hz: np.ndarray, fs: float, k_stop: float, mode: str, reach: int
+) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Lag and correlation of every compensation channel against the primary one, for a batch of windows."""
+    found = {c: (np.zeros(len(move_hz), int), np.zeros(len(move_hz))) for c in others}
+    for f in np.unique(move_hz):
+        pick = np.flatnonzero(move_hz == f)
+        ref = shape_for_delay(signals[primary][pick], fs, k_stop, f, mode)
+        for c in others:
+            lag, r = lag_search(ref, shape_for_delay(signals[c][pick], fs, k_stop, f, mode), reach)
+            found[c][0][pick], found[c][1][pick] = lag, r
+    return found
+
+
 def window_delays(
     primary: str, others: list[str], fs: float, *, mode: str = "direct", k_stop: float = 0.3, move_hz: str | None = None, max_lag: int | None = None
 ) -> Column:
@@ -136,17 +150,9 @@ def window_delays(
     def run(cols: pd.DataFrame) -> pd.Series:
         def one(at: np.ndarray) -> list:
             part = cols.iloc[at]
-            hz = part["move_hz"].to_numpy(dtype=float)
-            rows: list = [None] * len(at)
-            for f in np.unique(hz):
-                pick = np.flatnonzero(hz == f)
-                ref = shape_for_delay(matrix(part[primary].iloc[pick]), fs, k_stop, f, mode)
-                found = [lag_search(ref, shape_for_delay(matrix(part[c].iloc[pick]), fs, k_stop, f, mode), reach) for c in others]
-                for place, r in enumerate(pick):
-                    rows[r] = [
-                        {"channel": c, "lag": int(lag[place]), "r": float(corr[place])} for c, (lag, corr) in zip(others, found)
-                    ]
-            return rows
+            signals = {c: matrix(part[c]) for c in (primary, *others)}
+            found = batch_delays(signals, primary, others, part["move_hz"].to_numpy(dtype=float), fs, k_stop, mode, reach)
+            return [[{"channel": c, "lag": int(found[c][0][n]), "r": float(found[c][1][n])} for c in others] for n in range(len(at))]
 
         return pd.Series(by_length(cols[primary], one))
 

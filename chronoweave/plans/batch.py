@@ -1,9 +1,9 @@
 """The batch experiment: folder of recordings -> quality -> alignment -> trials -> folds -> result tables.
 
-Trials are drawn per repeat from one seeded generator and do not depend on the fold or the motion
-type, so every trial is evaluated once on all recordings.  What remains per recording is a row of
-sums (windows, absolute error, hits); folds, motion types and winners are joins and aggregations of
-these rows, however many folds there are.
+Trials are rows of parameters.  Uniform ones do not depend on the fold or the motion type, so every
+trial is evaluated once on all recordings, and stages with equal parameters are shared among trials.
+What remains per recording is a row of sums (windows, absolute error, hits); folds, motion types and
+winners are joins and aggregations of these rows, however many folds there are.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.operators import alignment, experiment, filtering, metrics, protocol, qc, redraw, segments
+from chronoweave.operators import alignment, experiment, filtering, metrics, protocol, qc, redraw, segments, trials
 from chronoweave.operators.alignment import RestOptions
 from chronoweave.operators.recording import CHANNELS, band_of, clean_recording
 from chronoweave.operators.series import Layout, block_rows_of
@@ -129,45 +129,67 @@ def windows_of(rec: Recordings, base: tuple, fs: int, tw_s: float) -> DataFrame:
     return materialise(wins, "windows")
 
 
-def evaluate(rec: Recordings, opt: BatchOptions) -> DataFrame:
-    """Sums per trial, mode and recording: ``n, abs_sum, hits`` of the adaptive and baseline rate."""
-    bases: dict = {}
-    cached: dict = {}
-    groups = rec.pairs.select(F.col("stem").alias("sample_id"), "motion_type", "motion_index", F.col("motion_id").alias("group_id"))
-    parts = []
+def uniform_trials(spark: SparkSession, opt: BatchOptions) -> DataFrame:
+    """Seeded uniform trials of every mode within its budget."""
+    rows = []
     for kind in opt.filters:
         for trial in experiment.sample_trials(kind, *opt.most(), opt.random_state, opt.overrides):
-            fs, tw = int(trial["Fs_Target"]), float(trial["TW"])
-            if fs not in bases:
-                bases[fs] = aligned_base(rec, opt, fs)
-            if (fs, tw) not in cached:
-                cached[fs, tw] = windows_of(rec, bases[fs], fs, tw)
             for scope in opt.scopes:
                 for scheme in opt.schemes:
-                    trials, repeats = opt.budget(scheme)
-                    if trial["trial_idx"] >= trials or trial["repeat_idx"] >= repeats:
-                        continue
-                    mode_key = f"{scope}__{scheme}__{kind}"
-                    seed = experiment.stable_hash_of({**trial, "mode": mode_key, "random_state": opt.random_state})
-                    params = {**trial, "rff_seed": seed, "delay_estimation_mode": opt.delay_mode}
-                    done = protocol.run_trial(cached[fs, tw], KEY, float(fs), params, scheme, scope, kind, tw_s=tw)
-                    parts.append(_sums(done).select(
-                        F.lit(scope).alias("target_scope"), F.lit(scheme).alias("cascade_scheme"), F.lit(kind).alias("adaptive_filter"),
-                        F.lit(trial["repeat_idx"]).alias("repeat_idx"), F.lit(trial["trial_idx"]).alias("trial_idx"), "*",
-                    ))
-    table = parts[0]
+                    most, repeats = opt.budget(scheme)
+                    if trial["trial_idx"] < most and trial["repeat_idx"] < repeats:
+                        mode = {"target_scope": scope, "cascade_scheme": scheme, "adaptive_filter": kind}
+                        seed = experiment.stable_hash_of({**trial, "mode": "__".join(mode.values()), "random_state": opt.random_state})
+                        rows.append({**trial, **mode, "delay_mode": opt.delay_mode, "rff_seed": seed})
+    return trials.trial_frame(spark, rows)
+
+
+def groups_of(rec: Recordings) -> DataFrame:
+    return rec.pairs.select(F.col("stem").alias("sample_id"), "motion_type", "motion_index", F.col("motion_id").alias("group_id"))
+
+
+def all_windows(rec: Recordings, opt: BatchOptions, nodes: DataFrame) -> DataFrame:
+    """Windows of every (rate, length) in use; the search space has nine of them."""
+    bases: dict = {}
+    parts = []
+    for node in nodes.orderBy("Fs_Target", "TW").collect():
+        fs, tw = int(node["Fs_Target"]), float(node["TW"])
+        if fs not in bases:
+            bases[fs] = aligned_base(rec, opt, fs)
+        parts.append(windows_of(rec, bases[fs], fs, tw).withColumn("windows_id", F.lit(node["windows_id"]).cast("long")))
+    whole = parts[0]
     for part in parts[1:]:
-        table = table.unionByName(part)
-    return materialise(table.join(groups, "sample_id"), "trial-sums")
+        whole = whole.unionByName(part)
+    return whole
 
 
-def _sums(done: DataFrame) -> DataFrame:
-    err = F.when(F.col("in_scope"), F.round(F.abs(F.col("adaptive_hr") - F.col("ref_hr")), 9))
-    base = F.when(F.col("in_scope"), F.round(F.abs(F.col("baseline_hr") - F.col("ref_hr")), 9))
-    return done.groupBy(*KEY).agg(
-        F.count(err).alias("n"), F.sum(err).alias("abs_sum"), F.count_if(err <= metrics.HIT_BPM).alias("hits"),
-        F.sum(base).alias("base_sum"), F.count_if(base <= metrics.HIT_BPM).alias("base_hits"),
-    )
+@dataclass(frozen=True)
+class Evaluation:
+    """Sums per trial, mode and recording, and why a recording has none for a trial."""
+
+    sums: DataFrame
+    failures: DataFrame
+
+
+def evaluate(rec: Recordings, opt: BatchOptions, tried: DataFrame | None = None) -> Evaluation:
+    """``sums`` hold ``n, abs_sum, hits`` of the adaptive and baseline rate, ``failures`` a ``reason``.
+
+    ``tried`` are trials as rows of ``trials.trial_frame``, with any further columns; the seeded uniform
+    ones by default.  Equal parameter tuples are worked off once, see ``operators.trials``.
+    """
+    tried = uniform_trials(rec.samples.sparkSession, opt) if tried is None else tried
+    tried, nodes = trials.graph(tried)
+    windows = all_windows(rec, opt, nodes["windows"])
+    spectra = materialise(trials.spectra_of(windows, nodes, KEY, CHANNELS), "spectra")
+    base = materialise(trials.baselines(windows, nodes, KEY), "baselines")
+    sums = trials.smoothed_sums(trials.tracked(spectra, base, nodes, KEY), nodes, KEY)
+    failed = materialise(trials.failures(spectra, nodes, KEY), "failed")
+    named = [c for c in tried.columns if c not in (*trials.TYPES, "delay_mode", "smooth_id")]
+    tried = tried.select(*named, "smooth_id")
+    known = groups_of(rec)
+    by = [c for c in ("sample_id", "motion_type") if c in known.columns and c in (*KEY, *named)]
+    rows = tried.join(sums.join(failed, [*KEY, "smooth_id"], "left_anti"), "smooth_id").join(known, by).drop("smooth_id")
+    return Evaluation(materialise(rows, "trial-sums"), materialise(tried.join(failed, "smooth_id").join(known, by).drop("smooth_id"), "trial-failures"))
 
 
 def fold_table(sums: DataFrame, opt: BatchOptions) -> DataFrame:
@@ -241,10 +263,10 @@ def run_batch(spark: SparkSession, folder: str, output: str, root: str, opt: Bat
     """Run everything and write the result tables below ``output``, which must lie below ``root``."""
     target = sinks.safe_output(output, root, [folder])
     rec = prepare(spark, folder, opt)
-    tables = summarise(evaluate(rec, opt), opt)
-    trials = [{"adaptive_filter": k, **t} for k in opt.filters for t in experiment.sample_trials(k, *opt.most(), opt.random_state, opt.overrides)]
+    tables = summarise(evaluate(rec, opt).sums, opt)
+    drawn = [{"adaptive_filter": k, **t} for k in opt.filters for t in experiment.sample_trials(k, *opt.most(), opt.random_state, opt.overrides)]
     params = spark.createDataFrame(
-        [(t["adaptive_filter"], t["repeat_idx"], t["trial_idx"], {k: float(v) for k, v in t.items() if k not in ("adaptive_filter", "repeat_idx", "trial_idx")}) for t in trials],
+        [(t["adaptive_filter"], t["repeat_idx"], t["trial_idx"], {k: float(v) for k, v in t.items() if k not in ("adaptive_filter", "repeat_idx", "trial_idx")}) for t in drawn],
         "adaptive_filter string, repeat_idx int, trial_idx int, params map<string,double>",
     )
     tables["best_params"] = tables["best_params"].join(params, ["adaptive_filter", "repeat_idx", "trial_idx"])

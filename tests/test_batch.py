@@ -51,7 +51,7 @@ def rec(spark, folder):
 
 @pytest.fixture(scope="module")
 def sums(rec):
-    return evaluate(rec, OPT)
+    return evaluate(rec, OPT).sums
 
 
 def test_budgets():
@@ -98,7 +98,7 @@ def test_output_tables(spark, folder, tmp_path, monkeypatch, rec, sums):
     import chronoweave.plans.batch as batch
 
     monkeypatch.setattr(batch, "prepare", lambda *a: rec)
-    monkeypatch.setattr(batch, "evaluate", lambda *a: sums)
+    monkeypatch.setattr(batch, "evaluate", lambda *a: batch.Evaluation(sums, None))
     out = f"{tmp_path}/outputs/run1"
     run_batch(spark, str(folder), out, f"{tmp_path}/outputs", OPT)
     assert spark.read.csv(f"{out}/final_summary", header=True).count() == 10
