@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.columns import rounded
-from chronoweave.operators import delay, experiment, interpolate, metrics, segments
+from chronoweave.operators import delay, experiment, interpolate, metrics, sampler, segments, trials
+from chronoweave.operators.alignment import SCAN_ROWS
 from chronoweave.plans.series_queries import SCOPES, SEGMENT_SQL, SERIES_SQL, labelled_windows
 from chronoweave.plans.tables import event_rows, event_series, table
+from chronoweave.storage import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -356,6 +358,103 @@ def winning_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.winning_trial(trial_history(spark, sf_dir), ["motion_code"])
 
 
+# --- trials as data -----------------------------------------------------------------------------
+
+GRAPH_SCHEMES = ["HF2", "CF2"]
+GRAPH_ROWS = [
+    {**t, "target_scope": scope, "cascade_scheme": scheme, "adaptive_filter": "lms"} for t in TRIALS for scope in SCOPES for scheme in GRAPH_SCHEMES
+]
+WIDTH_LIST = ", ".join(
+    f"quantile_cont(adaptive_hr, 0.5) OVER (PARTITION BY user_id, scope ORDER BY w ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) AS s{w}" for w in WIDTHS
+)
+GRAPH_SQL = RESULT_SQL + f"""
+, tried AS (SELECT * FROM (VALUES {", ".join(f"({t['repeat_idx']}, {t['trial_idx']}, {t['smooth_win_len']})" for t in TRIALS)}) v(repeat_idx, trial_idx, width))
+, smoothed AS (SELECT motion_type, scope, ref_hr, {WIDTH_LIST} FROM res WHERE in_scope)
+, each AS (UNPIVOT smoothed ON {", ".join(f"s{w}" for w in WIDTHS)} INTO NAME width_name VALUE rate)
+, node AS (SELECT motion_type, scope, CAST(substr(width_name, 2) AS INTEGER) AS width, count(*) AS n, sum(round(abs(rate - ref_hr), 9)) AS total,
+             count(*) FILTER (round(abs(rate - ref_hr), 9) <= 5) AS hits FROM each GROUP BY ALL)
+, graph AS (SELECT motion_type, scope AS target_scope, cascade_scheme, repeat_idx, trial_idx, width, n, total / n AS aae, 100.0 * hits / n AS acc
+            FROM tried JOIN node USING (width) CROSS JOIN (SELECT unnest(['HF2', 'CF2']) AS cascade_scheme))
+"""
+
+
+def trial_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of every trial of every mode per motion type; equal tuples are evaluated once."""
+    stages = {"track": ["target_scope"], "smooth": ["smooth_win_len"]}
+    tried, nodes = trials.graph(trials.trial_frame(spark, GRAPH_ROWS), stages)
+    rows = results(spark, sf_dir).select("user_id", "motion_type", "w", "scope", "in_scope", "baseline_hr", "adaptive_hr", "ref_hr")
+    rates = rows.join(nodes["track"].select("track_id", F.col("target_scope").alias("scope")), "scope").drop("scope")
+    sums = trials.smoothed_sums(rates.withColumn("blk", F.expr(f"w div {SCAN_ROWS}")), nodes, ["user_id"])
+    per = sums.withColumn("motion_type", motion_type_of()).groupBy("motion_type", "smooth_id").agg(*[F.sum(c).alias(c) for c in ("n", "abs_sum", "hits")])
+    return tried.join(per.where("n > 0"), "smooth_id")
+
+
+@register(
+    "trial_graph_sums",
+    GRAPH_SQL + "SELECT motion_type, target_scope, cascade_scheme, repeat_idx, trial_idx, width, n, round(aae, 6) AS aae, round(acc, 6)::DOUBLE AS acc FROM graph",
+)
+def trial_graph_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trial_graph(spark, sf_dir).select(
+        "motion_type", "target_scope", "cascade_scheme", "repeat_idx", "trial_idx", F.col("smooth_win_len").alias("width"), "n",
+        rounded(F.col("abs_sum") / F.col("n")).alias("aae"), rounded(F.col("hits") * 100.0 / F.col("n")).alias("acc"),
+    )
+
+
+DRAWS = [
+    (t["repeat_idx"], t["trial_idx"], name, experiment.SEARCH_SPACE[name].index(t["LMS_Mu_Base" if name == "RFF_LMS_Mu_Base" else name]))
+    for t in TRIALS for name in experiment.names_for_filter("lms")
+]
+STUDY_SQL = GRAPH_SQL + f"""
+, drawn AS (SELECT * FROM (VALUES {", ".join(f"({r}, {t}, {o}, '{p}')" for r, t, p, o in DRAWS)}) v(repeat_idx, trial_idx, option, parameter))
+, size AS (SELECT * FROM (VALUES {", ".join(f"({len(experiment.SEARCH_SPACE[n])}, '{n}')" for n in experiment.names_for_filter("lms"))}) v(n_options, parameter))
+, history AS (SELECT motion_type || '|' || target_scope || '|' || cascade_scheme || '|' || CAST(repeat_idx AS VARCHAR) AS study, repeat_idx, trial_idx AS trial, aae AS value FROM graph)
+, marked AS (SELECT study, repeat_idx, trial, row_number() OVER (PARTITION BY study ORDER BY round(value, 9), trial)
+               <= greatest(1, least(25, ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY study)))) AS good FROM history)
+, used AS (SELECT study, parameter, option, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad
+           FROM marked m JOIN drawn d ON d.repeat_idx = m.repeat_idx AND d.trial_idx = m.trial GROUP BY ALL)
+, options AS (SELECT study, parameter, n_options, unnest(range(n_options)) AS option FROM (SELECT DISTINCT study FROM history), size)
+, counts AS (SELECT study, parameter, n_options, CAST(o.option AS INTEGER) AS option, coalesce(n_good, 0) AS n_good, coalesce(n_bad, 0) AS n_bad
+             FROM options o LEFT JOIN used u USING (study, parameter, option))
+, favours AS (SELECT *, ((n_good + 1) / (sum(n_good) OVER w + n_options)) / ((n_bad + 1) / (sum(n_bad) OVER w + n_options)) AS favour,
+               sum(n_good + 1) OVER (PARTITION BY study, parameter ORDER BY option) AS ending, sum(n_good + 1) OVER w AS total
+             FROM counts WINDOW w AS (PARTITION BY study, parameter))
+"""
+
+
+def study_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """History, draws and studies of the uniform trials of ``trial_graph``."""
+    study = F.concat_ws("|", "motion_type", "target_scope", "cascade_scheme", "repeat_idx").alias("study")
+    history = materialise(trial_graph(spark, sf_dir).select(study, "adaptive_filter", "repeat_idx", F.col("trial_idx").alias("trial"), (F.col("abs_sum") / F.col("n")).alias("value")), "history")
+    drawn = spark.createDataFrame(DRAWS, "repeat_idx int, trial int, parameter string, option int")
+    studies = history.select("study", "adaptive_filter", "repeat_idx").distinct()
+    return history, studies.join(drawn, "repeat_idx").select("study", "trial", "parameter", "option"), studies
+
+
+@register("trial_densities", STUDY_SQL + "SELECT study, parameter, option, n_good, n_bad, round(favour, 6) AS favour FROM favours")
+def trial_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the good trials of each study favour each option of each parameter."""
+    history, draws, _ = study_history(spark, sf_dir)
+    rows = sampler.densities(history, draws, sampler.space_frame(spark, ("lms",)))
+    return rows.withColumn("favour", rounded(F.col("favour")))
+
+
+@register(
+    "trial_proposals",
+    STUDY_SQL
+    + """, spots AS (SELECT study, trial, parameter, c, total, CAST(('0x' || substr(sha256('42|' || study || '|' || CAST(trial AS VARCHAR) || '|' || parameter || '|' || CAST(c AS VARCHAR)), 9, 8)) AS BIGINT) AS h
+             FROM (SELECT DISTINCT study, parameter, total FROM favours), range(20, 30) t(trial), range(24) r(c))
+    , picked AS (SELECT s.study, s.trial, s.parameter, c, f.option, favour FROM spots s JOIN favours f ON f.study = s.study AND f.parameter = s.parameter
+             AND floor(h * s.total / 4294967296) < ending AND floor(h * s.total / 4294967296) >= ending - n_good - 1)
+    SELECT study, CAST(trial AS INTEGER) AS trial, parameter, option FROM picked QUALIFY row_number() OVER (PARTITION BY study, trial, parameter ORDER BY favour DESC, c) = 1""",
+)
+def trial_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next ten trials of each study, learned from the first twenty."""
+    history, draws, studies = study_history(spark, sf_dir)
+    space = sampler.space_frame(spark, ("lms",))
+    known = materialise(sampler.densities(history, draws, space), "densities")
+    return sampler.propose(studies, space, known, 20, 10, 42)
+
+
 # --- delays and biases --------------------------------------------------------------------------
 
 DAILY_SQL = """WITH d AS (
