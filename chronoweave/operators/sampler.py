@@ -16,7 +16,7 @@ from chronoweave.operators.experiment import FILTER_EXTRAS, SEARCH_SPACE, names_
 
 GOOD_SHARE = 0.2  # of the trials of a study, MOST_GOOD at most
 MOST_GOOD = 25
-CANDIDATES = 24
+CANDIDATES = 2  # a whole generation draws from the same densities: more of them make its trials alike
 
 
 def space_frame(spark: SparkSession, filters=tuple(FILTER_EXTRAS), space: dict[str, list] = SEARCH_SPACE) -> DataFrame:

@@ -52,6 +52,7 @@ TYPES = {
 }
 MODE = ["target_scope", "cascade_scheme", "adaptive_filter"]
 FILTER_ONLY = {"alpha_u": ["volterra"], "M2": ["volterra"], "rff_D": ["rff_lms"], "rff_sigma": ["rff_lms"], "rff_seed": ["rff_lms"]}
+STAGE = "struct<sensor_type:string,channel:string,lag:int,r:double,M:int,K:int,mu:double,filter_type:string>"
 SUMS = ["n", "abs_sum", "hits", "base_sum", "base_hits"]
 
 
@@ -107,8 +108,13 @@ def design(lag: np.ndarray, r: np.ndarray, node: dict) -> tuple[np.ndarray, np.n
     return m, k, np.maximum(1e-6, node["LMS_Mu_Base"] - np.abs(r) / 100.0)
 
 
-def run_cascade(signals: dict[str, np.ndarray], ranked: dict[str, np.ndarray], delays: dict[str, tuple[np.ndarray, np.ndarray]], node: dict) -> np.ndarray:
-    """Residual of the primary signal after the stages of one cascade, for all windows of a batch."""
+def run_cascade(
+    signals: dict[str, np.ndarray], ranked: dict[str, np.ndarray], delays: dict[str, tuple[np.ndarray, np.ndarray]], node: dict, used: list | None = None
+) -> np.ndarray:
+    """Residual of the primary signal after the stages of one cascade, for all windows of a batch.
+
+    ``used`` gets one record per stage of what each window's filter was.
+    """
     options = {c: node[c] for c in ("alpha_u", "M2", "rff_D", "rff_sigma", "rff_seed") if node[c] is not None}
     current = signals["ppg_green"]
     for group in W.SCHEME_GROUPS[node["cascade_scheme"]]:
@@ -117,18 +123,26 @@ def run_cascade(signals: dict[str, np.ndarray], ranked: dict[str, np.ndarray], d
             at = ranked[group][:, place]
             pick = lambda parts: np.choose(at if np.ndim(parts[0]) == 1 else at[:, None], parts)  # noqa: B023, E731
             lag, r = (pick([delays[c][i] for c in names]) for i in (0, 1))
-            current = adaptive.adapt(node["adaptive_filter"], pick([signals[c] for c in names]), current, *design(lag, r, node), options)
+            m, k, mu = design(lag, r, node)
+            current = adaptive.adapt(node["adaptive_filter"], pick([signals[c] for c in names]), current, m, k, mu, options)
+            if used is not None:
+                used.append([
+                    {"sensor_type": group, "channel": names[a], "lag": int(d), "r": float(x), "M": int(mm), "K": int(kk), "mu": float(u), "filter_type": node["adaptive_filter"]}
+                    for a, d, x, mm, kk, u in zip(at, lag, r, m, k, mu)
+                ])
     return current
 
 
-def unit_spectra(signals: dict[str, np.ndarray], move_hz: np.ndarray, fs: float, k_stop: float, mode: str, cascades: list[dict]):
-    """(spectrum_id, in-band magnitudes of all windows) of every spectrum below the cascades of a unit."""
+def unit_spectra(signals: dict[str, np.ndarray], move_hz: np.ndarray, fs: float, k_stop: float, mode: str, cascades: list[dict], full: bool = False):
+    """(spectrum_id, in-band magnitudes, stages) of all windows for every spectrum below the cascades of a unit."""
     others = [c for g in ("HF", "CF", "ACC") for c in W.GROUPS[g]]
     delays = W.batch_delays(signals, "ppg_green", others, move_hz, fs, k_stop, mode, round(0.5 * fs))
     strength = lambda names: np.stack([-np.round(np.abs(delays[c][1]), 9) for c in names], axis=1)
     ranked = {g: np.argsort(strength(names), axis=1, kind="stable") for g, names in W.GROUPS.items()}
     for node in cascades:
-        filtered = run_cascade(signals, ranked, delays, node)
+        used: list | None = [] if full else None
+        filtered = run_cascade(signals, ranked, delays, node, used)
+        stages = [list(s) for s in zip(*used)] if full else [None] * len(move_hz)
         scheme = node["cascade_scheme"]
         if "ACC" in W.SCHEME_GROUPS[scheme]:
             refs = [signals[c] for c in W.GROUPS["ACC"]]
@@ -136,13 +150,14 @@ def unit_spectra(signals: dict[str, np.ndarray], move_hz: np.ndarray, fs: float,
             group = "CF" if scheme == "CF2" else "HF"
             refs = [np.choose(ranked[group][:, :1], [signals[c] for c in W.GROUPS[group]])]
         for s in node["spectra"]:
-            yield s["spectrum_id"], in_band(filtered, fs, refs, s["width"], s["weight"])
+            yield s["spectrum_id"], in_band(filtered, fs, refs, s["width"], s["weight"]), stages
 
 
-def spectra_of(windows: DataFrame, nodes: dict[str, DataFrame], key: list[str], channels: list[str]) -> DataFrame:
-    """``key, windows_id, w, spectrum_id, amp, reason``: spectra of every window and node, or why there are none.
+def spectra_of(windows: DataFrame, nodes: dict[str, DataFrame], key: list[str], channels: list[str], full: bool = False) -> DataFrame:
+    """``key, windows_id, w, spectrum_id, amp, reason, stages``: spectra of every window and node, or why there are none.
 
-    A failing unit gives one row per recording and spectrum with ``w`` and ``amp`` missing.
+    A failing unit gives one row per recording and spectrum with ``w`` and ``amp`` missing.  ``full`` also
+    records what each filter used.
     """
     rows = salted_join(windows.select(*key, "windows_id", "w", "move_hz", *channels), units(nodes), ["windows_id"], "w")
     schema = windows.select(*key, "windows_id").schema.simpleString()[7:-1].replace(":", " ")
@@ -151,7 +166,7 @@ def spectra_of(windows: DataFrame, nodes: dict[str, DataFrame], key: list[str],
         first, names = same.iloc[0], same[[*key, "windows_id", "w"]].reset_index(drop=True)
         try:
             signals = {c: matrix(same[c]) for c in channels}
-            made = list(unit_spectra(signals, same["move_hz"].to_numpy(float), float(first["fs"]), first["k_stop"], first["mode"], first["cascades"]))
+            made = list(unit_spectra(signals, same["move_hz"].to_numpy(float), float(first["fs"]), first["k_stop"], first["mode"], first["cascades"], full))
         except KERNEL_ERRORS as error:
             who = names.drop(columns="w").drop_duplicates()
             if len(who) > 1:  # the others must not suffer
@@ -159,17 +174,17 @@ def spectra_of(windows: DataFrame, nodes: dict[str, DataFrame], key: list[str],
                     yield from attempt(one)
                 return
             for spectrum in [s["spectrum_id"] for c in first["cascades"] for s in c["spectra"]]:
-                yield who.assign(w=pd.array([None], "Int64"), spectrum_id=spectrum, amp=None, reason=f"{type(error).__name__}: {error}")
+                yield who.assign(w=pd.array([None], "Int64"), spectrum_id=spectrum, amp=None, reason=f"{type(error).__name__}: {error}", stages=None)
             return
-        for spectrum, amp in made:
-            yield names.assign(spectrum_id=spectrum, amp=list(amp), reason="")
+        for spectrum, amp, stages in made:
+            yield names.assign(spectrum_id=spectrum, amp=list(amp), reason="", stages=stages)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for _, same in pdf.groupby(["windows_id", "k_stop", "mode", "unit"], sort=False):
                 yield from attempt(same)
 
-    return rows.mapInPandas(run, f"{schema}, w long, spectrum_id long, amp array<double>, reason string")
+    return rows.mapInPandas(run, f"{schema}, w long, spectrum_id long, amp array<double>, reason string, stages array<{STAGE}>")
 
 
 def failures(spectra: DataFrame, nodes: dict[str, DataFrame], key: list[str]) -> DataFrame:
@@ -221,21 +236,44 @@ def tracked(spectra: DataFrame, base: DataFrame, nodes: dict[str, DataFrame], ke
     return done.select(*own, "blk", F.inline(zipped))
 
 
-def smoothed_sums(rates: DataFrame, nodes: dict[str, DataFrame], key: list[str]) -> DataFrame:
-    """Error sums of every recording and smoothing node: ``key, smooth_id, n, abs_sum, hits, base_sum, base_hits``.
-
-    All widths are read off one pass over the rates of a tracking node.
-    """
+def _smoothed(rates: DataFrame, nodes: dict[str, DataFrame], key: list[str]) -> tuple[DataFrame, list[int]]:
+    """Rates with a column ``_s<width>`` for every width in use: all are read off one pass."""
     own = [*key, "track_id"]
     rates = materialise(rates, "rates")
     widths = [r[0] for r in nodes["smooth"].select("smooth_win_len").distinct().orderBy("smooth_win_len").collect()]
     blocks = rates.select(*own, "blk").distinct()
     last = blocks.agg(F.max("blk")).first()[0]
     layout = Layout(rates.withColumn("core", F.lit(True)).withColumn("i", F.col("w")), tuple(own), SCAN_ROWS, 0, int(last or 0), blocks)
-    smooth = smooth_many(layout, "adaptive_hr", "in_scope", {f"_s{w}": w for w in widths})
+    return smooth_many(layout, "adaptive_hr", "in_scope", {f"_s{w}": w for w in widths}), widths
+
+
+def smoothed_rates(rates: DataFrame, nodes: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """Window rates of every smoothing node: ``key, smooth_id, w, baseline_hr, adaptive_hr, in_scope, ref_hr``."""
+    smooth, widths = _smoothed(rates, nodes, key)
+    value = F.coalesce(*[F.when(F.col("smooth_win_len") == w, F.col(f"_s{w}")) for w in widths])
+    joined = smooth.join(nodes["smooth"], "track_id")
+    return joined.select(*key, "smooth_id", "w", "baseline_hr", F.when(F.col("in_scope"), value).otherwise(F.col("adaptive_hr")).alias("adaptive_hr"), "in_scope", "ref_hr")
+
+
+def lineage(nodes: dict[str, DataFrame]) -> DataFrame:
+    """Ids of all nodes above each node of the last stage."""
+    stages = list(nodes)
+    rows = nodes[stages[-1]].select(f"{stages[-1]}_id", f"{stages[-2]}_id")
+    for below, above in zip(stages[-2::-1], stages[-3::-1]):
+        rows = rows.join(nodes[below].select(f"{below}_id", f"{above}_id"), f"{below}_id")
+    return rows
+
+
+def smoothed_sums(rates: DataFrame, nodes: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """Error sums of every recording and smoothing node: ``key, smooth_id, n, abs_sum, hits, base_sum, base_hits``.
+
+    ``rates`` are those of the tracking nodes.
+    """
+    own = [*key, "track_id"]
+    smooth, widths = _smoothed(rates, nodes, key)
     error = lambda c: F.when(F.col("in_scope"), F.round(F.abs(F.col(c) - F.col("ref_hr")), 9))
     parts = [F.struct(F.lit(w).alias("width"), error(f"_s{w}").alias("err")) for w in widths]
-    each = smooth.select(*own, error("baseline_hr").alias("base"), F.explode(F.array(*parts)).alias("_p")) if parts else None
+    each = smooth.select(*own, error("baseline_hr").alias("base"), F.explode(F.array(*parts)).alias("_p"))
     sums = each.groupBy(*own, F.col("_p.width").alias("smooth_win_len")).agg(
         F.count("_p.err").alias("n"), F.sum("_p.err").alias("abs_sum"), F.count_if(F.col("_p.err") <= HIT_BPM).alias("hits"),
         F.sum("base").alias("base_sum"), F.count_if(F.col("base") <= HIT_BPM).alias("base_hits"),

@@ -441,8 +441,8 @@ def trial_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "trial_proposals",
     STUDY_SQL
-    + """, spots AS (SELECT study, trial, parameter, c, total, CAST(('0x' || substr(sha256('42|' || study || '|' || CAST(trial AS VARCHAR) || '|' || parameter || '|' || CAST(c AS VARCHAR)), 9, 8)) AS BIGINT) AS h
-             FROM (SELECT DISTINCT study, parameter, total FROM favours), range(20, 30) t(trial), range(24) r(c))
+    + f""", spots AS (SELECT study, trial, parameter, c, total, CAST(('0x' || substr(sha256('42|' || study || '|' || CAST(trial AS VARCHAR) || '|' || parameter || '|' || CAST(c AS VARCHAR)), 9, 8)) AS BIGINT) AS h
+             FROM (SELECT DISTINCT study, parameter, total FROM favours), range(20, 30) t(trial), range({sampler.CANDIDATES}) r(c))
     , picked AS (SELECT s.study, s.trial, s.parameter, c, f.option, favour FROM spots s JOIN favours f ON f.study = s.study AND f.parameter = s.parameter
              AND floor(h * s.total / 4294967296) < ending AND floor(h * s.total / 4294967296) >= ending - n_good - 1)
     SELECT study, CAST(trial AS INTEGER) AS trial, parameter, option FROM picked QUALIFY row_number() OVER (PARTITION BY study, trial, parameter ORDER BY favour DESC, c) = 1""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,12 @@ ID_PATTERN = rf"^({'|'.join(MOTION_TYPES)})(\d+)$"
 
 
 def list_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV files of one folder, not of its subfolders: ``file_path, file_name, stem``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
+    """CSV files of one folder, not of its subfolders: ``file_path, file_name, stem``.
+
+    The names come from the listing that Spark's driver makes of the folder: a scan shows no empty files.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).inputFiles()
+    files = spark.createDataFrame([(unquote(f),) for f in listed], "path string")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.col("path").alias("file_path"), name.alias("file_name"), F.regexp_replace(name, r"\.csv$", "").alias("stem"))
 

@@ -12,6 +12,34 @@ GLOBAL_HR_COLUMNS = [
     "abs_err_after_bpm", "time_bias_after_source", "time_bias_after_mode",
 ]
 
+QC_COLUMNS = [
+    "group_id", "motion_type", "data_file", "ref_file", "file_name", "status", "reason", "std_ut1", "std_ut2", "outlier_count_ut1",
+    "outlier_count_ut2", "outlier_ratio_ut1", "outlier_ratio_ut2", "is_good",
+]
+SAMPLE_COLUMNS = ["group_id", "motion_type", "motion_index", "data_file", "ref_file"]
+SPLIT_COLUMNS = ["fold_id", "heldout_group_id", "split", "group_id", "motion_type", "data_file", "ref_file", "reason"]
+BATCH_COLUMNS = ["motion_type", "sample", "status", "reason", "split", "result_csv", "report_json"]
+FINAL_COLUMNS = [
+    "motion_type", "target_scope", "cascade_scheme", "adaptive_filter", "result_level", "aggregation", "params_semantics", "metric_value",
+    "objective_mode", "data_split_mode", "n_trials", "n_repeats", "success", "reason",
+]
+FINAL_METRICS = ["aae", "accuracy", "posthoc_aae", "posthoc_accuracy"]
+WINDOW_COLUMNS = [
+    "motion_type", "target_scope", "cascade_scheme", "adaptive_filter", "heldout_group_id", "role", "repeat_idx", "trial_idx", "sample_id",
+    "group_id", "w", "center_s", "label", "in_scope", "ref_hr", "baseline_hr", "adaptive_hr",
+]
+
+
+def time_slice(rows: DataFrame, start_s: float, end_s: float, time: str = "time_s") -> DataFrame:
+    """Rows between two times, both included; on a table written in time order whole row groups are skipped."""
+    return rows.where(F.col(time).between(start_s, end_s))
+
+
+def score_map(scores: DataFrame, key: list[str], candidate: str, score: str) -> DataFrame:
+    """``key, scores``: map from each candidate of a recording's grid to its score, in the grid's order."""
+    entries = F.array_sort(F.collect_list(F.when(F.col(score).isNotNull(), F.struct(F.round(candidate, 10).alias("key"), F.col(score).alias("value")))))
+    return scores.groupBy(*key).agg(F.map_from_entries(entries).alias("scores"))
+
 
 def safe_output(path: str, root: str, protected: list[str] = ()) -> str:
     """Path that may be overwritten: below ``root``, not ``root`` itself, not above or at a protected path."""

@@ -54,7 +54,8 @@ def test_sums_equal_single_runs(spark, rec, monkeypatch):
 def test_a_failing_kernel_gives_a_reason_for_its_recording_only(spark, rec):
     few = batch.uniform_trials(spark, replace(MODES, filters=("lms",), scopes=("motion_only",), schemes=("HF2",)))
     tried, nodes = trials.graph(few)
-    windows = batch.all_windows(rec, MODES, nodes["windows"])
+    windows, missing = batch.all_windows(rec, MODES, nodes["windows"])
+    assert missing.count() == 0
     short = F.when(F.col("sample_id") == "multi_fuwo1", F.slice("hf1", 1, 7)).otherwise(F.col("hf1"))
     spectra = trials.spectra_of(windows.withColumn("hf1", short), nodes, KEY, batch.CHANNELS)
     failed = trials.failures(spectra, nodes, KEY).collect()
