@@ -2,39 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronoweave.operators.tracking import limit_step
 from chronoweave.storage import new_path
 
 
-def slew_limited_stream(stream: DataFrame, key: str, order: list[str], value: str, limit: float = 6.0, step: float = 4.0) -> DataFrame:
-    """Slew-limited values; the state of a recording is its last value.
+def slew_limited_stream(
+    stream: DataFrame, key: str, time: str, row_id: str, value: str, limit: float = 6.0, step: float = 4.0, lateness_s: float = 3600.0, end: str = "end"
+) -> DataFrame:
+    """Slew-limited values in event-time order: ``key, row_id, time, limited, late``.
 
-    Rows of one trigger are put in order before the rule runs; later triggers continue from the
-    state.  The size of a trigger is set at the source (``maxFilesPerTrigger``).
+    The state of a recording holds its last value and the rows younger than its newest one less
+    ``lateness_s``: they wait until no earlier row can come, whatever the order of files and triggers.  A
+    row that comes after its place was passed leaves at once with ``late`` and no value.  A row with the
+    flag ``end`` (see ``closed``) lets out all that waits.
     """
-    schema = stream.select(key, *order).schema.add("limited", "double")
+    schema = T.StructType([stream.schema[key], stream.schema[row_id], stream.schema[time]]).add("limited", "double").add("late", "boolean")
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = stream.withColumn("_t", micros)
 
     def update(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order)
-        previous, out = (state.get[0] if state.exists else None), []
-        for x in rows[value]:
-            missing = x is None or x != x
-            previous = previous if missing else limit_step(previous, float(x), limit, step)
+        previous, passed, newest, times, ids, values = state.get if state.exists else (None, None, None, [], [], [])
+        fresh = pd.concat(list(parts))
+        flush = bool(fresh[end].any())
+        fresh = fresh[~fresh[end].astype(bool)]
+        late = fresh["_t"] < passed if passed is not None else pd.Series(False, index=fresh.index)
+        wait = pd.DataFrame({"t": list(times) + fresh["_t"][~late].tolist(), "id": list(ids) + fresh[row_id][~late].tolist(), "v": list(values) + fresh[value][~late].tolist()})
+        wait = wait.sort_values(["t", "id"], kind="stable")
+        if len(wait):
+            newest = int(max(wait["t"].iloc[-1], newest if newest is not None else wait["t"].iloc[-1]))
+        go = np.full(len(wait), True) if flush or newest is None else (wait["t"] <= newest - int(lateness_s * 1e6)).to_numpy()
+        out = []
+        for x in wait["v"][go]:
+            previous = previous if x is None or x != x else limit_step(previous, float(x), limit, step)
             out.append(previous)
-        if previous is not None:
-            state.update((previous,))
-        yield rows[[key, *order]].assign(limited=pd.Series(out, index=rows.index, dtype="float64"))
+        done, left = wait[go], wait[~go]
+        passed = int(done["t"].iloc[-1]) if len(done) else passed
+        state.update((previous, passed, newest, left["t"].astype(int).tolist(), left["id"].astype(int).tolist(), [None if v is None or v != v else float(v) for v in left["v"]]))
+        on_time = pd.DataFrame({row_id: done["id"], "_t": done["t"], "limited": pd.Series(out, index=done.index, dtype="float64"), "late": False})
+        behind = pd.DataFrame({row_id: fresh[row_id][late], "_t": fresh["_t"][late], "limited": np.nan, "late": True})
+        for part in (on_time, behind):
+            if len(part):
+                yield part.assign(**{key: group[0], time: pd.to_datetime(part["_t"].astype("int64"), unit="us", utc=True)})[[key, row_id, time, "limited", "late"]]
 
-    return stream.groupBy(key).applyInPandasWithState(
-        update, schema, "previous double", "append", GroupStateTimeout.NoTimeout
-    )
+    kept = "previous double, passed long, newest long, times array<long>, ids array<long>, vals array<double>"
+    return rows.groupBy(key).applyInPandasWithState(update, schema, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def closed(spark: SparkSession, table_path: str, schema: T.StructType, key: str, time: str, beyond_s: float, per_trigger: int = 1000) -> tuple[DataFrame, Callable[[], None]]:
+    """Stream of a table's files, and what ends it: a row with flag ``end`` for every key.
+
+    A drained source tells nobody that no more rows come.  The ending rows stand in a folder of their own
+    that belongs to the same stream; written when the files are drained, ``beyond_s`` after the last row, they
+    also move the watermark past every open window.
+    """
+    folder = new_path(spark, "ending")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    spark.createDataFrame([], schema).write.parquet(folder)
+    source = lambda path: spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    # As a pattern the path may be a single file as well as a folder of parts.
+    stream = source(f"{table_path[:-1]}[{table_path[-1]}]").withColumn("end", F.lit(False)).unionByName(source(folder).withColumn("end", F.lit(True)))
+
+    def end() -> None:
+        rows = spark.read.schema(schema).parquet(table_path)
+        last = rows.agg(F.max(time).alias("m")).first()["m"]
+        keys = rows.select(key).distinct().withColumn(time, F.lit(last) + F.make_dt_interval(secs=F.lit(float(beyond_s))))
+        blank = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in (key, time) else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        if last is not None:
+            keys.select(*blank).write.mode("append").parquet(folder)
+
+    return stream, end
 
 
 def sliding_stats_stream(stream: DataFrame, by: list[str], time: str, value: str, width: str, hop: str, lateness: str) -> DataFrame:
@@ -47,17 +92,24 @@ def sliding_stats_stream(stream: DataFrame, by: list[str], time: str, value: str
     )
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over everything that is available now and return the written rows."""
+def drain(stream: DataFrame, label: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over everything that is available now and return the written rows; ``end`` closes it (see ``closed``)."""
     spark = stream.sparkSession
     path = new_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", f"{path}-state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", f"{path}-state")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    if end is not None:
+        end()
+        run()
     return spark.read.schema(stream.schema).parquet(path)
