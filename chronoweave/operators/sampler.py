@@ -95,3 +95,30 @@ def decode(draws: DataFrame, types: dict[str, str], space: dict[str, list] = SEA
         columns[target] = F.coalesce(*([columns[target]] if target in columns else []), F.max(F.when(F.col("parameter") == name, value)))
     wide = [value.cast(types[name]).alias(name) for name, value in columns.items()]
     return draws.groupBy("study", "trial").agg(*wide)
+
+
+def _shares(values: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+    """Share of the variance of ``centred`` that the means of each parameter's options explain."""
+    options = values.join(draws, ["study", "trial"]).groupBy(*by, "parameter", "option").agg(F.sum("centred").alias("s"), F.count(F.lit(1)).alias("n"))
+    between = options.groupBy(*by, "parameter").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
+    total = values.groupBy(*by).agg(F.sum(F.col("centred") * F.col("centred")).alias("total"))
+    share = F.when(F.col("total") > 1e-12, F.col("between") / F.col("total")).otherwise(F.lit(0.0))
+    return between.join(total, by).select(*by, "parameter", share.alias("share"))
+
+
+def effects(history: DataFrame, draws: DataFrame, seed: int, shuffles: int = 5) -> DataFrame:
+    """``study, parameter, share, null_share``: how much of the objective each parameter explains, and how much it
+    would by chance.
+
+    The share is that of the variance between a parameter's options.  For chance the objectives of a study are
+    dealt anew among its trials, ``shuffles`` times by hashes, and the shares averaged.
+    """
+    whole = Window.partitionBy("study")
+    values = history.where("value IS NOT NULL").select("study", "trial", (F.col("value") - F.avg("value").over(whole)).alias("centred"))
+    each = values.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    order = Window.partitionBy("study", "shuffle")
+    from_place = F.row_number().over(order.orderBy("trial"))
+    to_place = F.row_number().over(order.orderBy(_hash(seed, "study", "trial", "shuffle"), "trial"))
+    dealt = each.select("study", "shuffle", "centred", from_place.alias("place")).join(each.select("study", "shuffle", "trial", to_place.alias("place")), ["study", "shuffle", "place"])
+    chance = _shares(dealt, draws, ["study", "shuffle"]).groupBy("study", "parameter").agg(F.avg("share").alias("null_share"))
+    return _shares(values, draws, ["study"]).join(chance, ["study", "parameter"])

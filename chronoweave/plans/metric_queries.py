@@ -455,6 +455,31 @@ def trial_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampler.propose(studies, space, known, 20, 10, 42)
 
 
+SHARE_SQL = "CASE WHEN total > 1e-12 THEN between_ss / total ELSE 0 END"
+
+
+@register(
+    "param_effects",
+    STUDY_SQL
+    + f""", centred AS (SELECT study, repeat_idx, trial, value - avg(value) OVER (PARTITION BY study) AS c FROM history),
+    turned AS (SELECT *, row_number() OVER (PARTITION BY study, shuffle ORDER BY trial) AS from_place,
+        row_number() OVER (PARTITION BY study, shuffle ORDER BY CAST(('0x' || substr(sha256('7|' || study || '|' || CAST(trial AS VARCHAR) || '|' || CAST(shuffle AS VARCHAR)), 9, 8)) AS BIGINT), trial) AS to_place
+      FROM centred, range(5) r(shuffle)),
+    dealt AS (SELECT b.study, b.repeat_idx, b.shuffle, b.trial, a.c FROM turned a JOIN turned b ON a.study = b.study AND a.shuffle = b.shuffle AND a.from_place = b.to_place
+      UNION ALL SELECT study, repeat_idx, -1, trial, c FROM centred),
+    opt AS (SELECT study, shuffle, parameter, option, sum(c) AS s, count(*) AS n FROM dealt d JOIN drawn w ON w.repeat_idx = d.repeat_idx AND w.trial_idx = d.trial GROUP BY ALL),
+    bet AS (SELECT study, shuffle, parameter, sum(s * s / n) AS between_ss FROM opt GROUP BY ALL),
+    tot AS (SELECT study, shuffle, sum(c * c) AS total FROM dealt GROUP BY ALL),
+    sh AS (SELECT study, shuffle, parameter, {SHARE_SQL} AS share FROM bet JOIN tot USING (study, shuffle))
+    SELECT study, parameter, round(max(share) FILTER (shuffle = -1), 6) AS share, round(avg(share) FILTER (shuffle >= 0), 6) AS null_share FROM sh GROUP BY study, parameter""",
+)
+def param_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the objective each of the fourteen parameters explains, beside what chance would."""
+    history, draws, _ = study_history(spark, sf_dir)
+    rows = sampler.effects(history, materialise(draws, "drawn"), 7)
+    return rows.select("study", "parameter", rounded(F.col("share")).alias("share"), rounded(F.col("null_share")).alias("null_share"))
+
+
 # --- delays and biases --------------------------------------------------------------------------
 
 DAILY_SQL = """WITH d AS (

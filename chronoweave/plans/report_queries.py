@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from chronoweave.plans.metric_queries import RESULT_SQL, results, trial_history
 from chronoweave.plans.series_queries import SEGMENT_SQL, SERIES_SQL, motion_layout
 from chronoweave.plans.tables import event_series, table
 from chronoweave.sources import sinks
-from chronoweave.storage import materialise
+from chronoweave.storage import materialise, new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +105,21 @@ def param_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(weights, "parameter string, importance double")
 
 
+SLICE = (dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12))
+
+
+@register(
+    "sample_time_slice",
+    "SELECT user_id, count(*) AS n, min(event_id) AS first_event, max(ts) AS last_ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12' GROUP BY user_id",
+)
+def sample_time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of every recording, read from a samples table clustered by recording and time."""
+    path = new_path(spark, "samples")
+    sinks.write_samples(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), path, ["user_id"], "ts")
+    part = sinks.time_slice(spark.read.parquet(path), *SLICE, time="ts")
+    return part.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("ts").alias("last_ts"))
+
+
 # --- redraw -------------------------------------------------------------------------------------
 
 REDRAW_SQL = RESULT_SQL + """

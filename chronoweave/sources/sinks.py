@@ -30,9 +30,17 @@ WINDOW_COLUMNS = [
 ]
 
 
-def time_slice(rows: DataFrame, start_s: float, end_s: float, time: str = "time_s") -> DataFrame:
-    """Rows between two times, both included; on a table written in time order whole row groups are skipped."""
-    return rows.where(F.col(time).between(start_s, end_s))
+def write_samples(rows: DataFrame, path: str, key: list[str], time: str, *, rows_per_file: int = 4_000_000, group_bytes: int = 1 << 24) -> None:
+    """Samples clustered by (recording, time): each file and row group covers a short range of both."""
+    parts = max(1, -(-rows.count() // rows_per_file))
+    ordered = rows.repartitionByRange(parts, *key, time).sortWithinPartitions(*key, time)
+    ordered.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+
+
+def time_slice(rows: DataFrame, start, end, time: str = "time_s") -> DataFrame:
+    """Rows between two times, both included.  On a table of ``write_samples`` the bounds reach the scan, and row
+    groups outside them are not read."""
+    return rows.where((F.col(time) >= F.lit(start)) & (F.col(time) <= F.lit(end)))
 
 
 def score_map(scores: DataFrame, key: list[str], candidate: str, score: str) -> DataFrame:

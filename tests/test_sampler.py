@@ -90,3 +90,14 @@ def test_decoded_trials_have_their_own_types(spark):
         name = "LMS_Mu_Base" if d.parameter == "RFF_LMS_Mu_Base" else d.parameter
         assert rows[d.study, d.trial][name] == pytest.approx(SEARCH_SPACE[d.parameter][d.option])
     assert all(rows["a", t].rff_D is None and rows["b", t].alpha_u is None for t in range(5))
+
+
+def test_planted_parameters_come_first_and_the_others_look_like_chance(studies, space):
+    draws = materialise(sampler.uniform(studies, space, 0, 150, 5), "draws")
+    rows = sampler.effects(planted(draws), draws, 11).toPandas()
+    assert len(rows) == 12 * len(names_for_filter("lms"))
+    mean = rows.groupby("parameter")[["share", "null_share"]].mean()
+    order = mean["share"].sort_values(ascending=False).index.tolist()
+    assert set(order[:5]) == set(BEST)
+    rest = mean.loc[[p for p in mean.index if p not in BEST]]
+    assert (rest["share"] < 2.5 * rest["null_share"]).all() and (mean.loc[["K_max", "slew_limit_bpm", "hr_range_hz"], "share"] > 3 * mean.loc[["K_max", "slew_limit_bpm", "hr_range_hz"], "null_share"]).all()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +146,29 @@ def test_params_keep_file_order(spark, tmp_path):
         (tmp_path / name).write_text("mode,test_aae,params\n" + "".join(f"{name}{i:03d},,{{}}\n" for i in range(n)))
     rows = [r.mode for r in sinks.read_params(spark, str(tmp_path)).orderBy("row_id").collect()]
     assert rows == ["a.csv000"] + [f"b.csv{i:03d}" for i in range(400)]
+
+
+def test_time_slice_of_a_clustered_table_skips_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).select((F.col("id") % 20).alias("rec"), (F.col("id") / 2000.0).alias("time_s"), F.rand(1).alias("x"))
+    path = f"{tmp_path}/samples"
+    sinks.write_samples(rows, path, ["rec"], "time_s", rows_per_file=50_000, group_bytes=20_000)
+    part = sinks.time_slice(spark.read.parquet(path).where("rec = 7"), 40.0, 45.0)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(time_s,40.0)" in plan and "LessThanOrEq" in plan.split("PushedFilters")[1]
+    times = [r.time_s for r in part.orderBy("time_s").collect()]
+    want = [r.time_s for r in rows.where("rec = 7 AND time_s BETWEEN 40 AND 45").orderBy("time_s").collect()]
+    assert times == want and len(want) > 400
+    touched = total = 0
+    for file in pathlib.Path(path).glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            stats = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(3)}
+            total += 1
+            touched += stats["rec"].min <= 7 <= stats["rec"].max and stats["time_s"].min <= 45.0 and stats["time_s"].max >= 40.0
+    assert len(list(pathlib.Path(path).glob("*.parquet"))) == 4 and 0 < touched < total / 4
+
+
+def test_score_map(spark):
+    rows = spark.createDataFrame([("a", -1.0, 2.5), ("a", 0.1, 1.5), ("a", 0.2, None), ("b", 0.1, 4.0), ("c", 0.1, None)], "rec string, delay double, aae double")
+    got = {r.rec: r.scores for r in sinks.score_map(rows, ["rec"], "delay", "aae").collect()}
+    assert got == {"a": {-1.0: 2.5, 0.1: 1.5}, "b": {0.1: 4.0}, "c": {}}
