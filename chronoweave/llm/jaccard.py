@@ -426,7 +426,7 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
 
     lean = reps.select(F.explode("keys").alias("key"), "doc_id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = lean.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bucket_batches, "bucket long, page long, doc_id long")
+    runs = lean.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_bucket_batches, "bucket long, page long, doc_id long")
     members = materialise(runs.distinct(), "buckets")
 
     def sets_of(pairs: DataFrame) -> DataFrame:

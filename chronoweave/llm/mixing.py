@@ -3,11 +3,14 @@
 Documents are counted by (source, exact length).  Each source's target is met by whole passes over the
 source and a part of one more pass.  The part is fitted on the counts: every length gives its
 proportional share, and a bounded knapsack over the lengths left closes the gap.  The chosen number of
-documents of each length is then taken by a seeded hash, in buckets of bounded size.
+documents of each length is then taken by a seeded hash, in buckets of bounded size.  ``mix`` says what is
+taken of every document, ``repeat`` gives the rows themselves as often as they are taken: of each source and
+length the hash of the last document taken is found, so a row is decided where it lies.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; sources are ordered by code
 point with null last; a source without words has target 0; repeated rows are separate documents; rows
-with equal hash are ordered by ``doc_id``; further columns are not looked at.
+with equal hash are ordered by ``doc_id``; further columns are not looked at and may have any name; an empty
+table gives an empty mix.  In ``repeat`` rows equal in doc_id, source and text are taken alike.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.llm import text as tx
+from chronoweave.llm.sieve import free_name
 from chronoweave.storage import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -125,9 +130,8 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFram
     return rows.select("source", "source_size", F.least(target, F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken words of every document."""
-    sized = materialise(sizes(docs), "mix_sizes")
+def _plan(sized: DataFrame, weights, share: float) -> tuple[DataFrame, DataFrame]:
+    """Targets of the sources with their whole passes, and the documents to take of each source and length."""
     goals = materialise(targets(sized, weights, share), "mix_targets")
     passes = F.least(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(MAX_PASSES)).cast("long")
     budget = goals.withColumn("passes", F.coalesce(passes, F.lit(0)))
@@ -135,12 +139,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 11)
     counts = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n_docs"))
     counts = counts.join(budget.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     kind = "source string, size long, n_docs long, passes long, extra long"
-    plan = materialise(counts.groupBy("source").applyInPandas(_fit_source, kind), "mix_plan")
+    return budget, materialise(counts.groupBy("source").applyInPandas(_fit_source, kind), "mix_plan")
+
+
+def _bucket() -> F.Column:
+    return F.pmod(F.col("h"), F.coalesce(F.ceil(F.col("n_docs") / BUCKET), F.lit(1)))
 
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken words of every document."""
+    sized = materialise(sizes(docs), "mix_sizes")
+    budget, plan = _plan(sized, weights, share)
+    goals = budget.drop("passes", "extra_words")
     p = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "n_docs", "passes", "extra")
     hashed = sized.join(p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")), "left").drop("p_source", "p_size")
     hashed = hashed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    hashed = hashed.withColumn("bucket", F.pmod(F.col("h"), F.coalesce(F.ceil(F.col("n_docs") / BUCKET), F.lit(1))))
+    hashed = hashed.withColumn("bucket", _bucket())
     hashed = materialise(hashed, "mix_hashed")
     held = hashed.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
     run = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,3 +169,50 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 11)
     goals = goals.withColumnRenamed("source", "g_source")
     out = ranked.join(goals, F.col("source").eqNullSafe(F.col("g_source")))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _size_batches(drop: bool, name: str):
+    """Words of each row's text beside its columns, or in place of the text."""
+
+    def run(batches):
+        for batch in batches:
+            n = [tx.counts_between(tx.word_spans(data, offsets)[0], offsets) for _, _, data, offsets in tx.slices(batch.column("text"))]
+            size = pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64))
+            names = [c for c in batch.schema.names if c != "text" or not drop]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), size], [*names, name])
+
+    return run
+
+
+def _last_taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """For each source and length of which a part is taken: bucket and hash of the last document of the part."""
+    part = plan.where("extra > 0").select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "n_docs", "extra")
+    same = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
+    rows = materialise(sized.join(part, same).drop("p_source", "p_size").withColumn("bucket", _bucket()), "mix_part")
+    held = rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"), F.first("extra").alias("extra"))
+    run = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("place", F.col("extra") - F.coalesce(F.sum("n").over(run), F.lit(0))).where("place between 1 and n")
+    held = held.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("bucket").alias("b"), "place")
+    same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("bucket") == F.col("b"))
+    rows = rows.join(held, same).withColumn("r", F.row_number().over(Window.partitionBy("source", "size").orderBy("h")))
+    return rows.where("r = place").select("source", "size", "n_docs", "bucket", "h")
+
+
+def repeat(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 11) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text)
+    narrow = docs.select(h.alias("h"), source.alias("source"), text.alias("text"))
+    sized = materialise(narrow.mapInArrow(_size_batches(True, "size"), "h long, source string, size long"), "mix_sizes")
+    budget, plan = _plan(sized, weights, share)
+    t = free_name(docs)
+    last = materialise(_last_taken(sized, plan), "mix_last").select(*(F.col(c).alias(t + c) for c in ("source", "size", "n_docs", "bucket", "h")))
+    passes = budget.select(F.col("source").alias(f"{t}of"), F.col("passes").alias(f"{t}passes"))
+    rows = docs.mapInArrow(_size_batches(False, f"{t}words"), T.StructType([*docs.schema.fields, T.StructField(f"{t}words", T.LongType())]))
+    rows = rows.where(F.col(f"{t}words") > 0).join(passes, source.eqNullSafe(F.col(f"{t}of")))
+    rows = rows.join(last, source.eqNullSafe(F.col(f"{t}source")) & (F.col(f"{t}words") == F.col(f"{t}size")), "left")
+    bucket = F.pmod(h, F.ceil(F.col(f"{t}n_docs") / BUCKET))
+    more = (bucket < F.col(f"{t}bucket")) | ((bucket == F.col(f"{t}bucket")) & (h <= F.col(f"{t}h")))
+    copies = (F.col(f"{t}passes") + F.coalesce(more.cast("long"), F.lit(0))).cast("int")
+    times = F.when(copies > 0, F.sequence(F.lit(1), copies))
+    return rows.withColumn(f"{t}copy", F.explode(times)).select(*(F.col(f"`{c}`") for c in docs.columns))

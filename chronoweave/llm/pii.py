@@ -7,12 +7,14 @@ nearly tells the value: pointwise mutual information over the value's informatio
 removed.  Probabilities count documents of the whole corpus; a pair must be seen in ``SUPPORT`` different
 surroundings, so that copies of one text are no evidence.
 
-Only terms that pass a filter of fixed size are looked up in the second pass; the join that follows is
-exact, so the filter changes no result.
+Three passes read the texts: the first finds values and their pairs, the second counts the documents of the
+paired terms and gives one row per term and batch, and only terms that reveal something are looked up in
+the third.  The filters of fixed size before the exact joins change no result.
 
 Defined cases: a null or empty text has no spans; offsets are code points; repeated rows get equal spans,
 and two rows with one doc_id but different texts keep their own; without values that recur no term is
-added; further columns are kept by ``sanitise`` and not looked at.
+added; an empty table gives an empty result; further columns are kept by ``sanitise``, not looked at, and may
+have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chronoweave.llm import sieve
 from chronoweave.llm import text as tx
 from chronoweave.storage import materialise
 
@@ -147,12 +151,38 @@ def _find_batches(batches):
         )
 
 
+def _wanted(slots: np.ndarray) -> np.ndarray:
+    wanted = np.zeros(SLOTS, bool)
+    wanted[slots] = True
+    return wanted
+
+
+def _term_batches(slots: np.ndarray):
+    """Documents of each paired term in a batch."""
+    wanted = _wanted(slots)
+
+    def run(batches):
+        for batch in batches:
+            held = [np.zeros(0, np.int64)]
+            for _, _, data, offsets in tx.slices(batch.column("text")):
+                starts, _, terms = _terms(data, offsets)
+                hit = wanted[terms.view(np.uint64) & np.uint64(SLOTS - 1)]
+                terms, row = terms[hit], tx.rows_of(starts, offsets)[hit]
+                order = np.lexsort((row, terms))
+                terms, row = terms[order], row[order]
+                held.append(terms[np.append(True, (terms[1:] != terms[:-1]) | (row[1:] != row[:-1]))[: len(terms)]])
+            terms, n = np.unique(np.concatenate(held), return_counts=True)
+            if len(terms):
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "n"])
+
+    return run
+
+
 HITS = "doc_id long, text_key long, term long, start long, end long"
 
 
 def _hit_batches(slots: np.ndarray):
-    wanted = np.zeros(SLOTS, bool)
-    wanted[slots] = True
+    wanted = _wanted(slots)
 
     def run(batches):
         for batch in batches:
@@ -179,34 +209,38 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
 
 
-def revealing_terms(found: DataFrame, hits_of) -> tuple[DataFrame, DataFrame] | None:
-    """Terms with the largest disclosure ratio over all values, and all hits of the candidate terms."""
+def _term_slots(rows: DataFrame) -> np.ndarray:
+    return np.array([r[0] for r in rows.select(F.col("term").bitwiseAND(SLOTS - 1)).distinct().collect()], np.int64)  # at most SLOTS
+
+
+def revealing_terms(found: DataFrame, keyed: DataFrame) -> DataFrame | None:
+    """Terms with the largest disclosure ratio over all values, where it reaches ``GENERALISE``."""
     pair = found.where(F.size("pairs") > 0).select(F.explode("pairs").alias("p")).select("p.*")
     seen = pair.groupBy("entity", "term", "place").agg(F.count(F.lit(1)).alias("n"))
     seen = seen.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count(F.lit(1)).alias("places"))
     seen = materialise(seen.where(F.col("places") >= SUPPORT), "pii_pairs")
-    slots = np.array([r[0] for r in seen.select(F.col("term").bitwiseAND(SLOTS - 1)).distinct().collect()], np.int64)  # at most SLOTS
+    slots = _term_slots(seen)
     if not len(slots):
         return None
-    hits = materialise(hits_of(slots), "pii_hits")
-    by_term = hits.groupBy("term", "doc_id", "text_key").count().groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    counted = keyed.select("text").mapInArrow(_term_batches(slots), "term long, n long")
+    by_term = counted.groupBy("term").agg(F.sum("n").alias("term_docs"))
     by_value = found.where(F.size("entities") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("value_docs"))
     total = found.count()
     content = F.log2(F.lit(float(max(total, 2))) / F.col("value_docs"))
     ratio = F.lit(1.0) + F.log2(F.least(F.col("joint") / F.col("term_docs"), F.lit(1.0))) / F.greatest(content, F.lit(1e-9))
     rows = seen.join(by_term, "term").join(by_value, "entity").withColumn("ratio", ratio)
-    return rows.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= GENERALISE), hits
+    return materialise(rows.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= GENERALISE), "pii_terms")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Counts, base spans and all spans (``kind:start:end``, comma-joined) of every document."""
     keyed = _keyed(docs)
     found = materialise(keyed.mapInArrow(_find_batches, FOUND), "pii_found")
-    reveal = revealing_terms(found, lambda slots: keyed.mapInArrow(_hit_batches(slots), HITS))
+    terms = revealing_terms(found, keyed)
     rows = found.drop("entities", "pairs")
-    if reveal is None:
+    if terms is None or not len(slots := _term_slots(terms)):
         return rows.withColumn("spans", F.col("base"))
-    terms, hits = reveal
+    hits = keyed.mapInArrow(_hit_batches(slots), HITS)
     kind = F.when(F.col("ratio") >= REMOVE, "gone").otherwise("term")
     # A common term has very many hits: they are dealt over SALTS parts, each with a copy of the term's row.
     terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -234,18 +268,28 @@ def redact(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _redact_batches(batches):
-    for batch in batches:
-        names = batch.schema.names
-        text, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
-        new = pa.array([redact(t, s) if s else t for t, s in zip(text, spans)], pa.string())
-        yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in names if c != "_spans"], [c for c in names if c != "_spans"])
+def _redact_batches(mark: str):
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            text, spans = batch.column("text").to_pylist(), batch.column(mark).to_pylist()
+            new = pa.array([redact(t, s) if s else t for t, s in zip(text, spans)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in names if c != mark], [c for c in names if c != mark])
+
+    return run
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents with personal data replaced by its kind and revealing terms generalised or removed."""
-    found = find(docs).where(F.col("spans") != "").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(materialise(found, "pii_spans"), F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left").drop("_id", "_key")
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return joined.select(*docs.columns, "_spans").mapInArrow(_redact_batches, kinds)
+    """The documents with personal data replaced by its kind and revealing terms generalised or removed.
+
+    Only rows that may have spans are joined with them; the others stay where they are.
+    """
+    found = find(docs).where(F.col("spans") != "").select("doc_id", "text_key", "spans").distinct()
+    found = materialise(found, "pii_spans")
+    doc_id, key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    near, far = sieve.sift(docs, sieve.slot(doc_id, key), found.select(sieve.slot(F.col("doc_id"), F.col("text_key")).alias("m")))
+    t = sieve.free_name(docs)
+    marks = found.select(*(F.col(c).alias(t + c) for c in found.columns))
+    joined = near.join(marks, doc_id.eqNullSafe(F.col(f"{t}doc_id")) & (key == F.col(f"{t}text_key")), "left").drop(f"{t}doc_id", f"{t}text_key")
+    kinds = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields])
+    return joined.mapInArrow(_redact_batches(f"{t}spans"), kinds).unionByName(far)

@@ -2,11 +2,13 @@
 
 ``statistics`` reads the texts once.  ``fit`` grows the forest from at most ``FIT_ROWS`` labelled rows,
 taken by a seeded hash; its size is fixed.  ``threshold`` looks at the scores of all labelled rows
-through a histogram of fixed size.  ``judge`` gives every document its verdict.
+through a histogram of fixed size.  ``judge`` gives every document its verdict, ``keep`` the rows of the
+documents that it keeps: the verdict is made again in the pass that copies a row, so no row moves.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows get equal
 verdicts; without labelled rows only the base rules reject; labels of unknown documents are ignored;
-columns besides ``doc_id`` and ``text`` are not looked at.
+rows with a null doc_id get a verdict like any other; an empty table gives an empty result; columns
+besides ``doc_id`` and ``text`` are not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.llm import text as tx
+from chronoweave.llm.sieve import free_name
 from chronoweave.storage import materialise
 
 WINDOW = 8
@@ -87,12 +92,26 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [n_words, chars, symbols, n_lines - _distinct(keys, line_row, n), repeat, n_lines, distinct]
 
 
+COUNTS = [part.split()[0] for part in STATS.split(", ")][1:]
+
+
+def _counts(column: pa.Array) -> list[pa.Array]:
+    parts = [rule_counts(data, offsets) for _, _, data, offsets in tx.slices(column)]
+    return [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)] or [pa.array([], pa.int64())] * len(COUNTS)
+
+
 def _count_batches(batches):
-    names = [part.split()[0] for part in STATS.split(", ")]
     for batch in batches:
-        parts = [rule_counts(data, offsets) for _, _, data, offsets in tx.slices(batch.column("text"))]
-        cols = [np.concatenate(c).astype(np.int64) for c in zip(*parts)] or [np.zeros(0, np.int64)] * 7
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols)], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_counts(batch.column("text"))], ["doc_id", *COUNTS])
+
+
+def _beside_batches(text: str, beside: str):
+    def run(batches):
+        for batch in batches:
+            found = pa.StructArray.from_arrays(_counts(batch.column(text)), COUNTS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, beside])
+
+    return run
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -100,20 +119,22 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count_batches, STATS)
 
 
-def base_failed() -> F.Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+def base_failed(of=F.col) -> F.Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > REPEAT_PERCENT * of("n_words"))
+
+
+def _features(of=F.col) -> dict[str, F.Column]:
+    per = lambda a, b: F.coalesce(of(a) / F.nullif(of(b), F.lit(0)), F.lit(0.0))
+    return {
+        "word_length": per("word_chars", "n_words"),
+        "symbol_rate": per("n_symbols", "n_words"),
+        "log_symbols": F.log1p(of("n_symbols")),
+        "variety": F.log1p(of("n_distinct")) / F.log(F.lit(2.0) + of("n_words")),
+    }
 
 
 def features(stats: DataFrame) -> DataFrame:
-    per = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    return stats.withColumns(
-        {
-            "word_length": per("word_chars", "n_words"),
-            "symbol_rate": per("n_symbols", "n_words"),
-            "log_symbols": F.log1p("n_symbols"),
-            "variety": F.log1p("n_distinct") / F.log(F.lit(2.0) + F.col("n_words")),
-        }
-    )
+    return stats.withColumns(_features())
 
 
 @dataclass
@@ -219,3 +240,26 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     limit = threshold(stats, labels, forest)
     rows = scored(stats, forest).drop(*FEATURES).withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
+
+
+def _score_column(forest: Forest):
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(forest.score(np.stack([a, b, c, d], 1)))
+
+    return score
+
+
+def keep(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps."""
+    stats = materialise(statistics(docs), "rule_stats")
+    forest = fit(stats, labels, seed)
+    beside = free_name(docs)
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    rows = docs.mapInArrow(_beside_batches("text", beside), T.StructType([*docs.schema.fields, T.StructField(beside, kind)]))
+    of = lambda name: F.col(f"`{beside}`.{name}")
+    rows = rows.where(~F.coalesce(base_failed(of), F.lit(True)))
+    if forest is not None:
+        score = _score_column(forest)(*(_features(of)[name] for name in FEATURES))
+        rows = rows.where(score < threshold(stats, labels, forest))
+    return rows.drop(beside)
