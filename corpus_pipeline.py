@@ -1,8 +1,13 @@
 """A corpus from documents to packed sequences: quality, near duplicates, personal data, mix, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next stage's documents.  A row without doc_id cannot be referred to and leaves at the first stage;
-of rows with one doc_id one stays at the second.
+as the next stage's documents.  Verdicts are made, or looked up, where a row lies: only rows that may be
+removed or changed are joined with a table, the others are never shuffled.
+
+Defined cases: a row without doc_id is judged by its text, links with nothing and stays unless its text is
+rejected; rows equal in doc_id and text become one at the second stage, of rows with one doc_id and several texts
+all texts stay or go together; null and empty texts are rejected by the first stage; an empty table gives an empty
+result; all but the last stage return the columns of documents, whatever further ones there are.
 """
 
 from __future__ import annotations
@@ -11,24 +16,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import jaccard, mixing, packing, pii, quality
+from chronoweave.llm import jaccard, mixing, packing, pii, quality, sieve
 from chronoweave.plans.tables import table
 from chronoweave.storage import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
-    kept = quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return docs.join(materialise(kept.distinct(), "kept"), "doc_id", "left_semi").select(*docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group linked by 80 % of common 5-word shingles."""
-    groups = jaccard.join(docs, size=5, share=(4, 5))
-    first = materialise(groups.where("doc_id = component_id").select("doc_id").distinct(), "firsts")
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    groups = materialise(jaccard.join(docs, size=5, share=(4, 5)), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    doc_id = F.col("doc_id").cast("long")
+    near, far = sieve.sift(docs, sieve.slot(doc_id), gone.unionByName(again).select(sieve.slot(F.col("doc_id")).alias("m")))
+    near = near.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not again.isEmpty():
+        once = near.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+        near = near.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return near.unionByName(far)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: weights 3, 1, 2 repeating, 150 % of all words."""
-    plan = mixing.mix(docs, mixing.WEIGHTS, mixing.SHARE).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"))
-    taken = docs.join(materialise(plan.where("_copies > 0"), "copies"), F.col("doc_id") == F.col("_id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
