@@ -289,7 +289,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     doc_id, key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     near, far = sieve.sift(docs, sieve.slot(doc_id, key), found.select(sieve.slot(F.col("doc_id"), F.col("text_key")).alias("m")))
     t = sieve.free_name(docs)
-    marks = found.select(*(F.col(c).alias(t + c) for c in found.columns))
+    # One plan at every size; and the join's shuffle keeps the two Python steps in tasks of their own.
+    marks = found.hint("merge").select(*(F.col(c).alias(t + c) for c in found.columns))
     joined = near.join(marks, doc_id.eqNullSafe(F.col(f"{t}doc_id")) & (key == F.col(f"{t}text_key")), "left").drop(f"{t}doc_id", f"{t}text_key")
     kinds = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields])
     return joined.mapInArrow(_redact_batches(f"{t}spans"), kinds).unionByName(far)

@@ -16,14 +16,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chronoweave.llm import text as tx
-from chronoweave.llm.sieve import free_name
 from chronoweave.storage import materialise
 
 WINDOW = 8
@@ -34,7 +31,6 @@ TREES, TREE_ROWS, DEPTH = 100, 256, 8
 FALSE_REJECTS = 0.002  # share of labelled good rows that the threshold may reject
 GOOD_WEIGHT = 20.0  # a share of good rows lost counts so many times a share of bad rows found
 BINS = 2000
-FEATURES = ["word_length", "symbol_rate", "log_symbols", "variety"]
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long"
 
 SYMBOL = np.zeros(256, bool)
@@ -95,23 +91,14 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 COUNTS = [part.split()[0] for part in STATS.split(", ")][1:]
 
 
-def _counts(column: pa.Array) -> list[pa.Array]:
+def _counts(column: pa.Array) -> list[np.ndarray]:
     parts = [rule_counts(data, offsets) for _, _, data, offsets in tx.slices(column)]
-    return [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)] or [pa.array([], pa.int64())] * len(COUNTS)
+    return [np.concatenate(c).astype(np.int64) for c in zip(*parts)] or [np.zeros(0, np.int64)] * len(COUNTS)
 
 
 def _count_batches(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_counts(batch.column("text"))], ["doc_id", *COUNTS])
-
-
-def _beside_batches(text: str, beside: str):
-    def run(batches):
-        for batch in batches:
-            found = pa.StructArray.from_arrays(_counts(batch.column(text)), COUNTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, beside])
-
-    return run
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, _counts(batch.column("text")))], ["doc_id", *COUNTS])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -119,22 +106,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count_batches, STATS)
 
 
-def base_failed(of=F.col) -> F.Column:
-    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > REPEAT_PERCENT * of("n_words"))
+def base_failed() -> F.Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def _features(of=F.col) -> dict[str, F.Column]:
-    per = lambda a, b: F.coalesce(of(a) / F.nullif(of(b), F.lit(0)), F.lit(0.0))
-    return {
-        "word_length": per("word_chars", "n_words"),
-        "symbol_rate": per("n_symbols", "n_words"),
-        "log_symbols": F.log1p(of("n_symbols")),
-        "variety": F.log1p(of("n_distinct")) / F.log(F.lit(2.0) + of("n_words")),
-    }
-
-
-def features(stats: DataFrame) -> DataFrame:
-    return stats.withColumns(_features())
+def features(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """Word length, share and logarithm of symbols, and variety of words, a row for each text."""
+    n = {name: np.asarray(values, float) for name, values in counts.items()}
+    per = lambda a, b: np.divide(n[a], n[b], out=np.zeros(len(n[a])), where=n[b] > 0)
+    variety = np.log1p(n["n_distinct"]) / np.log(2.0 + n["n_words"])
+    return np.stack([per("word_chars", "n_words"), per("n_symbols", "n_words"), np.log1p(n["n_symbols"]), variety], 1)
 
 
 @dataclass
@@ -193,25 +174,24 @@ def grow(x: np.ndarray, seed: int) -> Forest:
 def _score_batches(forest: Forest):
     def run(batches):
         for batch in batches:
-            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], 1)
+            x = features({c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x))], [*batch.schema.names, "score"])
 
     return run
 
 
 def scored(stats: DataFrame, forest: Forest) -> DataFrame:
-    rows = features(stats)
-    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(_score_batches(forest), f"{kinds}, score double")
+    kinds = ", ".join(f"{name} {kind}" for name, kind in stats.dtypes)
+    return stats.mapInArrow(_score_batches(forest), f"{kinds}, score double")
 
 
 def fit(stats: DataFrame, labels: DataFrame, seed: int = 7) -> Forest | None:
     """Forest grown from at most ``FIT_ROWS`` labelled documents that pass the base rules."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = features(stats.where(~base_failed()).join(known, "doc_id"))
+    rows = stats.where(~base_failed()).join(known, "doc_id")
     order = F.xxhash64(F.lit(seed), "doc_id")
-    sample = rows.select(*FEATURES, order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(FIT_ROWS).toPandas()
-    return grow(sample[FEATURES].to_numpy(float), seed) if len(sample) > 1 else None
+    sample = rows.select(*COUNTS, order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(FIT_ROWS).toPandas()
+    return grow(features({c: sample[c].to_numpy() for c in COUNTS}), seed) if len(sample) > 1 else None
 
 
 def threshold(stats: DataFrame, labels: DataFrame, forest: Forest) -> float:
@@ -238,28 +218,25 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     if forest is None:
         return stats.withColumn("base_failed", failed).withColumn("score", F.lit(0.0)).withColumn("kept", ~failed)
     limit = threshold(stats, labels, forest)
-    rows = scored(stats, forest).drop(*FEATURES).withColumn("base_failed", failed)
+    rows = scored(stats, forest).withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
 
 
-def _score_column(forest: Forest):
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(np.stack([a, b, c, d], 1)))
+def _keep_batches(forest: Forest | None, limit: float):
+    def run(batches):
+        for batch in batches:
+            n = dict(zip(COUNTS, _counts(batch.column("text"))))
+            kept = (n["n_words"] >= MIN_WORDS) & (100 * n["n_repeat_words"] <= REPEAT_PERCENT * n["n_words"])
+            if forest is not None:
+                kept &= forest.score(features(n)) < limit
+            yield batch.filter(pa.array(kept))
 
-    return score
+    return run
 
 
 def keep(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``judge`` keeps."""
     stats = materialise(statistics(docs), "rule_stats")
     forest = fit(stats, labels, seed)
-    beside = free_name(docs)
-    kind = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
-    rows = docs.mapInArrow(_beside_batches("text", beside), T.StructType([*docs.schema.fields, T.StructField(beside, kind)]))
-    of = lambda name: F.col(f"`{beside}`.{name}")
-    rows = rows.where(~F.coalesce(base_failed(of), F.lit(True)))
-    if forest is not None:
-        score = _score_column(forest)(*(_features(of)[name] for name in FEATURES))
-        rows = rows.where(score < threshold(stats, labels, forest))
-    return rows.drop(beside)
+    limit = threshold(stats, labels, forest) if forest is not None else 1.0
+    return docs.mapInArrow(_keep_batches(forest, limit), docs.schema)

@@ -8,7 +8,7 @@ caller.  The bits only save work: with far more keys than slots all rows are joi
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +32,10 @@ def sift(docs: DataFrame, at: Column, slots: DataFrame) -> tuple[DataFrame, Data
     """The rows of ``docs`` whose slot ``at`` is among ``slots`` (column m), and all others."""
     bits = slot_bits(slots)
 
-    @F.pandas_udf("boolean")
-    def held(m: pd.Series) -> pd.Series:
-        place = m.to_numpy()
-        return pd.Series(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0)
+    @F.arrow_udf("boolean")
+    def held(m: pa.Array) -> pa.Array:
+        place = np.asarray(m)
+        return pa.array(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0)
 
     return docs.where(held(at)), docs.where(~held(at))
 

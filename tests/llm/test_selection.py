@@ -182,3 +182,33 @@ def test_column_views_of_sliced_arrays():
 
     data, offsets = tx.buffers(whole.slice(1, 2))
     assert data.tobytes() == b"b c" and offsets.tolist() == [0, 0, 3]
+
+
+def test_stages_keep_odd_rows_and_clashing_names(spark):
+    rows = [(i, prose(i, 40) + (f" me{i}@corp.example" if i % 3 == 0 else ""), f"s{i % 3}") for i in range(60)]
+    rows += [(None, prose(99, 40), "s1"), (None, prose(98, 40), None), (5, prose(97, 40), "s2"), (70, None, "s0"), (71, "", None), (72, prose(96, 30000), "s0")]
+    docs = frame(spark, rows)
+    for name, new in {"h": "_id", "bucket": "__words", "rank": "_spans"}.items():
+        docs = docs.withColumnRenamed(name, new)
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns
+    verdicts = quality.judge(docs, labels).where("kept").select("doc_id")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in verdicts.collect())
+    assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 5").count() == 2
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert clean.where("text like '%@corp%'").count() == 0 and clean.where("doc_id is null").count() == 2
+    mixed = mixing.repeat(docs)
+    assert mixed.columns == docs.columns
+    times = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert max(times.values()) <= 2 and not {(70, None), (71, "")} & set(times)
+    taken, whole = Counter(), Counter()
+    for i, text, source in rows:
+        whole[source] += len(words(text))
+        taken[source] += times[i, text] * len(words(text))
+    same = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source: r.taken for r in same} == taken and all(r.taken <= r.target <= 2 * whole[r.source] for r in same)
+    assert sum(times.values()) == mixing.repeat(docs).count()
+    none = docs.limit(0)
+    assert quality.keep(none, labels).count() == pii.sanitise(none).count() == mixing.repeat(none).count() == 0
