@@ -4,7 +4,7 @@ A text is cut where both public vocabularies (byte-level and word-end BPE) start
 follows: before a white space after a visible character, between a single line feed after
 a visible ASCII character and a visible character, and before ``.,;:!?`` after an ASCII letter.  The pieces of a run of texts are dictionary-encoded, only pieces not met before go through
 the ``tokenizers`` library, and the ids are gathered for all pieces at once.  The ids equal those of the
-whole text.
+whole text; strings of the vocabulary's special tokens get the special ids, as the library does by default.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = self.tokenizer.normalizer is not None and self.tokenizer.encode("The a", add_special_tokens=False).ids == self.tokenizer.encode(
             " the  A", add_special_tokens=False
         ).ids
@@ -72,8 +72,11 @@ class Encoder:
         self.ids, self.starts, self.n, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
 
     def _key(self, piece: str) -> str:
-        """Pieces with one key have one encoding: case and outer blanks of ASCII text may not matter."""
-        return piece.strip(" ").lower() if self.plain and piece.isascii() else piece
+        """Pieces with one key have one encoding: case and outer blanks of ASCII text may not matter, but for special tokens."""
+        if not self.plain or not piece.isascii():
+            return piece
+        key = piece.strip(" ").lower()
+        return piece if any(token in key for token in self.special) else key
 
     def _learn(self, pieces: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]

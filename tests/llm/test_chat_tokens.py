@@ -19,7 +19,6 @@ BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe
 
 def whole(path):
     tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
     return lambda text: tool.encode(text, add_special_tokens=False).ids
 
 
@@ -64,6 +63,15 @@ def test_blank_lines_have_the_ids_of_the_whole(path):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=100, deadline=None)
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|END", "|>", "a", "B", " ", "  ", "\n", ".", "'s", "é"]), max_size=9))
+def test_special_strings_have_the_ids_of_the_library(path, parts):
+    text = "".join(parts)
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert tokens.encoder(path).encode(data, np.array([0, len(data)]))[0].tolist() == whole(path)(text)
+
+
 @settings(max_examples=30, deadline=None)
 @given(ids=st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=300), times=st.integers(1, 40))
 def test_coder_round_trip(ids, times):

@@ -33,7 +33,6 @@ def test_stages(spark, tmp_path):
     taken = sum(len(words(r.text)) for r in docs.collect())
     assert total < taken <= 1.5 * total
     tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tool.encode_special_tokens = True
     want = sorted(zlib.crc32(np.array(tool.encode(r.text, add_special_tokens=False).ids + [1], "<u4")) for r in docs.collect())
     pieces = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).toPandas()
     assert pieces["length"].sum() == sum(len(tool.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect())
