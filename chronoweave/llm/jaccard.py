@@ -10,7 +10,8 @@ At the top the tree is split by rare shingles: documents that can link share one
 hash).  A pure box tree over all documents would not separate long documents: their counts are too alike.
 Documents with one shingle set are one point.  A rare shingle of very many documents is cut into pages;
 rounds of search, verification and components follow, in which only points of different components meet,
-until no unverified pair is left, so no link is lost and a dense group never emits all its pairs.  The sets
+until no unverified pair is left, so no link is lost and a dense group never emits all its pairs.  A pair
+belongs to the smallest bucket that its documents share, and no other bucket emits it.  The sets
 themselves never move as a whole: a round makes those of its new pairs again from the texts, chosen by
 a filter of ``MEMBERS`` bits that only saves work, as the pairs are joined with them exactly.
 
@@ -42,6 +43,7 @@ PAGE = 1024  # points of a tree
 LEAF, FAN = 16, 8
 SPARE = 4  # a large page may emit SPARE ** (2 * round) pairs per point besides a spanning forest
 FULL = 65535  # a count that no longer fits
+OWNERS = 8  # smallest buckets that a document's row names
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -229,9 +231,36 @@ def _forest(q: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, share: tuple[int, int], limit: int) -> tuple[list, bool]:
-    """Pairs of a large page in different components: a spanning forest, and further ones up to ``limit``;
-    and whether pairs were left out."""
+def named(column: pa.ListArray) -> np.ndarray:
+    """The ``OWNERS`` smallest buckets of each row in order, and how many there are in the last column."""
+    lengths = np.diff(np.asarray(column.offsets))
+    out = np.zeros((len(column), OWNERS + 1), np.int64)
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(np.arange(len(column)), lengths), place] = np.asarray(column.flatten())
+    out[:, OWNERS] = lengths
+    return out
+
+
+def owned(left: np.ndarray, right: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of ``named`` belong to the bucket they were met in.
+
+    If the two lists share a bucket, the smallest one is the smallest shared by the documents.  If they share none,
+    which takes a document of more than ``OWNERS`` buckets, every bucket of the pair may emit it.
+    """
+    out = np.zeros(len(left), bool)
+    for lo in range(0, len(left), 4096):
+        a, b = left[lo : lo + 4096], right[lo : lo + 4096]
+        inside = np.arange(OWNERS) < a[:, OWNERS:], np.arange(OWNERS) < b[:, OWNERS:]
+        same = (a[:, :OWNERS, None] == b[:, None, :OWNERS]) & inside[0][:, :, None] & inside[1][:, None, :]
+        common = same.any(2)
+        least = a[np.arange(len(a)), common.argmax(1)]
+        out[lo : lo + 4096] = ~common.any(1) | (least == bucket[lo : lo + 4096])
+    return out
+
+
+def candidates(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, share: tuple[int, int], limit: int, owners: np.ndarray, bucket: np.ndarray) -> tuple[list, bool]:
+    """Pairs of a large page in different components that belong to its bucket: a spanning forest, and
+    further ones up to ``limit``; and whether pairs were left out."""
     tree, label = Tree(points, sizes), comps.copy()
     forest, others, n = [], [], 0
     for lo in range(0, len(points), 64):
@@ -239,6 +268,8 @@ def candidates(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, share:
         q = q + lo
         ok = (c > q) & (comps[q] != comps[c])
         q, c = q[ok], c[ok]
+        ok = owned(owners[q], owners[c], bucket[q])
+        q, c = q[ok], c[ok]
         if n < limit:
             others.append(np.stack([q, c], 1)[: limit - n])
         n += len(q)
@@ -252,8 +283,8 @@ def candidates(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, share:
     return list(chosen), n > len(chosen)
 
 
-def _small_pairs(points, sizes, comps, edges, share):
-    """Passing pairs (by smaller entry) in different components of all small groups of a chunk."""
+def _small_pairs(points, sizes, comps, edges, share, owners, bucket):
+    """Passing pairs (by smaller entry) in different components that belong to one of the small groups of a chunk."""
     lengths = np.diff(edges)
     left, right = [], []
     for m in np.unique(lengths[lengths > 1]):
@@ -268,6 +299,8 @@ def _small_pairs(points, sizes, comps, edges, share):
     # The smaller size bounds the overlap, too.
     ok &= np.minimum(sizes[q], sizes[c]) * (share[0] + share[1]) >= share[0] * (sizes[q] + sizes[c])
     q, c = q[ok], c[ok]
+    ok = owned(owners[q], owners[c], bucket[q])
+    q, c = q[ok], c[ok]
     keep = []
     for lo in range(0, len(q), 4096):
         a, b = q[lo : lo + 4096], c[lo : lo + 4096]
@@ -286,12 +319,12 @@ PAIRS = "a long, b long, bucket long"
 def _page_batches(share: tuple[int, int], round_: int):
     """Candidate pairs of sorted pages; a row with a bucket alone says that pairs of it are left for later."""
 
-    def settle(bucket, group, docs, sizes, comps, points):
+    def settle(bucket, group, docs, sizes, comps, owners, points):
         points = np.frombuffer(b"".join(points), "<u2").reshape(len(docs), GROUPS)
         points = np.where(points == FULL, 1 << 30, points.astype(np.int32)) if (points == FULL).any() else points.astype(np.int32)
         same = (group[1:] == group[:-1]).all(1)
         keep = np.append(True, ~(same & (docs[1:] == docs[:-1])))
-        bucket, group, docs, sizes, comps, points = (x[keep] for x in (bucket, group, docs, sizes, comps, points))
+        bucket, group, docs, sizes, comps, owners, points = (x[keep] for x in (bucket, group, docs, sizes, comps, owners, points))
         edges = np.append(np.append(0, np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1), len(docs))
         lengths = np.diff(edges)
         found, again = [], []
@@ -299,7 +332,7 @@ def _page_batches(share: tuple[int, int], round_: int):
         if len(small):
             at = np.concatenate([np.arange(edges[g], edges[g + 1]) for g in small])
             bounds = np.append(0, np.cumsum(lengths[small]))
-            q, c = _small_pairs(points[at], sizes[at], comps[at], bounds, share)
+            q, c = _small_pairs(points[at], sizes[at], comps[at], bounds, share, owners[at], bucket[at])
             chosen = _forest(q, c) if round_ == 0 else list(zip(q.tolist(), c.tolist()))
             found += [(docs[at[a]], docs[at[b]]) for a, b in chosen]
             if round_ == 0 and len(chosen) < len(q):
@@ -308,7 +341,8 @@ def _page_batches(share: tuple[int, int], round_: int):
                 again += bucket[at[bounds[np.flatnonzero(held > 0) - 1]]].tolist()
         for g in np.flatnonzero(lengths > SMALL):
             part = slice(edges[g], edges[g + 1])
-            chosen, more = candidates(points[part], sizes[part], comps[part], share, SPARE ** (2 * round_) * int(lengths[g]) if round_ else 0)
+            limit = SPARE ** (2 * round_) * int(lengths[g]) if round_ else 0
+            chosen, more = candidates(points[part], sizes[part], comps[part], share, limit, owners[part], bucket[part])
             found += [(docs[edges[g] + a], docs[edges[g] + b]) for a, b in chosen]
             if more:
                 again.append(int(bucket[edges[g]]))
@@ -321,7 +355,7 @@ def _page_batches(share: tuple[int, int], round_: int):
         held = None
         for batch in batches:
             cols = [np.asarray(batch.column(c)) for c in ("bucket", "page", "side", "doc_id", "n_shingles", "component")]
-            cols = [cols[0], np.stack(cols[:3], 1), *cols[3:], batch.column("point").to_pylist()]
+            cols = [cols[0], np.stack(cols[:3], 1), *cols[3:], named(batch.column("owners")), batch.column("point").to_pylist()]
             held = cols if held is None else [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, cols)]
             if len(held[0]) >= CHUNK:
                 cut = np.flatnonzero((held[1] != held[1][-1]).any(1))
@@ -402,7 +436,7 @@ def _search(members: DataFrame, points: DataFrame, labels: DataFrame | None, aga
         minor = rows.where("component <> major").withColumn("side", F.pmod(F.xxhash64("doc_id"), minors).cast("int"))
         minor = minor.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
         rows = everyone.unionByName(minor).join(points, "doc_id")
-    rows = rows.select("bucket", "page", F.col("side").cast("long").alias("side"), "doc_id", "n_shingles", "component", "point")
+    rows = rows.select("bucket", "page", F.col("side").cast("long").alias("side"), "doc_id", "n_shingles", "component", "owners", "point")
     pages = rows.repartition(n, "bucket", "page", "side").sortWithinPartitions("bucket", "page", "side", "doc_id")
     return pages.mapInArrow(_page_batches(share, round_), PAIRS)
 
@@ -450,6 +484,8 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
 def _link_rounds(members: DataFrame, points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: tuple[int, int]) -> DataFrame | None:
     """Search, verify and connect until every candidate pair in different components is verified."""
     wide = materialise(members.where("page > 0").select("bucket").distinct(), "wide_buckets")
+    first = F.slice(F.array_sort(F.collect_set("bucket")), 1, OWNERS).alias("owners")
+    points = points.join(materialise(members.groupBy("doc_id").agg(first), "owners"), "doc_id")
     tested = labels = again = None
     round_ = 0
     while True:

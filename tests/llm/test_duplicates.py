@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronoweave.llm import graph, jaccard, paragraphs, substrings
@@ -56,6 +57,39 @@ def test_join_of_a_group_over_several_pages(spark):
     assert got == components(sets, linked(sets, 4, 5))
 
 
+def test_a_pair_belongs_to_one_bucket():
+    """Lists of buckets of any length: the smallest common one owns the pair; without one in sight, any may emit it."""
+    rng = np.random.default_rng(5)
+    lists = [sorted(rng.choice(60, rng.integers(1, 30), replace=False).tolist()) for _ in range(80)]
+    rows = jaccard.named(pa.array([x[: jaccard.OWNERS] for x in lists], pa.list_(pa.int64())))
+    for i, x in enumerate(lists):
+        for j, y in enumerate(lists):
+            shared = sorted(set(x) & set(y))
+            emits = [b for b in shared if jaccard.owned(rows[[i]], rows[[j]], np.array([b]))[0]]
+            seen = set(x[: jaccard.OWNERS]) & set(y[: jaccard.OWNERS])
+            assert emits == (shared[:1] if seen else shared)
+
+
+def test_pairs_of_a_round_are_few(spark, monkeypatch):
+    """Near copies meet in very many buckets, but only one of them emits a pair."""
+    emitted = []
+    plain = jaccard.materialise
+
+    def counted(rows, name):
+        out = plain(rows, name)
+        if name == "pairs":
+            emitted.append(out.where("bucket is null").select("a", "b").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    texts = [(i, edited(prose(i // 20, 120), i, 3 + i % 4)) for i in range(200)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(frame(spark, texts)).collect()}
+    sets = {i: grams(t, 5) for i, t in texts}
+    assert got == components(sets, linked(sets, 4, 5))
+    for pairs in emitted:
+        assert len(pairs) <= 1.5 * len(set(pairs))
+
+
 def test_tree_finds_every_pair_within_the_bound():
     rng = np.random.default_rng(3)
     points = rng.poisson(2.0, (300, 16)).astype(np.int64)
