@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+BLOCK = 1 << 14
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -20,10 +21,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME = (1 << 31) - 1
+_LOW, _HALF = np.uint64(_PRIME), np.uint64(31)
+_RANDOM = np.random.default_rng(20240229)
+_CODES = _RANDOM.integers(1, _PRIME, (2, 256)).astype(np.uint32)
+_BASES = [int(b) for b in _RANDOM.integers(1 << 20, _PRIME, 2)]
+_powers: dict[int, np.ndarray] = {}
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,29 +99,52 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same residues modulo the prime, nearer to it: below 2**34 for any, below 2**32 for less than 2**62."""
+    return (x & _LOW) + (x >> _HALF)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums from which the hash of any span follows in one step."""
-    up, _ = _power(len(data) + 1)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=running[1:])
-    return running
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers of a base from 0 on, at least ``n`` of them."""
+    held = _powers.get(base, np.ones(1, np.uint32))
+    while len(held) < n:
+        step = np.uint64(pow(base, len(held), _PRIME))
+        more = _fold(_fold(held.astype(np.uint64) * step))
+        held = np.concatenate([held, more.astype(np.uint32)])
+    _powers[base] = held
+    return held[:n]
 
 
-def span_hash(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray) -> list[np.ndarray]:
+    """Running sums from which the hash of any span follows in one step.
+
+    They are values of the text as a polynomial, modulo a prime and at two places: unlike sums modulo a power
+    of two, no two texts have one value whatever the place.
+    """
+    out = []
+    for codes, base in zip(_CODES, _BASES):
+        up, running = _power(base, len(data)), np.zeros(len(data) + 1, np.uint32)
+        for lo in range(0, len(data), BLOCK):  # blocks that stay in the processor's cache
+            hi = min(lo + BLOCK, len(data))
+            x = np.multiply(codes[data[lo:hi]], up[lo:hi], dtype=np.uint64)
+            x = _fold(x)
+            x[0] += running[lo]
+            np.cumsum(x, out=x)
+            running[lo + 1 : hi + 1] = _fold(_fold(x))
+        out.append(running)
+    return out
+
+
+def span_hash(running: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of bytes."""
-    _, down = _power(len(running))
-    raw = (running[ends] - running[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    both = np.zeros(len(starts), np.uint64)
+    for sums, base in zip(running, _BASES):
+        down = _power(pow(base, -1, _PRIME), len(sums))
+        value = _fold(sums[ends].astype(np.uint64) + np.uint64(4 * _PRIME) - sums[starts])
+        value = _fold(_fold(value * down[starts]))
+        value[value >= _LOW] -= _LOW
+        both = (both << _HALF) + value
+    return mix(both + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def gram_hash(hashes: np.ndarray, size: int) -> np.ndarray:

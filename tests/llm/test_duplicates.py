@@ -195,6 +195,28 @@ def test_words_and_lines_of_texts():
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == [line for t in texts for line in t.split("\n")]
 
 
+def test_hashes_of_spans():
+    """Equal spans have one hash wherever they stand; the Thue-Morse word and its complement differ."""
+    rng = np.random.default_rng(8)
+    data = rng.choice(np.frombuffer(b"ab \xff\x00", np.uint8), 5000)
+    starts = rng.integers(0, 4900, 40_000)
+    ends = starts + rng.integers(0, 9, 40_000)
+    seen = {}
+    for a, b, h in zip(starts, ends, tx.span_hash(tx.prefix_hash(data), starts, ends)):
+        assert seen.setdefault(data[a:b].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen) > 5000
+    word = np.array([97], np.uint8)
+    while len(word) < 4096:
+        word = np.append(word, 195 - word)
+    both = np.concatenate([word, 195 - word, word])
+    at = np.array([0, 4096, 8192])
+    one, other, again = tx.span_hash(tx.prefix_hash(both), at, at + 4096)
+    assert one == again != other
+    long = rng.integers(0, 256, 3 << 20).astype(np.uint8)
+    tail = tx.span_hash(tx.prefix_hash(long), np.array([2 << 20]), np.array([3 << 20]))
+    assert tail == tx.span_hash(tx.prefix_hash(long[2 << 20 :]), np.array([0]), np.array([1 << 20]))
+
+
 def test_paragraph_links_over_several_rounds(spark):
     """A page of near copies larger than what the first round settles: each round asks for sets of its own pairs."""
     base = prose(88, 80).replace("\n", "")
