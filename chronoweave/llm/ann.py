@@ -8,13 +8,16 @@ queries meet as blocks: each block of queries is dealt to every group of row blo
 
 The query set is stated by the caller.  Every row is coded; nothing is sampled.
 
-Defined cases: vectors that are null, zero, of another length than the longest, or hold null or non-finite
-numbers take no part; ties go to the smaller vec_id; a query never meets rows of its own vec_id; repeated
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part; a query meets
+the rows of its own length, as there is no cosine between others; components of any size count, as vectors are
+scaled by powers of two, which changes no score; ties go to the smaller vec_id; a query never meets rows of its own vec_id; repeated
 rows stay separate candidates; fewer than k candidates give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +32,7 @@ FIRST = 32  # estimates scored exactly to get the floor
 ROWS, QUERIES = 4096, 512  # rows and queries of a block
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int, seed: int) -> np.ndarray:
     """Random orthogonal matrix; the dimension is filled up to whole bytes."""
     wide = -(-dim // 8) * 8
@@ -46,6 +50,11 @@ def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], x[good]
 
 
+def near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their largest component is near 1 and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     scaled = x / np.abs(x).max(1, keepdims=True)
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
@@ -93,37 +102,40 @@ def search_block(ids, x, bits, scalars, query_ids, queries, turn, k):
     return [np.concatenate(c) for c in zip(*out)]
 
 
-CODED = "block long, ids binary, vectors binary, bits binary, scalars binary"
+CODED = "dim int, block long, ids binary, vectors binary, bits binary, scalars binary"
 
 
-def _code_batches(dim: int, turn: np.ndarray, size: int):
+def _code_batches(seed: int, size: int):
     def run(batches):
         block = TaskContext.get().partitionId() << 20
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
                 part = batch.slice(lo, size)
-                rows, x = vectors(part.column("embedding"), dim)
-                if not len(rows):
-                    continue
-                bits, scalars = encode(x, turn)
-                ids = np.asarray(part.column("vec_id").take(pa.array(rows)), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, bits, scalars))], ["block", "ids", "vectors", "bits", "scalars"]
-                )
-                block += 1
+                lengths = np.asarray(pc.fill_null(pc.list_value_length(part.column("embedding")), 0))
+                for dim in np.unique(lengths[lengths > 0]).tolist():
+                    rows, x = vectors(part.column("embedding"), dim)
+                    if not len(rows):
+                        continue
+                    x = near_one(x)
+                    ids = np.asarray(part.column("vec_id").take(pa.array(rows)), np.int64)
+                    blobs = [a.tobytes() for a in (ids, x, *encode(x, rotation(dim, seed)))]
+                    cols = [pa.array([dim], pa.int32()), pa.array([block]), *(pa.array([b], pa.binary()) for b in blobs)]
+                    yield pa.RecordBatch.from_arrays(cols, ["dim", "block", "ids", "vectors", "bits", "scalars"])
+                    block += 1
 
     return run
 
 
-def _search_batches(dim: int, turn: np.ndarray, k: int):
+def _search_batches(seed: int, k: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names if c not in ("block", "group")}
+                raw = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names if c not in ("block", "group", "dim")}
+                dim = batch.column("dim")[i].as_py()
                 ids, query_ids = np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["query_ids"], np.int64)
                 x, queries = (np.frombuffer(raw[c]).reshape(-1, dim) for c in ("vectors", "queries"))
                 bits = np.frombuffer(raw["bits"], np.uint8).reshape(len(ids), -1)
-                own, found, score = search_block(ids, x, bits, np.frombuffer(raw["scalars"]), query_ids, queries, turn, k)
+                own, found, score = search_block(ids, x, bits, np.frombuffer(raw["scalars"]), query_ids, queries, rotation(dim, seed), k)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
@@ -133,16 +145,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, seed: int = 5) -> Data
     """The k nearest rows of every query row: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     rows = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
     kind = "query_id long, vec_id long, score double"
-    if dim < 1:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    turn = rotation(dim, seed)
-    coded = materialise(rows.mapInArrow(_code_batches(dim, turn, ROWS), CODED), "ann_rows")
-    asked = rows.where(is_query).mapInArrow(_code_batches(dim, turn, QUERIES), CODED)
+    coded = materialise(rows.mapInArrow(_code_batches(seed, ROWS), CODED), "ann_rows")
+    asked = rows.where(is_query).mapInArrow(_code_batches(seed, QUERIES), CODED)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = coded.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    met = left.join(right, "group").mapInArrow(_search_batches(dim, turn, k), kind)
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    met = left.join(right, ["group", "dim"]).mapInArrow(_search_batches(seed, k), kind)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -136,6 +136,27 @@ def test_nearest_vectors(spark):
     assert ann.search(empty, F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_vectors_of_several_lengths_and_of_any_size(spark):
+    """Each length is a search of its own; components near the ends of the range of doubles count like others."""
+    rng = np.random.default_rng(14)
+    x, y = rng.normal(size=(40, 2)), rng.normal(size=(30, 5))
+    scale = 10.0 ** rng.integers(-220, 220, (40, 1))
+    kind = "vec_id long, embedding array<double>, block int, dim int"
+    rows = [(i, (v * s).tolist(), 0, 0) for i, (v, s) in enumerate(zip(x, scale[:, 0]))] + [(100 + i, v.tolist(), 0, 0) for i, v in enumerate(y)]
+    rows += [(500, [1.0, 2.0, 3.0], 0, 0), (501, [], 0, 0), (502, [1e300, float("inf")], 0, 0), (503, [5e-324, 0.0], 0, 0)]
+    got = ann.search(spark.createDataFrame(rows, kind), F.col("vec_id") % 10 == 0, 5).toPandas()
+    assert set(got["query_id"]) == {*range(0, 40, 10), *range(100, 130, 10)}  # 500 is alone with its length
+    assert np.isfinite(got["score"]).all()
+    sides = [(np.append(np.arange(40), 503), np.vstack([x, [[1.0, 0.0]]])), (np.arange(100, 130), y)]
+    for q, part in got.groupby("query_id"):
+        ids, wide = sides[int(q >= 100)]
+        score = dict(zip(ids.tolist(), ann.cosine(wide, wide[ids == q][0])))
+        want = sorted((i for i in score if i != q), key=lambda i: -score[i])[:5]
+        part = part.sort_values("rank")
+        assert part["vec_id"].tolist() == want
+        assert part["score"].tolist() == pytest.approx([score[i] for i in want], abs=1e-12)
+
+
 def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(6)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=(20, 64))
@@ -160,7 +181,11 @@ def plain_counts(text):
 def test_statistics_and_verdicts(spark):
     good = [(i, prose(i, 60 + i % 50)) for i in range(300)]
     bad = [(400 + i, prose(600 + i, 60).replace(" ", "%%% ")) for i in range(30)]
-    odd = [(500, "a b c d e f g h " * 6), (501, "line one here\nline one here\n\n\nx\nx"), *ODD]
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})  # no sum modulo a power of two tells these apart
+    odd = [(500, "a b c d e f g h " * 6), (501, "line one here\nline one here\n\n\nx\nx"), (502, f"{word}\n{other}"), *ODD]
     docs = frame(spark, good + bad + odd)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(400 + i, 0, 0) for i in range(12)] + [(9999, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
