@@ -31,6 +31,18 @@ def rounded(col: Column, places: int = 6) -> Column:
     return F.round(col + HALF_UP_NUDGE if places == 6 else col, places) + F.lit(0.0)
 
 
+def steady_mean(col: Column | str) -> Column:
+    """Mean (an aggregate) that does not follow the order in which the rows come.
+
+    Readings that 20 decimals hold exactly are added as decimals, so a comparison with the mean
+    has one outcome on any partitioning.  Groups with others get the plain mean.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    exact = c.try_cast("decimal(38,20)")
+    held = F.count_if(exact.cast("double") == c) == F.count(c)
+    return F.coalesce(F.when(held, F.try_sum(exact).cast("double") / F.nullif(F.count(c), F.lit(0))), F.avg(c))
+
+
 def magnitude(*cols: str) -> Column:
     total = F.col(cols[0]) * F.col(cols[0])
     for name in cols[1:]:

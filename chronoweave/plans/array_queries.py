@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import adaptive, arrays, iir
-from chronoweave.functions.columns import rounded
+from chronoweave.functions.columns import rounded, steady_mean
 from chronoweave.operators import windows
 from chronoweave.operators.delay import filter_design
 from chronoweave.plans.filter_sql import zero_phase_sql
@@ -136,15 +136,15 @@ def day_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     so a hot day is split over many tasks and its final group holds a few hundred rows at most.
     """
     events = table(spark, sf_dir, "events").select("user_id", F.dayofmonth("ts").alias("day"), "value", "event_id")
-    mean = events.groupBy("user_id", "day").agg(F.avg("value").alias("prev"))
+    mean = events.groupBy("user_id", "day").agg(steady_mean("value").alias("prev"))
     salted = events.withColumn("_salt", F.pmod(F.hash("event_id"), F.lit(SALTS)))
     strongest = Window.partitionBy("user_id", "day", "_salt").orderBy(F.desc("value"), "event_id")
-    item = F.struct((-F.col("value")).alias("k"), "event_id", "value")
+    item = F.struct("value", (-F.col("event_id")).alias("k"))
     top = (
         salted.withColumn("_r", F.row_number().over(strongest))
         .where("_r <= 5")
         .groupBy("user_id", "day")
-        .agg(F.array_sort(F.collect_list(item)).alias("top"))
+        .agg(F.sort_array(F.collect_list(item), asc=False).alias("top"))
     )
     ranked = F.transform(F.slice("top", 1, 5), lambda c: c["value"])
     return top.join(mean, ["user_id", "day"]).select("user_id", "day", "prev", ranked.alias("ranked"))
