@@ -97,12 +97,17 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(a, dtype=float) for a in column]) if len(column) else np.empty((0, 0))
 
 
-def by_length(column: pd.Series, fn: Callable[[np.ndarray], list]) -> list:
-    """Apply ``fn`` to the positions of equally long windows and put the results back in order."""
+def by_length(column: pd.Series, fn: Callable[[np.ndarray], list], at_once: int = 2048) -> list:
+    """Apply ``fn`` to the positions of equally long windows and put the results back in order.
+
+    ``fn`` sees at most ``at_once`` windows, so what it makes of them does not grow with the batch.
+    """
     lengths = column.map(len).to_numpy()
     out: list = [None] * len(column)
     for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        for pos, value in zip(at, fn(at)):
-            out[pos] = value
+        same = np.flatnonzero(lengths == n)
+        for start in range(0, len(same), at_once):
+            at = same[start : start + at_once]
+            for pos, value in zip(at, fn(at)):
+                out[pos] = value
     return out

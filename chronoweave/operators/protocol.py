@@ -55,7 +55,7 @@ def band_spectrum(
     @pandas_udf("array<double>")
     def run(cols: pd.DataFrame) -> pd.Series:
         one = lambda at: list(in_band(matrix(cols["x"].iloc[at]), fs, [matrix(cols[n].iloc[at]) for n in names], width_hz, weight, nfft))
-        return pd.Series(by_length(cols["x"], one))
+        return pd.Series(by_length(cols["x"], one, W.SPECTRA_AT_ONCE))
 
     refs = [F.col(c).alias(n) for c, n in zip(penalty or [], names)]
     return run(F.struct(F.col(signal).alias("x"), *refs))
@@ -101,10 +101,9 @@ def run_trial(
     rows = W.cascade(rows, "ppg_green", scheme, kind, "delays", design, **extras)
     rows, penalty = penalty_columns(rows, scheme)
     nfft = params.get("nfft")  # default: 8192 points or the next power of two
-    rows = rows.withColumn("_base", band_spectrum("ppg_green", fs, nfft=nfft)).withColumn(
-        "_adap", band_spectrum("filtered", fs, penalty, params["Spec_Penalty_Width"], params["Spec_Penalty_Weight"], nfft)
-    )
-    narrow = materialise(rows.select(*key, "w", "center_s", "label", "ref_hr", "in_scope", "stages", "_base", "_adap"), "spectra")
+    base = band_spectrum("ppg_green", fs, nfft=nfft).alias("_base")
+    adap = band_spectrum("filtered", fs, penalty, params["Spec_Penalty_Width"], params["Spec_Penalty_Weight"], nfft).alias("_adap")
+    narrow = materialise(rows.select(*key, "w", "center_s", "label", "ref_hr", "in_scope", "stages", base, adap), "spectra")
     return smooth_results(track_rates(narrow, key, fs, params, round(tw_s * fs)), key, params["smooth_win_len"])
 
 

@@ -13,6 +13,8 @@ from pyspark.sql.functions import pandas_udf
 from chronoweave.functions import adaptive, iir, spectra
 from chronoweave.functions.arrays import by_length, matrix
 
+SPECTRA_AT_ONCE = 128  # windows transformed together: a padded spectrum is far longer than its window
+
 # Sensor groups, and the order in which a scheme uses them.
 GROUPS = {"HF": ["hf1", "hf2"], "CF": ["cf1", "cf2"], "ACC": ["accx", "accy", "accz"]}
 GROUP_LIMIT = {"ACC": 3, "HF": 2, "CF": 2}
@@ -30,7 +32,7 @@ SCHEME_GROUPS = {
 def dominant_frequency(col: str | Column, fs: float, low: float, high: float, nfft: int | None = None) -> Column:
     @pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(x, lambda at: spectra.dominant(matrix(x.iloc[at]), fs, low, high, nfft)))
+        return pd.Series(by_length(x, lambda at: spectra.dominant(matrix(x.iloc[at]), fs, low, high, nfft), SPECTRA_AT_ONCE))
 
     return run(col)
 
@@ -47,7 +49,7 @@ def band_maximum(cols: list[Column], fs: float, low: float, high: float, nfft: i
 
     @pandas_udf("double")
     def run(pdf: pd.DataFrame) -> pd.Series:
-        return pd.Series(by_length(pdf[names[0]], lambda at: one([matrix(pdf[n].iloc[at]) for n in names])))
+        return pd.Series(by_length(pdf[names[0]], lambda at: one([matrix(pdf[n].iloc[at]) for n in names]), SPECTRA_AT_ONCE))
 
     return run(F.struct(*[c.alias(n) for c, n in zip(cols, names)]))
 
@@ -55,7 +57,7 @@ def band_maximum(cols: list[Column], fs: float, low: float, high: float, nfft: i
 def magnitude_spectrum(col: str | Column, fs: float, nfft: int | None = None) -> Column:
     @pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(x, lambda at: list(spectra.magnitude(matrix(x.iloc[at]), fs, nfft)[1])))
+        return pd.Series(by_length(x, lambda at: list(spectra.magnitude(matrix(x.iloc[at]), fs, nfft)[1]), SPECTRA_AT_ONCE))
 
     return run(col)
 
@@ -71,7 +73,7 @@ def peak_list(
 
     @pandas_udf("array<struct<freq:double,amp:double>>")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(x, lambda at: one(matrix(x.iloc[at]))))
+        return pd.Series(by_length(x, lambda at: one(matrix(x.iloc[at])), SPECTRA_AT_ONCE))
 
     return run(col)
 
