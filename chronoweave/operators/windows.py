@@ -191,19 +191,16 @@ def cascade(windows: DataFrame, primary: str, scheme: str, kind: str, delays: st
     """Chain of adaptive filters: each stage filters the residual of the stage before.
 
     The channels of a sensor group come in order of their absolute correlation; ``design(lag, r)``
-    gives the columns M, K, mu, mode.  Stages are columns of one narrow projection, and ``stages``
-    records what each of them used.
+    gives the columns M, K, mu, mode.  No design depends on a residual, so ``stages`` records them all
+    first and one Python worker a task runs the whole chain.
     """
-    current, stages = F.col(primary), []
-    windows = windows.withColumn("_cur", current)
+    sources = list(dict.fromkeys([primary, *[c for g in SCHEME_GROUPS[scheme] for c in GROUPS[g]]]))
+    stages = []
     for group in SCHEME_GROUPS[scheme]:
-        names = GROUPS[group]
-        ranked = by_strength(delays, names)
-        for place in range(min(GROUP_LIMIT[group], len(names))):
-            tag = f"_{group}{place}"
-            windows = windows.withColumn(tag, F.get(ranked, F.lit(place)))
-            pick = F.col(tag)
-            signal = F.coalesce(*[F.when(pick["channel"] == n, F.col(n)) for n in names])
+        ranked = f"_{group}"
+        windows = windows.withColumn(ranked, by_strength(delays, GROUPS[group]))
+        for place in range(min(GROUP_LIMIT[group], len(GROUPS[group]))):
+            pick = F.get(ranked, F.lit(place))
             m, k, mu, mode = design(pick["lag"], pick["r"])
             stages.append(
                 F.struct(
@@ -211,7 +208,27 @@ def cascade(windows: DataFrame, primary: str, scheme: str, kind: str, delays: st
                     pick["r"].alias("r"), m, k, mu, mode, F.lit(kind).alias("filter_type"),
                 )
             )
-            windows = windows.withColumn("_ref", signal)
-            windows = windows.withColumn("_cur", adaptive_filter("_ref", "_cur", kind, m, k, mu, **options)).drop("_ref")
-    tags = [c for c in windows.columns if c.startswith(tuple(f"_{g}" for g in GROUPS))]
-    return windows.withColumn("stages", F.array(*stages)).withColumn(out, F.col("_cur")).drop("_cur", *tags)
+
+    count = len(stages)
+
+    @pandas_udf("array<double>")
+    def run(cols: pd.DataFrame) -> pd.Series:
+        def one(at: np.ndarray) -> list:
+            part = cols.iloc[at]
+            signals = {c: matrix(part[c]) for c in sources}
+            current = signals[primary]
+            for n in range(count):
+                channel, m, k, mu = (part[f"_{x}{n}"].to_numpy() for x in ("c", "m", "k", "mu"))
+                reference = np.empty(current.shape)
+                for c in np.unique(channel):
+                    reference[channel == c] = signals[c][channel == c]
+                current = adaptive.adapt(kind, reference, current, m, k, mu, options)
+            return list(current)
+
+        return pd.Series(by_length(cols[primary], one))
+
+    windows = windows.withColumn("stages", F.array(*stages)).drop(*[f"_{g}" for g in SCHEME_GROUPS[scheme]])
+    used = [F.get("stages", F.lit(n)) for n in range(len(stages))]
+    fields = {"c": ("channel", "string"), "m": ("M", "int"), "k": ("K", "int"), "mu": ("mu", "double")}
+    designs = [u[name].cast(t).alias(f"_{x}{n}") for n, u in enumerate(used) for x, (name, t) in fields.items()]
+    return windows.withColumn(out, run(F.struct(*[F.col(c) for c in sources], *designs)))

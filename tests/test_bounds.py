@@ -7,6 +7,7 @@ import pandas as pd
 
 from chronoweave.functions.arrays import by_length
 from chronoweave.operators import windows
+from chronoweave.operators.delay import filter_design
 
 
 def test_a_batch_is_worked_off_in_bounded_parts():
@@ -29,3 +30,16 @@ def test_spectra_of_a_batch_are_made_in_parts(monkeypatch):
     rng = np.random.default_rng(1)
     found = windows.peak_list(pd.Series(list(rng.normal(size=(500, 8)))), 4.0, 0.4, 2.0, 0.3)
     assert len(found) == 500 and max(seen) <= windows.SPECTRA_AT_ONCE
+
+
+def test_a_cascade_takes_one_worker_for_all_its_stages(spark):
+    names = ["ppg_green", *[c for g in windows.GROUPS.values() for c in g]]
+    rng = np.random.default_rng(2)
+    rows = [(n, *[[float(v) for v in rng.normal(size=16)] for _ in names]) for n in range(5)]
+    frame = spark.createDataFrame(rows, f"win long, {', '.join(f'{c} array<double>' for c in names)}")
+    found = frame.withColumn("delays", windows.window_delays("ppg_green", names[1:], 16.0))
+    done = windows.cascade(found, "ppg_green", "HF2_ACC3", "lms", "delays", filter_design)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the delays, then the chain
+    got = done.collect()
+    assert [len(r.stages) for r in got] == [5] * 5 and all(np.isfinite(r.filtered).all() for r in got)
