@@ -31,27 +31,33 @@ def slew_limited_stream(
 
     def update(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         previous, passed, newest, times, ids, values = state.get if state.exists else (None, None, None, [], [], [])
-        fresh = pd.concat(list(parts))
-        flush = bool(fresh[end].any())
-        fresh = fresh[~fresh[end].astype(bool)]
-        late = fresh["_t"] < passed if passed is not None else pd.Series(False, index=fresh.index)
-        wait = pd.DataFrame({"t": list(times) + fresh["_t"][~late].tolist(), "id": list(ids) + fresh[row_id][~late].tolist(), "v": list(values) + fresh[value][~late].tolist()})
-        wait = wait.sort_values(["t", "id"], kind="stable")
-        if len(wait):
-            newest = int(max(wait["t"].iloc[-1], newest if newest is not None else wait["t"].iloc[-1]))
-        go = np.full(len(wait), True) if flush or newest is None else (wait["t"] <= newest - int(lateness_s * 1e6)).to_numpy()
+        flush, t, n, v = False, [np.array(times, "int64")], [np.array(ids, "int64")], [np.array(values, float)]
+        behind = []
+        for part in parts:
+            over, at = part[end].to_numpy(bool), part["_t"].to_numpy()
+            late = ~over & (at < passed) if passed is not None else np.zeros(len(part), bool)
+            flush, here = flush or bool(over.any()), ~over & ~late
+            t.append(at[here].astype("int64"))
+            n.append(part[row_id].to_numpy()[here].astype("int64"))
+            v.append(part[value].to_numpy(float)[here])
+            if late.any():
+                behind.append(part[late])
+        t, n, v = (np.concatenate(x) for x in (t, n, v))
+        order = np.lexsort((n, t))
+        t, n, v = t[order], n[order], v[order]
+        if len(t):
+            newest = int(t[-1]) if newest is None else max(int(t[-1]), newest)
+        go = len(t) if flush or newest is None else int(np.searchsorted(t, newest - int(lateness_s * 1e6), "right"))
         out = []
-        for x in wait["v"][go]:
-            previous = previous if x is None or x != x else limit_step(previous, float(x), limit, step)
+        for x in v[:go].tolist():
+            previous = previous if x != x else limit_step(previous, x, limit, step)
             out.append(previous)
-        done, left = wait[go], wait[~go]
-        passed = int(done["t"].iloc[-1]) if len(done) else passed
-        state.update((previous, passed, newest, left["t"].astype(int).tolist(), left["id"].astype(int).tolist(), [None if v is None or v != v else float(v) for v in left["v"]]))
-        on_time = pd.DataFrame({row_id: done["id"], "_t": done["t"], "limited": pd.Series(out, index=done.index, dtype="float64"), "late": False})
-        behind = pd.DataFrame({row_id: fresh[row_id][late], "_t": fresh["_t"][late], "limited": np.nan, "late": True})
-        for part in (on_time, behind):
-            if len(part):
-                yield part.assign(**{key: group[0], time: pd.to_datetime(part["_t"].astype("int64"), unit="us", utc=True)})[[key, row_id, time, "limited", "late"]]
+        passed = int(t[go - 1]) if go else passed
+        state.update((previous, passed, newest, t[go:].tolist(), n[go:].tolist(), [None if x != x else x for x in v[go:].tolist()]))
+        limited = np.array([np.nan if y is None else y for y in out], float)
+        for at, ids, values, late in ((t[:go], n[:go], limited, False), *[(p["_t"].to_numpy("int64"), p[row_id].to_numpy("int64"), np.nan, True) for p in behind]):
+            if len(at):
+                yield pd.DataFrame({key: group[0], row_id: ids, time: pd.DatetimeIndex(at.view("M8[us]"), tz="UTC"), "limited": values, "late": late})
 
     kept = "previous double, passed long, newest long, times array<long>, ids array<long>, vals array<double>"
     return rows.groupBy(key).applyInPandasWithState(update, schema, kept, "append", GroupStateTimeout.NoTimeout)

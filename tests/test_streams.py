@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.operators.tracking import limit_step
+from chronoweave.streaming import online
 from chronoweave.streaming.online import closed, drain, sliding_stats_stream, slew_limited_stream
 
 ROWS = "user_id long, event_id long, ts timestamp_ntz, reading double"
@@ -73,3 +77,37 @@ def test_open_windows_close_at_the_end(spark, tmp_path, events):
     rows = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     want = rows.groupBy("user_id", F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("reading").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
     assert sorted(map(tuple, got.select("user_id", "start", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_group_is_advanced_without_assembling_frames(monkeypatch):
+    """Most recordings of a stream are short, so what a call costs by itself is what the stream costs."""
+
+    class Stream:
+        schema = T.StructType.fromDDL("user_id long, event_id long, ts timestamp")
+
+        def withColumn(self, *_):
+            return self
+
+        groupBy = withColumn
+
+        def applyInPandasWithState(self, update, *_):
+            return update
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def refused(*_, **__):
+        raise AssertionError("a frame is assembled for a group")
+
+    monkeypatch.setattr(online, "F", SimpleNamespace(unix_micros=lambda c: c, col=lambda c: SimpleNamespace(cast=lambda _: None)))
+    update, state = slew_limited_stream(Stream(), "user_id", "ts", "event_id", "reading", lateness_s=5.0), State()
+    part = lambda t, i, v, end: pd.DataFrame({"_t": [x * 10**6 for x in t], "event_id": i, "reading": v, "end": end})
+    monkeypatch.setattr(pd, "concat", refused)
+    first = list(update((1,), iter([part([3, 9], [3, 9], [70.0, 90.0], False), part([1], [1], [60.0], False)]), state))
+    assert [(*r[["event_id", "limited", "late"]],) for f in first for _, r in f.iterrows()] == [(1, 60.0, False), (3, 64.0, False)]
+    rest = list(update((1,), iter([part([2, 10], [2, 10], [61.0, None], False), part([99], [None], [None], True)]), state))
+    got = [(r.event_id, None if r.late else r.limited, r.late) for f in rest for _, r in f.iterrows()]
+    assert got == [(9, 68.0, False), (10, 68.0, False), (2, None, True)]
