@@ -63,24 +63,30 @@ def steady_state(sections: np.ndarray) -> np.ndarray:
     return np.array(states)
 
 
-def _run_section(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    step, feed = _state_space(section)
-    n = x.shape[1]
+@lru_cache(maxsize=256)
+def _section_parts(section: tuple[float, ...], m: int) -> tuple[np.ndarray, ...]:
+    """Matrices that carry ``m`` samples and a state to ``m`` outputs and the next state."""
+    step, feed = _state_space(np.array(section))
     powers = [np.eye(2)]
-    for _ in range(min(CHUNK, n)):
+    for _ in range(m):
         powers.append(powers[-1] @ step)
     impulse = np.array([section[0]] + [(p @ feed)[0] for p in powers[:-1]])
+    lag = np.subtract.outer(np.arange(m), np.arange(m))
+    inner = np.where(lag >= 0, impulse[np.abs(lag)], 0.0).T
+    from_state = np.array([powers[t][0] for t in range(m)]).T
+    to_state = np.array([powers[m - 1 - t] @ feed for t in range(m)])
+    return inner, from_state, to_state, powers[m].T
+
+
+def _run_section(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = x.shape[1]
     out = np.empty_like(x, dtype=float)
     for start in range(0, n, CHUNK):
         part = x[:, start : start + CHUNK]
         m = part.shape[1]
-        if start == 0 or m < CHUNK:
-            lag = np.subtract.outer(np.arange(m), np.arange(m))
-            inner = np.where(lag >= 0, impulse[np.abs(lag)], 0.0).T
-            from_state = np.array([powers[t][0] for t in range(m)]).T
-            to_state = np.array([powers[m - 1 - t] @ feed for t in range(m)])
+        inner, from_state, to_state, onward = _section_parts(tuple(section), m)
         out[:, start : start + m] = state @ from_state + part @ inner
-        state = state @ powers[m].T + part @ to_state
+        state = state @ onward + part @ to_state
     return out, state
 
 

@@ -184,20 +184,26 @@ def motion_frequency(layout: Layout, segments: DataFrame, axes: list[str], fs: f
         *layout.block_key, "i", F.col("_n"), at.alias("at"), ((value - F.col("_mean")) * weight).alias("y")
     )
     blocks = weighted.groupBy(*layout.block_key, "_n").agg(F.array_sort(F.collect_list(F.struct("at", "y"))).alias("_a"))
+    blocks = blocks.select(*layout.key, "_n", F.element_at("_a.at", 1).alias("_at"), F.col("_a.y").alias("_y"))
     key = list(layout.key)
     schema = blocks.select(*key).schema.add("hz", T.DoubleType()).add("re", T.DoubleType()).add("im", T.DoubleType())
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                n = int(row["_n"])
-                bins = np.arange(int(np.ceil(low * n / fs - 1e-9)), int(np.floor(high * n / fs + 1e-9)) + 1)
-                bins = bins[(bins * fs / n >= low) & (bins * fs / n <= high) & (bins <= n // 2)]
-                if len(bins):
-                    total = partial_fourier(np.array([a["y"] for a in row["_a"]]), int(row["_a"][0]["at"]), n, bins)
-                    yield pd.DataFrame({**{k: row[k] for k in key}, "hz": bins * fs / n, "re": total.real, "im": total.imag})
-
-    sums = blocks.select(*key, "_n", "_a").mapInPandas(parts, schema).groupBy(*key, "hz").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+            for some in np.array_split(np.arange(len(pdf)), -(-len(pdf) // 256)):
+                hz, totals, sizes = [np.empty(0)], [np.empty(0, complex)], []
+                for n, at, y in zip(*(pdf[c].iloc[some] for c in ("_n", "_at", "_y"))):
+                    bins = np.arange(int(np.ceil(low * n / fs - 1e-9)), int(np.floor(high * n / fs + 1e-9)) + 1)
+                    bins = bins[(bins * fs / n >= low) & (bins * fs / n <= high) & (bins <= n // 2)]
+                    sizes.append(len(bins))
+                    if len(bins):
+                        hz.append(bins * fs / n)
+                        totals.append(partial_fourier(np.asarray(y, dtype=float), int(at), int(n), bins))
+                total = np.concatenate(totals)
+                whose = pdf[key].iloc[np.repeat(some, sizes)].reset_index(drop=True)
+                yield whose.assign(hz=np.concatenate(hz), re=total.real, im=total.imag)
+
+    sums = blocks.mapInPandas(parts, schema).groupBy(*key, "hz").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     power = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
     return sums.groupBy(*key).agg(F.max_by("hz", F.struct(F.round(power, 9), -F.col("hz"))).alias("move_hz"))
 

@@ -89,9 +89,11 @@ def penalised(peaks: Column, motion_hz: Column, weight: float = 0.2, width_hz: f
     return F.transform(F.array_sort(by_amp), lambda s: s["p"])
 
 
-def shape_for_delay(x: np.ndarray, fs: float, k_stop: float, move_hz: float, mode: str) -> np.ndarray:
+def shape_for_delay(x: np.ndarray, fs: float, k_stop: float, move_hz: float | np.ndarray, mode: str) -> np.ndarray:
     """Signal compared in the delay search: the z-scored window itself (``direct``), or the z-scored
-    magnitude of its analytic signal, low-passed below ``k_stop`` times the motion frequency (``envelope``)."""
+    magnitude of its analytic signal, low-passed below ``k_stop`` times the motion frequency (``envelope``).
+
+    ``move_hz`` may differ by row: equal low-passes run together."""
     if mode == "direct":
         return adaptive.zscore(x, 0)
     if mode != "envelope":
@@ -100,8 +102,12 @@ def shape_for_delay(x: np.ndarray, fs: float, k_stop: float, move_hz: float, mod
     level = np.where(known, x, 0.0).sum(1, keepdims=True) / np.maximum(known.sum(1, keepdims=True), 1)
     swing = np.where(known, x - level, 0.0)
     size = np.abs(swing) if x.shape[1] < 4 else iir.analytic_magnitude(swing)
-    lowpass = iir.butter_lowpass(2, float(np.clip(k_stop * move_hz, 0.05, 0.45 * fs)) / (fs / 2.0))
-    return adaptive.zscore(iir.zero_phase(lowpass, size) if x.shape[1] > iir.pad_length(lowpass) else size, 0)
+    cut = np.broadcast_to(np.clip(k_stop * move_hz, 0.05, 0.45 * fs) / (fs / 2.0), len(x))
+    shaped = np.zeros(size.shape)
+    for c in np.unique(cut):
+        lowpass, pick = iir.butter_lowpass(2, float(c)), np.flatnonzero(cut == c)
+        shaped[pick] = iir.zero_phase(lowpass, size[pick]) if x.shape[1] > iir.pad_length(lowpass) else size[pick]
+    return adaptive.zscore(shaped, 0)
 
 
 def envelope(col: str | Column, fs: float, k_stop: float = 0.3, move_hz: float = 1.0) -> Column:
@@ -132,14 +138,9 @@ def batch_delays(
     signals: dict[str, np.ndarray], primary: str, others: list[str], move_hz: np.ndarray, fs: float, k_stop: float, mode: str, reach: int
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Lag and correlation of every compensation channel against the primary one, for a batch of windows."""
-    found = {c: (np.zeros(len(move_hz), int), np.zeros(len(move_hz))) for c in others}
-    for f in np.unique(move_hz):
-        pick = np.flatnonzero(move_hz == f)
-        ref = shape_for_delay(signals[primary][pick], fs, k_stop, f, mode)
-        for c in others:
-            lag, r = lag_search(ref, shape_for_delay(signals[c][pick], fs, k_stop, f, mode), reach)
-            found[c][0][pick], found[c][1][pick] = lag, r
-    return found
+    every = np.concatenate([signals[c] for c in (primary, *others)])
+    shaped = shape_for_delay(every, fs, k_stop, np.tile(move_hz, 1 + len(others)), mode).reshape(1 + len(others), len(move_hz), -1)
+    return {c: lag_search(shaped[0], shaped[n], reach) for n, c in enumerate(others, start=1)}
 
 
 def window_delays(

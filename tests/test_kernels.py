@@ -143,3 +143,10 @@ def test_trackers():
     assert pick_rate(freq, np.array([1, 2, 3, 9.0]), None, **how) == pytest.approx(180.0)
     assert pick_rate(freq, np.array([1, 2, 3, 9.0]), 72.0, **how) == pytest.approx(79.0)
     assert pick_rate(freq, np.array([1, 2, 3, 9.0]), 300.0, **how) == pytest.approx(300.0)
+
+
+def test_low_passes_that_differ_by_row_run_together():
+    x, move = RNG.normal(size=(40, 64)), RNG.choice([0.2, 0.7, 1.5, 3.0], 40)
+    together = shape_for_delay(x, 16.0, 0.3, move, "envelope")
+    alone = np.vstack([shape_for_delay(row[None], 16.0, 0.3, float(f), "envelope") for row, f in zip(x, move)])
+    assert np.allclose(together, alone, rtol=0, atol=1e-12)
