@@ -43,3 +43,12 @@ def test_a_cascade_takes_one_worker_for_all_its_stages(spark):
     assert plan.count("ArrowEvalPython") == 2  # the delays, then the chain
     got = done.collect()
     assert [len(r.stages) for r in got] == [5] * 5 and all(np.isfinite(r.filtered).all() for r in got)
+
+
+def test_filters_get_a_bounded_number_of_windows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(windows, "pandas_udf", lambda _: lambda fn: lambda *_: fn)
+    monkeypatch.setattr(windows.adaptive, "adapt", lambda kind, u, d, *_: seen.append(len(u)) or d)
+    run = windows.adaptive_filter("u", "d", "rff_lms", 2, 1, 0.01)
+    x, ones = pd.Series(list(np.ones((5000, 4)))), pd.Series(np.ones(5000))
+    assert len(run(x, x, ones, ones, ones)) == 5000 and max(seen) <= 2048
