@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 
 from chronoweave.llm import graph, jaccard, paragraphs, substrings
 from chronoweave.llm import text as tx
+from chronoweave.storage import shared_dir
 from tests.llm.helpers import ODD, components, edited, frame, prose, words
 
 
@@ -250,3 +252,28 @@ def test_passages_in_mid_line_and_in_short_lines(spark):
     text = dict(rows)
     assert all(left[i] == t for i, t in rows if i >= 100) and all(len(left[i]) < len(text[i]) for i in range(36) if i % 3)
     assert all(left[i].startswith(text[i][: planted[i][0] - 12]) for i in range(36))
+
+
+def test_points_in_few_bytes_have_the_counts():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 16, jaccard.GROUPS - 1, jaccard.GROUPS, 900)]
+    sets += [np.arange(300, dtype=np.uint64) * np.uint64(jaccard.GROUPS), np.arange(70_000, dtype=np.uint64) * np.uint64(jaccard.GROUPS)]
+    points = [jaccard.point(s) for s in sets]
+    assert [len(p) for p in points] == [1, 16, jaccard.GROUPS - 1, jaccard.GROUPS, jaccard.GROUPS, 2 * jaccard.GROUPS, 2 * jaccard.GROUPS]
+    want = [np.bincount((s & np.uint64(jaccard.GROUPS - 1)).astype(np.int64), minlength=jaccard.GROUPS) for s in sets]
+    want[-1][0] = 1 << 30  # no longer fits
+    assert (jaccard.counts_of(points) == np.array(want)).all()
+
+
+def test_what_a_join_has_written_goes(spark):
+    """Only the small tables that the result reads are left, and no shuffle files of finished queries are kept."""
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "chronoweave"
+    base = prose(3, 80)
+    rows = [(i, edited(base, i, i % 6)) for i in range(60)]
+    for run in (jaccard.join, paragraphs.classes):
+        before = set(folder.glob("*"))
+        found = run(frame(spark, rows))
+        left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+        assert not left & {"points", "sets", "pairs", "new_pairs", "owners", "star", "star_min", "keyed_paragraphs", "paragraph_points"}
+        assert found.count() > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
