@@ -9,12 +9,13 @@ bytes in them; equal strings have equal anchors.  So each text is cut into runs
    per task.  Anchors that occur once, the bulk of a corpus, end here.
 2. Anchors with several different runs (borders of passages, edited copies) need the bytes.  Their texts
    form pages of bounded size.  A page is dealt to shards; the shard's transform is made from its suffix
-   array, and the transforms are merged by refining their interleave one symbol per round.  The rounds
-   also give the common prefixes: after ``LENGTH`` of them a block of the interleave is one repeated
+   array, and the transforms are merged by refining their interleave ``STEP`` symbols per round.  The rounds
+   also give the common prefixes: after ``LENGTH`` symbols a block of the interleave is one repeated
    string, and its first place is known.  Suffixes of different shards are never sorted again.
-3. An anchor of more runs than a page has its pages compared by one row per page and string.
+3. The runs of an anchor of more runs than a page are cut again by anchors of more bytes, as in 1., until
+   every anchor fits a page; an anchor of ``LENGTH`` bytes has one run, so the last cut leaves none.
 
-Runs and strings of different pages are compared by 64 and 128-bit hashes.
+Runs are compared by 64-bit hashes.
 
 Defined cases: a null or empty text loses nothing; texts shorter than ``LENGTH`` lose nothing; repeated
 rows of one doc_id count as one document and get equal results, so neither loses the other's text; rows with a null
@@ -34,11 +35,14 @@ from chronoweave.llm import text as tx
 from chronoweave.storage import materialise
 
 LENGTH, GRAM = 100, 24
+LONGER = (62, 86, LENGTH)  # bytes of the anchors that cut the runs of a frequent one
 PAGE, SHARDS = 512, 4
+STEP = 5  # symbols of a round; divides LENGTH
 END = 0xFF  # ends a text in a transform; never a byte of UTF-8
 MEMBERS = 1 << 20
 
 RUNS = "gram long, run long, doc_id long, start long, n long, page long"
+BODIES = RUNS + ", body binary"
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,17 +56,17 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor: (gram hash, run hash, row, first start in the text, strings)."""
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, size: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one anchor of ``size`` bytes: (gram hash, run hash, row, first start in the text, strings)."""
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
     running = tx.prefix_hash(data)
-    places = np.arange(len(data) - GRAM + 1)
-    grams = tx.span_hash(running, places, places + GRAM)
+    places = np.arange(len(data) - size + 1)
+    grams = tx.span_hash(running, places, places + size)
     low = np.uint64((1 << 31) - 1)
     # A gram's rank is its hash, ties go left; which gram wins depends on the string's bytes alone.
-    least = _sliding_min((grams & ~low) | places.astype(np.uint64), LENGTH - GRAM + 1)
+    least = _sliding_min((grams & ~low) | places.astype(np.uint64), LENGTH - size + 1)
     anchor = (least & low).astype(np.int64)
     inside = np.zeros(len(anchor) + 1, np.int64)
     long = np.flatnonzero(np.diff(offsets) >= LENGTH)
@@ -110,8 +114,14 @@ def _run_batches(batches):
             yield _rows(tx.mix(run[gone] + doc[gone].view(np.uint64) * np.uint64(2) + start[gone].view(np.uint64)), run[gone], doc[gone], start[gone], n[gone], np.full(gone.sum(), -1))
 
 
+def _paged(batch: pa.RecordBatch, at: np.ndarray, page: np.ndarray) -> pa.RecordBatch:
+    """Rows of a batch with their pages."""
+    rows = batch.take(pa.array(at))
+    return rows.set_column(rows.schema.get_field_index("page"), "page", pa.array(np.asarray(page, np.int64)))
+
+
 def _settle_batches(batches):
-    """Runs sorted by (page, gram, run, doc_id, start): settled rows pass, single grams end, equal runs are settled.
+    """Runs sorted by (gram, run, doc_id, start): settled rows pass, single grams end, equal runs are settled.
 
     Out: page -1 for runs that go; page 0, 1, ... for the first of each of several runs of a gram.
     """
@@ -119,17 +129,17 @@ def _settle_batches(batches):
     last_gram = last_run = last_doc = last_start = None
     opened = 0
     for batch in batches:
-        gram, run, doc, start, n, page = (np.asarray(batch.column(i)) for i in range(6))
-        done = page < 0
+        done = np.asarray(batch.column("page")) < 0
         if done.any():
             yield batch.filter(pa.array(done))
-            gram, run, doc, start, n = (c[~done] for c in (gram, run, doc, start, n))
+            batch = batch.filter(pa.array(~done))
+        gram, run, doc, start = (np.asarray(batch.column(c)) for c in ("gram", "run", "doc_id", "start"))
         if not len(gram):
             continue
         same_gram = np.append(gram[0] == last_gram if last_gram is not None else False, gram[1:] == gram[:-1])
         same_run = same_gram & np.append(run[0] == last_run if last_run is not None else False, run[1:] == run[:-1])
         same_row = same_run & np.append(doc[0] == last_doc and start[0] == last_start, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
-        gone = same_run & ~same_row
+        gone = np.flatnonzero(same_run & ~same_row)
         firsts = np.flatnonzero(~same_run)
         # Ordinal of each run within its gram; runs of the gram left open by the last batch count on.
         ordinal = np.zeros(len(firsts), np.int64)
@@ -139,19 +149,36 @@ def _settle_batches(batches):
             ordinal = np.where(base >= 0, np.arange(len(firsts)) - base, opened + np.arange(len(firsts)))
             follows = np.append(~head[1:], False)  # another run of the gram comes later in this batch
             if not head[0] and held is not None:
-                yield _rows(*(np.array([v]) for v in held), np.array([0]))
+                yield held
                 held = None
-            out = firsts[(ordinal > 0) | follows]
-            if len(out):
-                yield _rows(gram[out], run[out], doc[out], start[out], n[out], ordinal[(ordinal > 0) | follows] // PAGE)
-            tail = firsts[-1]
+            out = (ordinal > 0) | follows
+            if out.any():
+                yield _paged(batch, firsts[out], ordinal[out] // PAGE)
             opened = int(ordinal[-1]) + 1
-            held = (gram[tail], run[tail], doc[tail], start[tail], n[tail]) if ordinal[-1] == 0 else None
-        if gone.any():
-            yield _rows(gram[gone], run[gone], doc[gone], start[gone], n[gone], np.full(gone.sum(), -1))
+            held = _paged(batch, firsts[-1:], [0]) if ordinal[-1] == 0 else None
+        if len(gone):
+            yield _paged(batch, gone, np.full(len(gone), -1))
         last_gram, last_run, last_doc, last_start = gram[-1], run[-1], doc[-1], start[-1]
 
 
+def _finer_batches(size: int):
+    """Runs with their bytes cut again by anchors of ``size`` bytes."""
+
+    def run(batches):
+        for batch in batches:
+            doc, begin = np.asarray(batch.column("doc_id")), np.asarray(batch.column("start"))
+            for lo, _, data, offsets in tx.slices(batch.column("body")):
+                gram, whole, row, start, n = anchored_runs(data, offsets, size)
+                at, lengths = offsets[row] + start, n + LENGTH - 1
+                edges = np.append(0, np.cumsum(lengths))
+                body = data[np.repeat(at - edges[:-1], lengths) + np.arange(edges[-1])]
+                bodies = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(body)])
+                rows = _rows(gram, whole, doc[lo + row], begin[lo + row] + start, n, np.zeros(len(n), np.int64))
+                yield rows.append_column("body", bodies)
+
+    return run
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Order of all suffixes of texts that each end with ``END``, up to ``LENGTH`` bytes or the end of a text.
 
@@ -169,45 +196,59 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     while width < LENGTH:
         beyond = np.zeros(n, np.uint64)
         beyond[: n - width] = np.where(left[: n - width] >= width, rank[width:] + np.uint64(1), np.uint64(0))
-        rank = np.unique((rank << np.uint64(32)) | beyond, return_inverse=True)[1].astype(np.uint64)
+        key = (rank << np.uint64(32)) | beyond
         width *= 2
-    return np.argsort(rank, kind="stable")
+        if width < LENGTH:
+            rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    return np.argsort(key, kind="stable")
 
 
 def transform(data: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Symbol before each suffix in sorted order; before a text's start stands its own end."""
-    before = np.empty(len(data), np.uint8)
-    before[1:], before[0] = data[:-1], END
-    return before[order]
-
-
-def merge(transforms: list[np.ndarray], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of several transforms and the blocks of suffixes that share ``rounds`` symbols.
-
-    Every round refines the interleave by one symbol: the merged transform is read in the present order and
-    its entries are dealt, stably, by symbol.  A block splits where the symbol or the old block changes.
+    """The ``STEP`` symbols before each suffix in sorted order, the first one highest; before a text's start
+    stands its own end, and what follows an end does not count."""
+    ends = np.flatnonzero(data == END)
+    sizes = np.diff(ends, prepend=-1)
+    begin, ring = np.repeat(ends - sizes + 1, sizes), np.repeat(sizes, sizes)
+    inside = np.arange(len(data)) - begin
+    code, ended = np.zeros(len(data), np.uint64), np.zeros(len(data), bool)
+    for j in range(STEP, 0, -1):
+        symbol = data[begin + (inside - j) % ring]
+        code = (code << np.uint64(8)) | np.where(ended, 0, symbol).astype(np.uint64)
+        ended |= symbol == END
+    return code[order]
+
+
+def merge(transforms: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of several transforms and the blocks of suffixes that share ``length`` symbols, a
+    multiple of ``STEP``.
+
+    Every round refines the interleave by ``STEP`` symbols: the merged transform is read in the present order
+    and its entries are dealt, stably, by symbols.  A block splits where the symbols or the old block change,
+    and what has reached its text's end is a block of its own.
     """
-    joined = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int8), [len(t) for t in transforms])
-    stop = int((joined == END).sum())
-    ends = shard[joined == END]  # one end for each text, in the order of the shards
-    weave, block = shard.copy(), np.zeros(len(joined), np.int32)
+    codes, rank = np.unique(np.concatenate(transforms), return_inverse=True)
+    joined = rank.astype(np.uint16 if len(codes) <= 1 << 16 else np.uint32)
+    ended = np.zeros(len(codes), bool)
+    for j in range(STEP):
+        ended |= (codes >> np.uint64(8 * j)) & np.uint64(255) == END
+    dealt = np.sort(joined)  # the symbols in dealt order, the same in every round
+    split = np.append(True, dealt[1:] != dealt[:-1]) | ended[dealt]
+    weave = np.repeat(np.arange(len(transforms), dtype=np.int8), [len(t) for t in transforms])
+    block = np.zeros(len(joined), np.int32)
     symbols = np.empty_like(joined)
-    for _ in range(rounds):
+    for _ in range(length // STEP):
         symbols[np.argsort(weave, kind="stable")] = joined
         deal = np.argsort(symbols, kind="stable")
-        c, old = symbols[deal], block[deal]
-        new = np.append(True, (c[1:] != c[:-1]) | (old[1:] != old[:-1]))
+        old = block[deal]
+        new = split.copy()
+        new[1:] |= old[1:] != old[:-1]
         weave = weave[deal]
-        if stop:  # ends keep their own order, each a block of its own
-            weave[-stop:] = ends
-            new[-stop:] = True
         block = np.cumsum(new, dtype=np.int32) - 1
     return weave, block
 
 
 def settle_page(texts: list[np.ndarray], doc: np.ndarray, start: np.ndarray, n: np.ndarray):
-    """Strings of a page: (text, offset, place in order of doc and start is first of its block), and blocks."""
+    """Strings of a page: (text, offset, whether the string also starts earlier)."""
     shards = [range(s, len(texts), SHARDS) for s in range(min(SHARDS, len(texts)))]
     parts, places = [], []
     for shard in shards:
@@ -229,53 +270,36 @@ def settle_page(texts: list[np.ndarray], doc: np.ndarray, start: np.ndarray, n:
     owner, offset, block, at = owner[order], offset[order], block[order], at[order]
     first = np.append(True, block[1:] != block[:-1])
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    gone = (doc[owner] != doc[owner][head]) | (at != at[head])
-    return owner, offset, at, first, gone
+    return owner, offset, (doc[owner] != doc[owner][head]) | (at != at[head])
 
 
-PAGED = "gram long, page long, doc_id long, start long, n long, hot boolean, body binary"
-STRINGS = "k1 long, k2 long, doc_id long, start long, n long"
+GONE = "doc_id long, start long, n long"
 
 
 def _page_batches(batches):
-    """Pages of runs with their bytes; out: runs of strings that go (k1 null), and of hot grams the first of
-    every string of the page, by hash."""
+    """Pages of runs with their bytes, the runs of an anchor never apart; out: runs of strings that go."""
 
     def settle(rows):
-        gram, page, doc, start, n, hot, body = zip(*rows)
+        _, doc, start, n, body = zip(*rows)
         texts = [np.frombuffer(b, np.uint8) for b in body]
-        doc, start, n, hot = np.array(doc), np.array(start), np.array(n), np.array(hot)
-        owner, offset, at, first, gone = settle_page(texts, doc, start, n)
+        doc, start, n = np.array(doc), np.array(start), np.array(n)
+        owner, offset, gone = settle_page(texts, doc, start, n)
         order = np.lexsort((offset[gone], owner[gone]))
         o, k = owner[gone][order], offset[gone][order]
         lead = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (k[1:] != k[:-1] + 1))[: len(o)])
         size = np.diff(np.append(lead, len(o)))
-        lone = pa.nulls(len(lead), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [lone, lone, pa.array(doc[o[lead]]), pa.array(start[o[lead]] + k[lead]), pa.array(size.astype(np.int64))], [c.split()[0] for c in STRINGS.split(", ")]
-        )
-        across = np.flatnonzero(first & hot[owner])
-        if len(across):
-            flat = np.concatenate(texts)
-            base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[owner[across]] + offset[across]
-            k1 = tx.span_hash(tx.prefix_hash(flat), base, base + LENGTH)
-            k2 = tx.span_hash(tx.prefix_hash(flat ^ np.uint8(0x5A)), base, base + LENGTH)
-            o = owner[across]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(doc[o]), pa.array(at[across]), pa.array(np.ones(len(o), np.int64))],
-                [c.split()[0] for c in STRINGS.split(", ")],
-            )
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (doc[o[lead]], start[o[lead]] + k[lead], size)], [c.split()[0] for c in GONE.split(", ")])
 
     held = []
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(7)]
+        cols = [batch.column(c).to_pylist() for c in ("gram", "doc_id", "start", "n", "body")]
         for row in zip(*cols):
-            if len(held) >= PAGE and (held[-1][0] != row[0] or held[-1][1] != row[1]):
-                yield from settle(held)
+            if len(held) >= PAGE and held[-1][0] != row[0]:
+                yield settle(held)
                 held = []
             held.append(row)
     if held:
-        yield from settle(held)
+        yield settle(held)
 
 
 def _pick_batches(slots: np.ndarray):
@@ -307,18 +331,24 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     slots = np.array([r[0] for r in open_.select("doc_id").mapInArrow(_slots_of, "slot long").distinct().collect()], np.int64)  # at most MEMBERS
     if not len(slots):
         return gone
-    hot = open_.where("page > 0").select("gram").distinct().withColumn("hot", F.lit(True))
-    asked = open_.join(hot, "gram", "left").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "page", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    asked = open_.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "run", "start", "n", "page")).alias("runs"))
     texts = body.mapInArrow(_pick_batches(slots), "doc_id long, text string").dropDuplicates(["doc_id"])
     cut = texts.select("doc_id", F.col("text").cast("binary").alias("raw")).join(asked, "doc_id").select("doc_id", "raw", F.inline("runs"))
-    paged = cut.select("gram", "page", "doc_id", "start", "n", "hot", F.expr(f"substring(raw, int(start) + 1, int(n) + {LENGTH - 1})").alias("body"))
-    strings = materialise(paged.repartition(n, "gram", "page").sortWithinPartitions("gram", "page").mapInArrow(_page_batches, STRINGS), "strings")
-    gone = gone.unionByName(strings.where("k1 is null").select("doc_id", "start", "n"))
-    across = strings.where("k1 is not null")
-    least = across.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("pages"))
-    least = least.where("pages > 1").select("k1", "k2", "first")
-    late = across.join(least, ["k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    return gone.unionByName(late.select("doc_id", "start", "n"))
+    runs = cut.select("gram", "run", "doc_id", "start", "n", "page", F.expr(f"substring(raw, int(start) + 1, int(n) + {LENGTH - 1})").alias("body"))
+    runs, paged = materialise(runs, "bodies"), None
+    for size in LONGER:  # frequent anchors are cut by longer ones
+        hot = runs.where("page > 0").select("gram").distinct()
+        cold = runs.join(hot, "gram", "left_anti")
+        paged = cold if paged is None else paged.unionByName(cold)
+        if hot.isEmpty():
+            break
+        finer = runs.join(hot, "gram", "left_semi").select("body", "doc_id", "start").mapInArrow(_finer_batches(size), BODIES)
+        finer = finer.repartition(n, "gram").sortWithinPartitions("gram", "run", "doc_id", "start")
+        settled = materialise(finer.mapInArrow(_settle_batches, BODIES), "finer_runs")
+        gone = gone.unionByName(settled.where("page < 0").select("doc_id", "start", "n"))
+        runs = settled.where("page >= 0")
+    pages = paged.select("gram", "doc_id", "start", "n", "body").repartition(n, "gram").sortWithinPartitions("gram")
+    return gone.unionByName(pages.mapInArrow(_page_batches, GONE))
 
 
 def _spans(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import pathlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from chronoweave.llm import graph, jaccard, paragraphs, substrings
@@ -187,6 +188,34 @@ def test_merged_transforms_equal_one_sort():
         assert (block[i] == block[i - 1]) == (full and heads[i] == heads[i - 1])
 
 
+def test_runs_of_a_frequent_anchor_are_cut_until_none_is_frequent():
+    """Border runs of one passage in many texts: ever longer anchors hold fewer of them, in the end none."""
+    shared = prose(50, 45).encode()
+    texts = [prose(400 + i, 20).encode() + shared + prose(900 + i, 20).encode() for i in range(substrings.PAGE + 90)]
+    data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    gram, run, row, start, n = substrings.anchored_runs(data, edges)
+
+    def settle(rows):
+        order = rows.sort_by([(c, "ascending") for c in ("gram", "run", "doc_id", "start")])
+        return pa.Table.from_batches(substrings._settle_batches(order.to_batches(max_chunksize=700)), rows.schema)
+
+    bodies = [texts[r][s : s + k + substrings.LENGTH - 1] for r, s, k in zip(row, start, n)]
+    cols = [gram.view(np.int64), run.view(np.int64), row, start, n, np.zeros(len(n), np.int64), pa.array(bodies, pa.binary())]
+    table = pa.Table.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in substrings.BODIES.split(", ")])
+    left = settle(table)
+    hot = [len(left.filter(pa.compute.greater(left["page"], 0)))]
+    for size in substrings.LONGER:
+        open_ = left.filter(pa.compute.greater_equal(left["page"], 0))
+        finer = list(substrings._finer_batches(size)(open_.to_batches()))
+        assert sum(pa.compute.sum(b["n"]).as_py() for b in finer) == pa.compute.sum(open_["n"]).as_py()
+        for b in finer:
+            for r, s, k, body in zip(*(b[c].to_pylist() for c in ("doc_id", "start", "n", "body"))):
+                assert texts[r][s : s + k + substrings.LENGTH - 1] == body
+        left = settle(pa.Table.from_batches(finer))
+        hot.append(len(left.filter(pa.compute.greater(left["page"], 0))))
+    assert hot[0] > 0 and not (left["page"].to_numpy() >= 0).any()
+
+
 def test_words_and_lines_of_texts():
     texts = ["", " a\tbc\n", "é\n\nx", "\n", "q"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
