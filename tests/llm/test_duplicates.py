@@ -294,6 +294,40 @@ def test_points_in_few_bytes_have_the_counts():
     assert (jaccard.counts_of(points) == np.array(want)).all()
 
 
+def test_sketches_bound_what_two_sets_share():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    heavy = np.arange(40_000, dtype=np.uint64) * np.uint64(1 << 20)  # all in one group
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 20, 127, 128, 1500, 2100, 6000)] + [heavy, heavy[:300]]
+    for x in sets:
+        for y in sets:
+            shared = len(np.intersect1d(x, y))
+            assert jaccard.sketch_bound(jaccard.sketch(x), jaccard.sketch(y)) >= shared
+    one, other = (np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64)) for _ in "ab")
+    assert jaccard.sketch_bound(jaccard.sketch(one), jaccard.sketch(other)) < 0.7 * len(one)
+    assert len(jaccard.sketch(one)) <= len(one)
+
+
+def test_long_texts_that_only_share_a_passage_are_not_verified_on_their_sets(spark, monkeypatch):
+    """The counts of long texts are too alike for a bound of few groups; a sketch tells them apart."""
+    verified = []
+    plain = jaccard.materialise
+
+    def counted(rows, name):
+        out = plain(rows, name)
+        if name == "links":
+            verified.extend((r.a, r.b) for r in out.select("a", "b").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    passage = prose(1, 12).replace("\n", "")
+    rows = [(i, passage + " " + prose(600 + i, 6000)) for i in range(12)]
+    rows += [(50, rows[3][1] + " and more"), (51, rows[3][1]), (52, rows[3][1]), (51, rows[3][1])]
+    got = {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()}
+    assert got == {i: 3 if i in (50, 51, 52) else i for i, _ in rows}
+    assert verified == [(3, 50)]
+
+
 def test_what_a_join_has_written_goes(spark):
     """Only the small tables that the result reads are left, and no shuffle files of finished queries are kept."""
     folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "chronoweave"
