@@ -294,6 +294,27 @@ def test_points_in_few_bytes_have_the_counts():
     assert (jaccard.counts_of(points) == np.array(want)).all()
 
 
+def test_paragraphs_that_meet_nothing_end_at_their_keys(spark, monkeypatch):
+    """Only paragraphs that share a key are grouped, and points carry no sets; rows of one doc_id count once."""
+    written = {}
+    plain = paragraphs.materialise
+
+    def counted(rows, name):
+        out = plain(rows, name)
+        written[name] = out.count(), out.columns
+        return out
+
+    monkeypatch.setattr(paragraphs, "materialise", lambda rows, name: counted(rows, name) if name in ("keyed_paragraphs", "paragraphs", "paragraph_points") else plain(rows, name))
+    lone = [(i, prose(7000 + i, 300)) for i in range(40)]
+    same, near = prose(6, 60).replace("\n", ""), prose(7, 60).replace("\n", "")
+    rows = [*lone, (100, same), (101, same), (102, near), (103, edited(near, 1, 1)), (5, lone[5][1]), (200, prose(8, 90)), (200, prose(9, 90)), (None, same)]
+    got = paragraphs.classes(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {100, 101, 102, 103}
+    assert {(r.doc_id, r.class_doc_id) for r in got if r.place == 0} == {(100, 100), (101, 100), (102, 102), (103, 102)}
+    assert len(got) <= written["paragraphs"][0] < 0.7 * written["keyed_paragraphs"][0]  # windows of one text that overlap meet, too
+    assert written["paragraph_points"][1] == ["doc_id", "n_shingles", "point"]
+
+
 def test_sketches_bound_what_two_sets_share():
     rng = np.random.default_rng(6)
     pool = rng.integers(0, 2**63, 9000).astype(np.uint64)
