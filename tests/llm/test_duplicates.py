@@ -361,3 +361,32 @@ def test_what_a_join_has_written_goes(spark):
         assert not left & {"points", "sets", "pairs", "new_pairs", "owners", "star", "star_min", "keyed_paragraphs", "paragraph_points"}
         assert found.count() > 0
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_paragraphs_that_meet_only_in_their_own_text_end_at_their_keys(spark, monkeypatch):
+    """Windows of one text that overlap share shingles, but are known not to link; they are not grouped or joined."""
+    written = {}
+    plain = paragraphs.materialise
+
+    def counted(rows, name):
+        written[name] = plain(rows, name)
+        return written[name]
+
+    monkeypatch.setattr(paragraphs, "materialise", lambda rows, name: counted(rows, name) if name == "paragraphs" else plain(rows, name))
+    twice = prose(7999, 60).replace("\n", "")
+    rows = [(i, prose(7100 + i, 400).replace("\n", "")) for i in range(20)] + [(50, twice + "\n" + prose(7998, 9) + "\n" + twice)]
+    got = paragraphs.classes(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {50} and any(r.removed for r in got)
+    assert {r.id // paragraphs.PLACES for r in written["paragraphs"].collect()} == {50}
+
+
+def test_keys_of_one_text_end_whatever_the_batches():
+    rng = np.random.default_rng(12)
+    groups = [[k] * k for k in (1, 2, 3, 15)] + [[1, 1], [2, 2, 1], [0], [0, 0, 0], [0] * 40, [3, 3, 3] * 2, [15] * 30]  # marks of the rows of a key
+    groups = [groups[i] for i in rng.integers(0, len(groups), 200)]
+    rows = [(16 * i + mark, 1000 * i + j) for i, marks in enumerate(groups) for j, mark in enumerate(marks)]
+    want = [(16 * i, 1000 * i + j) for i, marks in enumerate(groups) if marks[0] != len(marks) for j in range(len(marks))]
+    for size in (1, 2, 7, 33, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[lo : lo + size])], ["key", "doc_id"]) for lo in range(0, len(rows), size)]
+        got = [r for b in paragraphs._shared_batches(iter(batches)) for r in zip(b["key"].to_pylist(), b["doc_id"].to_pylist())]
+        assert got == want
