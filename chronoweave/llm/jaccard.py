@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm import sieve
 from chronoweave.llm import text as tx
 from chronoweave.llm.graph import components
-from chronoweave.storage import materialise, release
+from chronoweave.storage import few, materialise, release
 
 SLOTS = 1 << 16  # of the shingle counts over all documents
 MEMBERS = 1 << 23  # bits of the filter that says whose sets a round needs
@@ -420,7 +420,7 @@ def _bits(members: DataFrame) -> np.ndarray:
     """The numbers of the column m as bits, ``MEMBERS`` of them at most."""
     words = members.groupBy(F.shiftright("m", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("bits"))
     bits = np.zeros((MEMBERS >> 15, 4096), np.uint8)
-    for k, part in words.collect():
+    for k, part in few(words, MEMBERS >> 15).collect():
         bits[k] = np.frombuffer(part, np.uint8)
     return bits.ravel()
 
@@ -472,10 +472,10 @@ def _verify_batches(share: tuple[int, int]):
     return run
 
 
-def _search(members: DataFrame, points: DataFrame, labels: DataFrame | None, again: DataFrame | None, share: tuple[int, int], round_: int, scratch: list[DataFrame]) -> DataFrame:
+def _search(members: DataFrame, points: DataFrame, labels: DataFrame | None, again: DataFrame | None, share: tuple[int, int], round_: int, scratch: list[DataFrame], n_rows: int) -> DataFrame:
     """Candidate pairs of a round; after the first only from buckets left open that hold several components.
 
-    ``scratch`` gets the tables that are written for it.
+    ``scratch`` gets the tables that are written for it; ``members`` has ``n_rows`` rows in the first round.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if again is not None:
@@ -484,10 +484,11 @@ def _search(members: DataFrame, points: DataFrame, labels: DataFrame | None, aga
         rows = members.join(points, "doc_id").withColumn("component", F.col("doc_id")).withColumn("side", F.lit(0))
     else:
         labels = labels.withColumnRenamed("node", "doc_id")
-        rows = materialise(members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "members")
+        rows = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        rows = materialise(few(rows, n_rows), "members")
         held = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("last"))
         held = held.groupBy("bucket").agg(F.max_by("component", "n").alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max("last").alias("last"))
-        held = materialise(held.where("n > most"), "open_buckets")
+        held = materialise(few(held.where("n > most"), n_rows), "open_buckets")
         scratch += [rows, held]
         rows = rows.join(held, "bucket")
         minors = F.ceil((F.col("n") - F.col("most")) / PAGE)
@@ -497,20 +498,23 @@ def _search(members: DataFrame, points: DataFrame, labels: DataFrame | None, aga
         rows = everyone.unionByName(minor).join(points, "doc_id")
     rows = rows.select("bucket", "page", F.col("side").cast("long").alias("side"), "doc_id", "n_shingles", "component", "owners", "point")
     pages = rows.repartition(n, "bucket", "page", "side").sortWithinPartitions("bucket", "page", "side", "doc_id")
-    return pages.mapInArrow(_page_batches(share, round_), PAIRS)
+    return few(pages, n_rows, CHUNK).mapInArrow(_page_batches(share, round_), PAIRS)
 
 
 def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; ``share`` is the similarity as a fraction."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequency = np.zeros(SLOTS, np.int64)
-    for slot, n in body.select("text").mapInArrow(_frequency_batches(size), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # at most SLOTS
+    counted = body.select("text").mapInArrow(_frequency_batches(size), "slot long, n long").groupBy("slot").agg(F.sum("n"))
+    for slot, n in few(counted, SLOTS).collect():  # at most SLOTS
         frequency[slot] = n
     made = materialise(body.mapInArrow(_point_batches(size, share, frequency), POINTS), "points")
     same = ["n_shingles", "s1", "s2"]
     narrow = materialise(made.select("doc_id", *same), "names")
+    total = narrow.agg(F.count(F.lit(1)), F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * share[0] / share[1]) + 1)).first()
+    rows, n_keys = total[0], int(total[1] or 0)
     classes = narrow.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    classes = materialise(classes.where("rep is not null"), "classes")
+    classes = materialise(few(classes.where("rep is not null"), rows), "classes")
     # Rows that stand for no set, or not alone for their doc_id; all others stay where they are.
     others = narrow.join(classes, same).where("rep <> doc_id").select("doc_id")
     others = others.unionByName(narrow.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
@@ -526,7 +530,7 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
     lean = reps.select(F.explode("keys").alias("key"), "doc_id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = lean.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_bucket_batches, "bucket long, page long, doc_id long")
-    members = materialise(runs.distinct(), "buckets")
+    members = materialise(few(few(runs, n_keys).distinct(), n_keys), "buckets")
     chosen = materialise(reps.select("doc_id", *same), "chosen") if several else None
 
     def made_again(pairs: DataFrame, form: Callable[[np.ndarray], bytes], scratch: list[DataFrame]) -> DataFrame:
@@ -539,7 +543,7 @@ def join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> Dat
 
     links = None
     if not members.isEmpty():
-        points = materialise(reps.select("doc_id", "n_shingles", "point"), "rep_points")
+        points = materialise(few(reps.select("doc_id", "n_shingles", "point"), rows), "rep_points")
         release(made)
         links = _link_rounds(members, points, lambda p, s: made_again(p, np.ndarray.tobytes, s), share, lambda p, s: made_again(p, sketch, s))
         release(points)
@@ -569,32 +573,34 @@ def _link_rounds(members: DataFrame, points: DataFrame, sets_of: Maker, share: t
 
     With ``sketches_of`` only pairs whose sketches pass are verified on their sets.
     """
-    wide = materialise(members.where("page > 0").select("bucket").distinct(), "wide_buckets")
+    rows = members.count()
+    wide = materialise(few(members.where("page > 0").select("bucket").distinct(), rows), "wide_buckets")
     first = F.slice(F.array_sort(F.collect_set("bucket")), 1, OWNERS).alias("owners")
-    owners = materialise(members.groupBy("doc_id").agg(first), "owners")
+    owners = materialise(few(members.groupBy("doc_id").agg(first), rows), "owners")
     points = points.join(owners, "doc_id")
     tested = labels = again = None
     round_ = 0
     while True:
         scratch: list[DataFrame] = []
-        found = materialise(_search(members, points, labels, again, share, round_, scratch), "pairs")
+        found = materialise(_search(members, points, labels, again, share, round_, scratch, rows), "pairs")
+        n = found.count()
         pairs = found.where("bucket is null").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "new_pairs")
+        pairs = materialise(few(pairs, n), "new_pairs")
         again = found.where("bucket is not null").select("bucket").distinct()
-        again = materialise(again.unionByName(wide).distinct() if round_ == 0 else again, "again")
+        again = materialise(few(again.unionByName(wide).distinct() if round_ == 0 else again, n), "again")
         release(found, *scratch)
         if not pairs.isEmpty():
             scratch, passed, parts = [], pairs, [] if tested is None else [tested]
             if sketches_of is not None:
-                bounded = _meet(pairs, sketches_of(pairs, scratch)).mapInArrow(_bound_batches(share), LINKS)
+                bounded = few(_meet(pairs, sketches_of(pairs, scratch)), n, CHUNK // 2).mapInArrow(_bound_batches(share), LINKS)
                 bounded = materialise(bounded, "bounded")
                 release(*scratch)
                 scratch, passed = [], bounded.where("linked").select("a", "b")
                 parts.append(bounded.where("not linked"))
             if sketches_of is None or not passed.isEmpty():
-                checked = _meet(passed, sets_of(passed, scratch)).mapInArrow(_verify_batches(share), LINKS)
+                checked = few(_meet(passed, sets_of(passed, scratch)), n, CHUNK // 2).mapInArrow(_verify_batches(share), LINKS)
                 parts.append(materialise(checked, "links"))
                 release(*scratch)
             tested = functools.reduce(DataFrame.unionByName, parts)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.storage import few
+
 SLOTS = 1 << 23
 
 
@@ -23,7 +25,7 @@ def slot_bits(slots: DataFrame) -> np.ndarray:
     """The numbers of the column m as bits; 256 rows of 4 KB at most come to the driver."""
     words = slots.groupBy(F.shiftright("m", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("bits"))
     bits = np.zeros((SLOTS >> 15, 4096), np.uint8)
-    for k, part in words.collect():
+    for k, part in few(words, SLOTS >> 15).collect():
         bits[k] = np.frombuffer(part, np.uint8)
     return bits.ravel()
 

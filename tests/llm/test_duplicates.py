@@ -390,3 +390,19 @@ def test_keys_of_one_text_end_whatever_the_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[lo : lo + size])], ["key", "doc_id"]) for lo in range(0, len(rows), size)]
         got = [r for b in paragraphs._shared_batches(iter(batches)) for r in zip(b["key"].to_pylist(), b["doc_id"].to_pylist())]
         assert got == want
+
+
+def test_components_of_few_edges_take_one_step(spark, monkeypatch):
+    """A graph of one chunk needs no rounds; one of more chunks than that has the same components."""
+    rng = np.random.default_rng(8)
+    edges = [tuple(e) for e in rng.integers(-60, 60, (70, 2)).tolist()] + [(100 + i, 101 + i) for i in range(40)]
+    nodes = {n for a, b in edges if a != b for n in (a, b)}
+    want = components(nodes, [e for e in edges if e[0] != e[1]])
+    written, plain = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda rows, name: written.append(name) or plain(rows, name))
+    table = spark.createDataFrame(edges, "a long, b long")
+    for chunk in (graph.CHUNK, 7):
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        got = graph.components(table).collect()
+        assert len(got) == len(nodes) and {r.node: r.component for r in got} == want
+        assert bool(written) == (chunk == 7)
