@@ -21,7 +21,7 @@ from chronoweave.operators.delay import filter_design
 from chronoweave.operators.segments import smooth_in_scope
 from chronoweave.operators.series import Layout
 from chronoweave.operators.tracking import pick_rate
-from chronoweave.storage import materialise
+from chronoweave.storage import materialise, release
 
 RATE_BAND_HZ = (0.5, 4.0)  # fixed values
 MOVE_BAND_HZ = (0.2, 5.0)
@@ -46,15 +46,38 @@ def in_band(x: np.ndarray, fs: float, refs: list[np.ndarray] = (), width_hz: flo
     return amp
 
 
-def band_spectrum(
+def rank_type(n: int) -> np.dtype:
+    """Smallest unsigned type that holds the ranks of ``n`` bins."""
+    return np.min_scalar_type(max(n - 1, 0)).newbyteorder("<")
+
+
+def bin_ranks(amp: np.ndarray) -> np.ndarray:
+    """Rank of every bin among the distinct magnitudes of its row; NaN counts as one value above all, as for argmax."""
+    order = np.argsort(amp, axis=1, kind="stable")
+    ordered = np.take_along_axis(amp, order, 1)
+    above = np.zeros(amp.shape, np.int64)
+    above[:, 1:] = (ordered[:, 1:] != ordered[:, :-1]) & ~np.isnan(ordered[:, :-1])
+    ranks = np.empty(amp.shape, rank_type(amp.shape[1]))
+    np.put_along_axis(ranks, order, np.cumsum(above, axis=1).astype(ranks.dtype), 1)
+    return ranks
+
+
+def band_ranks(
     signal: str, fs: float, penalty: list[str] | None = None, width_hz: float = 0.2, weight: float = 0.2, nfft: int | None = None
 ) -> Column:
-    """In-band magnitudes of a column of windows, with ``penalty`` signals as ``refs``."""
+    """In-band magnitudes of a column of windows, with ``penalty`` signals as ``refs``, as bytes of their ranks.
+
+    The trackers only ask which bin is the strongest, so ranks of one or two bytes say all that a spectrum
+    of doubles says to them, in an eighth or a quarter of the room.
+    """
     names = [f"r{n}" for n in range(len(penalty or []))]
 
-    @pandas_udf("array<double>")
+    @pandas_udf("binary")
     def run(cols: pd.DataFrame) -> pd.Series:
-        one = lambda at: list(in_band(matrix(cols["x"].iloc[at]), fs, [matrix(cols[n].iloc[at]) for n in names], width_hz, weight, nfft))
+        def one(at: np.ndarray) -> list:
+            refs = [matrix(cols[n].iloc[at]) for n in names]
+            return [r.tobytes() for r in bin_ranks(in_band(matrix(cols["x"].iloc[at]), fs, refs, width_hz, weight, nfft))]
+
         return pd.Series(by_length(cols["x"], one, W.SPECTRA_AT_ONCE))
 
     refs = [F.col(c).alias(n) for c, n in zip(penalty or [], names)]
@@ -101,10 +124,13 @@ def run_trial(
     rows = W.cascade(rows, "ppg_green", scheme, kind, "delays", design, **extras)
     rows, penalty = penalty_columns(rows, scheme)
     nfft = params.get("nfft")  # default: 8192 points or the next power of two
-    base = band_spectrum("ppg_green", fs, nfft=nfft).alias("_base")
-    adap = band_spectrum("filtered", fs, penalty, params["Spec_Penalty_Width"], params["Spec_Penalty_Weight"], nfft).alias("_adap")
+    base = band_ranks("ppg_green", fs, nfft=nfft).alias("_base")
+    adap = band_ranks("filtered", fs, penalty, params["Spec_Penalty_Width"], params["Spec_Penalty_Weight"], nfft)
+    adap = F.when(F.col("in_scope"), adap).alias("_adap")  # nothing looks at the others
     narrow = materialise(rows.select(*key, "w", "center_s", "label", "ref_hr", "in_scope", "stages", base, adap), "spectra")
-    return smooth_results(track_rates(narrow, key, fs, params, round(tw_s * fs)), key, params["smooth_win_len"])
+    rates = materialise(track_rates(narrow, key, fs, params, round(tw_s * fs)), "rates")
+    release(narrow)
+    return smooth_results(rates, key, params["smooth_win_len"])
 
 
 def two_rates(freq: np.ndarray, ws, inside, base_spectra, adap_spectra, how: dict, carry: list | None) -> tuple[list[dict], list[float]]:
@@ -121,8 +147,8 @@ def two_rates(freq: np.ndarray, ws, inside, base_spectra, adap_spectra, how: dic
 
 
 def track_rates(rows: DataFrame, key: list[str], fs: float, params: dict, win: int) -> DataFrame:
-    """Baseline and adaptive rate in window order.  Windows out of scope feed the baseline rate into
-    the adaptive state."""
+    """Baseline and adaptive rate in window order, from spectra as ``band_ranks``.  Windows out of scope
+    feed the baseline rate into the adaptive state."""
     fields, inputs = ["w", "center_s", "label", "ref_hr", "in_scope", "stages"], ["w", "in_scope", "_base", "_adap"]
     packed = rows.groupBy(*key, F.expr(f"w div {SCAN_ROWS}").alias("blk")).agg(
         F.array_sort(F.collect_list(F.struct("w", "in_scope", "_base", "_adap"))).alias("_a")
@@ -131,8 +157,11 @@ def track_rates(rows: DataFrame, key: list[str], fs: float, params: dict, win: i
     freq = band_bins(fs, win, params.get("nfft"))
     how = {"reach_hz": params["hr_range_hz"], "limit": params["slew_limit_bpm"], "step": params["slew_step_bpm"]}
 
+    kind = rank_type(len(freq))
+
     def fold(block: dict, carry: list | None):
-        return two_rates(freq, *(block[c] for c in inputs), how, carry)
+        base, adap = ([None if b is None else np.frombuffer(b, kind) for b in block[c]] for c in ("_base", "_adap"))
+        return two_rates(freq, block["w"], block["in_scope"], base, adap, how, carry)
 
     last_w = rows.agg(F.max("w")).first()[0]
     spans = last_w is not None and last_w >= SCAN_ROWS
@@ -141,8 +170,7 @@ def track_rates(rows: DataFrame, key: list[str], fs: float, params: dict, win: i
 
 
 def smooth_results(rows: DataFrame, key: list[str], width: int) -> DataFrame:
-    """Moving median of the adaptive rate over the windows in scope."""
-    rows = materialise(rows, "rates")
+    """Moving median of the adaptive rate over the windows in scope; ``rows`` are a written table."""
     blocks = rows.select(*key, "blk").distinct()
     last = blocks.agg(F.max("blk")).first()[0]
     layout = Layout(rows.withColumn("core", F.lit(True)).withColumn("i", F.col("w")), tuple(key), SCAN_ROWS, 0, int(last or 0), blocks)

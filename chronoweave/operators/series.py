@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronoweave.storage import materialise, materialise_bucketed
+from chronoweave.storage import materialise, materialise_bucketed, release
 
 BLOCK_ROWS = 65_536
 HALO_ROWS = 64
@@ -96,6 +96,8 @@ def index_rows(df: DataFrame, key: list[str], order: list[str], *, derived: bool
         .withColumn("_run", F.shiftright("_pos", 33))
     )
     numbered = materialise(numbered, "numbered")
+    if derived:
+        release(df)
     before = Window.partitionBy(*key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
         numbered.groupBy(*key, "_run")
@@ -122,7 +124,9 @@ def lay_out(
 ) -> Layout:
     """Index, block and write the recordings in ``df``.  ``key`` must not be NULL."""
     indexed, rows = index_rows(df, key, order, derived=derived)
-    return block_rows_of(indexed, key, rows, block_rows=block_rows, halo=halo, label=label)
+    layout = block_rows_of(indexed, key, rows, block_rows=block_rows, halo=halo, label=label)
+    release(indexed)  # the numbered rows: the blocks hold all of them
+    return layout
 
 
 def block_rows_of(

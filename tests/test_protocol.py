@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators import alignment, metrics, protocol, segments
 from chronoweave.operators.alignment import RestOptions, partial_fourier
 from chronoweave.operators.series import lay_out
+from chronoweave.operators.tracking import pick_rate
 
 FS = 20.0
 CHANNELS = ["ppg_green", "hf1", "hf2", "cf1", "cf2", "accx", "accy", "accz"]
@@ -147,3 +150,34 @@ def test_every_delay_has_every_window(spark, fs):
                 want.add((float(d), j))
             j += 1
     assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 97, 256, 257])
+def test_ranks_choose_the_bins_that_magnitudes_do(n):
+    rng, freq = np.random.default_rng(n), np.linspace(0.5, 4.0, n)
+    amp = np.round(rng.random((200, n)), 1)  # ties
+    amp[::7, rng.integers(0, n)], amp[::5], amp[1], amp[2, ::2] = np.nan, 0.0, np.nan, -0.0
+    ranks = protocol.bin_ranks(amp)
+    assert ranks.dtype.itemsize == (1 if n <= 256 else 2)
+    for a, r in zip(amp, ranks):
+        for previous in (None, 0.0, 30.0, 60.0, 100.3, 500.0):
+            how = {"reach_hz": 25 / 60, "limit": 10, "step": 7}
+            assert pick_rate(freq, a, previous, **how) == pick_rate(freq, r, previous, **how)
+
+
+def test_spectra_are_written_as_ranks_and_leave_with_the_trial(windows, monkeypatch):
+    tables, write = {}, protocol.materialise
+
+    def kept(df, label):
+        done = write(df, label)
+        if label == "spectra":
+            tables[label] = done.select("in_scope", "_base", "_adap").collect(), done.inputFiles()
+        return done
+
+    monkeypatch.setattr(protocol, "materialise", kept)
+    protocol.run_trial(windows, ["rec"], FS, PARAMS, "ACC3", "motion_recovery", "lms", tw_s=8.0)
+    rows, files = tables["spectra"]
+    size = 2 * len(protocol.band_bins(FS, 160))
+    assert len(rows) > 100 and {len(r._base) for r in rows} == {size}
+    assert all((len(r._adap) == size) if r.in_scope else r._adap is None for r in rows)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -308,3 +310,21 @@ def test_activity_segments(spark):
     labels = segments.label_windows(windows, segs).core().where("rec = 'move'").toPandas()
     want = np.where(labels.center_s < 35, "rest", np.where(labels.center_s <= 50, "motion", "recovery"))
     assert (labels.label == want).all() and len(labels) == 80
+
+
+def test_numbered_rows_leave_when_the_blocks_are_written(spark, monkeypatch):
+    from chronoweave.operators import series
+
+    files, write = [], series.materialise
+
+    def kept(df, label):
+        done = write(df, label)
+        files.extend(done.inputFiles())
+        return done
+
+    monkeypatch.setattr(series, "materialise", kept)
+    df = spark.createDataFrame([(k, n, float(n)) for k in "ab" for n in range(50)], "rec string, pos long, v double")
+    layout = lay_out(df, ["rec"], ["pos"], block_rows=20, halo=5, label="leaves", derived=True)
+    assert len(files) > 1 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    got = layout.core().select("rec", "i", "v").collect()
+    assert sorted((r.rec, r.i, r.v) for r in got) == [(k, n, float(n)) for k in "ab" for n in range(50)]
