@@ -406,3 +406,66 @@ def test_components_of_few_edges_take_one_step(spark, monkeypatch):
         got = graph.components(table).collect()
         assert len(got) == len(nodes) and {r.node: r.component for r in got} == want
         assert bool(written) == (chunk == 7)
+
+
+def test_hashes_of_words_are_those_of_their_spans():
+    rng = np.random.default_rng(9)
+    for texts in (["", " Ab\tbC\n", "é\n\nx", "", "q", "Z" * 70_000], ["".join(rng.choice(list("aB \n\x0bé"), 40_000)) for _ in range(3)], [""], [" \n"]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+        starts, ends = tx.word_spans(data, offsets)
+        assert (tx.word_hash(data, starts, ends) == tx.span_hash(tx.prefix_hash(tx.LOWER[data]), starts, ends)).all()
+
+
+def test_windows_start_at_the_first_smallest_of_any_neighbours():
+    """Also where heads repeat, over several texts of all lengths."""
+    rng = np.random.default_rng(10)
+    for kinds in (1, 2, 5, 60, 10_000):
+        lengths = rng.integers(0, 150, 40)
+        rows = np.repeat(np.arange(40), lengths)
+        words = rng.integers(0, kinds, len(rows)).astype(np.uint64)
+        heads, want = tx.gram_hash(words, paragraphs.HEAD), set()
+        for i in range(len(heads) - paragraphs.SPREAD + 1):
+            if rows[i] == rows[i + paragraphs.SPREAD + paragraphs.HEAD - 2]:
+                at = i + int(heads[i : i + paragraphs.SPREAD].argmin())
+                if at + paragraphs.MIN_WORDS <= len(words) and rows[at] == rows[at + paragraphs.MIN_WORDS - 1]:
+                    want.add(at)
+        assert paragraphs._starts(words, rows).tolist() == sorted(want)
+
+
+def test_windows_that_overlap_and_link_leave_the_first():
+    """Against all pairs of windows of a text without lines that take part, in words that repeat more or less."""
+    rng = np.random.default_rng(11)
+    none, left_out = np.zeros(0, np.int64), 0
+    for kinds in (2, 6, 30, 10_000):
+        words = rng.integers(0, kinds, 1500).astype(np.uint64)
+        words[500:900] = np.resize(words[500:507], 400)
+        grams, rows = tx.gram_hash(words, paragraphs.SIZE), np.repeat([0, 1], 750)
+        at = paragraphs._starts(words, rows)
+        sets, kept = {a: set(grams[a : a + paragraphs.MIN_WORDS - paragraphs.SIZE + 1].tolist()) for a in at.tolist()}, []
+        for a in at.tolist():
+            near = [b for b in kept if a - b < paragraphs.MIN_WORDS and rows[a] == rows[b]]
+            if not any(paragraphs._alike(len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for b in near):
+                kept.append(a)
+        got, flat, sizes = paragraphs._windows(words, grams, rows, none, none, grams[:0], none)
+        assert got.tolist() == kept and [sorted(sets[a]) for a in kept] == [s.tolist() for s in np.split(flat, np.cumsum(sizes)[:-1])]
+        left_out += len(at) - len(kept)
+    assert left_out > 10
+
+
+def test_points_come_with_the_keys_and_not_from_the_texts_again(spark, monkeypatch):
+    """Texts are read again for the sets of pairs only; sets of many shingles beside others have their points, too."""
+    made, written, plain, write = [], [], paragraphs._chosen, paragraphs.materialise
+    monkeypatch.setattr(paragraphs, "_chosen", lambda *args: made.append(args) or plain(*args))
+    monkeypatch.setattr(paragraphs, "materialise", lambda rows, name: written.append(name) or write(rows, name))
+    same, far = prose(70, 60).replace("\n", ""), prose(71, 60).replace("\n", "")
+    rows = [(1, same), (2, same), (3, far), (4, edited(far, 2, 1))]
+    assert {r.doc_id for r in paragraphs.classes(frame(spark, rows)).collect()} == {1, 2, 3, 4}
+    assert len(made) == written.count("sets") > 0
+    text = "\n".join([" ".join(f"w{i}" for i in range(127)), prose(73, 40).replace("\n", ""), " ".join(f"v{i % 9}x{i}" for i in range(60)), " ".join(f"u{i}" for i in range(400)).replace("u7 ", "u7. ")])
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["doc_id", "text"])
+    (out,) = paragraphs._find_batches(*paragraphs.tune(0.8))(iter([batch]))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    want = {int(place): s for _, place, _, _, s in paragraphs._sets(raw, np.array([0, len(raw)]))}
+    got = {r["id"] % paragraphs.PLACES: (r["n_shingles"], r["point"]) for r in out.to_pylist()}
+    assert got == {place: (len(s), jaccard.point(s)) for place, s in want.items()} and max(map(len, want.values())) > jaccard.GROUPS
