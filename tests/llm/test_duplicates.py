@@ -469,3 +469,25 @@ def test_points_come_with_the_keys_and_not_from_the_texts_again(spark, monkeypat
     want = {int(place): s for _, place, _, _, s in paragraphs._sets(raw, np.array([0, len(raw)]))}
     got = {r["id"] % paragraphs.PLACES: (r["n_shingles"], r["point"]) for r in out.to_pylist()}
     assert got == {place: (len(s), jaccard.point(s)) for place, s in want.items()} and max(map(len, want.values())) > jaccard.GROUPS
+
+
+def test_names_of_a_key_are_in_order_whatever_the_batches(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    keys = np.sort(rng.integers(-40, 40, 600))
+    rows = list(zip(keys.tolist(), rng.integers(0, 30, 600).tolist()))
+
+    def ordered(size):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[lo : lo + size])], ["key", "doc_id"]) for lo in range(0, len(rows), size)]
+        return [r for b in paragraphs._ordered_batches(iter(batches)) for r in zip(b["key"].to_pylist(), b["doc_id"].to_pylist())]
+
+    assert all(ordered(size) == sorted(rows) for size in (1, 2, 33, 10_000))
+    monkeypatch.setattr(paragraphs, "HELD", 3)
+    for size in (1, 2, 33):
+        got = ordered(size)
+        assert [k for k, _ in got] == keys.tolist() and sorted(got) == sorted(rows)
+    # Classes do not depend on it: a passage that many texts have, some of them nearly.
+    same = prose(80, 60).replace("\n", "")
+    docs = frame(spark, [(i, edited(same, i, i % 2) if i < 20 else same) for i in range(40)])
+    small = {tuple(r) for r in paragraphs.classes(docs).collect()}
+    monkeypatch.setattr(paragraphs, "HELD", 1 << 20)
+    assert small == {tuple(r) for r in paragraphs.classes(docs).collect()} and len(small) > 40
